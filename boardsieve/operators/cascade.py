@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardsieve.functions.pin import evaluate_once
 from boardsieve.functions.text import capped
 from boardsieve.operators import dedup, enrich, filters
 from boardsieve.operators.language import ENGLISH, detect_language, long_enough, only_english
@@ -15,17 +16,6 @@ LANGUAGE_REASON = "language: non-English content detected"
 DEDUP_REASON = "dedup (content hash)"
 
 
-def evaluate_once(df: DataFrame, *names: str) -> DataFrame:
-    """Pin the named columns so that later filters on them are not inlined.
-
-    A filter on a derived column is normally pushed below the projection, which
-    would repeat every rule expression it refers to.  A generator of exactly one
-    row stops that, stays in the same stage and is compiled like a projection.
-    """
-    kept = [c for c in df.columns if c not in names]
-    return df.select(*kept, F.inline(F.array(F.struct(*names))))
-
-
 def with_scope(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``scope``: preset, classified or board default."""
     return df.withColumn("scope", enrich.effective_scope(rules)).withColumn(
@@ -136,7 +126,7 @@ def run_cascade(df: DataFrame, rules: RuleSet, as_of: Column, max_age_days: int
         passed = only_english(shared_by_row(passed), "ingest_seq", language_text(), profile)
     passed = enrich.with_scores(passed, rules)
     if rules.min_match_score > 0:
-        passed = evaluate_once(passed, "match_score").filter(filters.enough_match(rules))
+        passed = passed.filter(filters.enough_match(rules))
     return _keep_survivors(_drop_helpers(passed), rules)
 
 

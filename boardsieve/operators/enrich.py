@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardsieve.functions import fixed_values as v
+from boardsieve.functions.pin import evaluate_once
 from boardsieve.functions.text import (
     capped, has_any, has_any_in_long, has_any_mixed, has_word)
 from boardsieve.settings import RuleSet
@@ -122,7 +123,8 @@ def with_ngo_score(df: DataFrame, rules: RuleSet) -> DataFrame:
     strong = F.when(has_any_in_long(F.col("_org_both"), rules.not_ngo_strong), 3).otherwise(0)
     df = df.withColumn("ngo_score", F.when(F.col("_points") > 0, F.greatest(F.col("_points") - strong, F.lit(0)))
                        .otherwise(0))
-    return df.withColumn("is_ngo", F.col("ngo_score") >= rules.min_ngo_score)
+    df = df.withColumn("is_ngo", F.col("ngo_score") >= rules.min_ngo_score)
+    return evaluate_once(df, "ngo_score", "is_ngo")
 
 
 # -- match score -------------------------------------------------------------
@@ -204,7 +206,7 @@ def with_match_score(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``match_raw`` and ``match_score`` from the rule texts and ``is_ngo``."""
     df = df.withColumn("_match_text", match_text())
     df = df.withColumn("match_raw", match_score_raw(F.col("_match_text"), F.col("is_ngo"), rules))
-    return df.withColumn("match_score", normalise_score(F.col("match_raw")))
+    return evaluate_once(df.withColumn("match_score", normalise_score(F.col("match_raw"))), "match_raw", "match_score")
 
 
 def with_scores(df: DataFrame, rules: RuleSet) -> DataFrame:
