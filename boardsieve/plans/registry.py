@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from boardsieve.plans import ledger_queries, oracle_ledger, oracle_rules, rule_queries
+from boardsieve.plans import ledger_queries, oracle_ledger, oracle_rules, oracle_sources, rule_queries, source_queries
 
 
 def queries() -> dict:
-    return {**rule_queries.QUERIES, **ledger_queries.QUERIES}
+    return {**source_queries.QUERIES, **rule_queries.QUERIES, **ledger_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle_rules.SQL, **oracle_ledger.SQL}
+    return {**oracle_sources.SQL, **oracle_rules.SQL, **oracle_ledger.SQL}
