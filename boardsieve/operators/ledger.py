@@ -8,8 +8,8 @@ repeated batch harmless.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F, types as T
 
 from boardsieve.functions import fixed_values as v
 from boardsieve.operators import dedup, enrich
@@ -17,13 +17,13 @@ from boardsieve.operators.normalise import split_tags
 from boardsieve.settings import RuleSet
 
 
-def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A batch-partitioned table; a missing folder is an empty table."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    if not exists:
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A batch-partitioned table with its ``batch`` column; a missing folder is an empty table."""
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:

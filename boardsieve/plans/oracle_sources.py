@@ -155,7 +155,7 @@ SQL: dict[str, str] = {
     "norm_remoteok": board(f"CASE WHEN ingest_seq % 5 <> 0 THEN url ELSE '{v.REMOTEOK_URL}' || ingest_seq END", _ROK_LOC, scope=SCOPE_REMOTEOK,
                            salary=PLAIN, chars="length(description)::INT"),
     "norm_idealist": board(f"'{v.IDEALIST_URL}/j/' || ingest_seq", COMPOSED, scope=SCOPE_ZONE, salary=PERIOD_SALARY,
-                           tags="list_transform(list_concat(tags, areas), lambda t: trim(t))", chars="least(length(description), 5000)::INT",
+                           tags="list_transform(list_concat(tags, areas), lambda t: trim(t))", chars="(CASE WHEN length(description) > 5000 THEN 5000 ELSE length(description) END)::INT",
                            ngo="ingest_seq % 2 = 0", first_by=_KEY),
     "norm_devex": board(f"'{v.DEVEX_URL}' || CASE WHEN ingest_seq % 3 = 0 THEN 's-' || ingest_seq ELSE {_KEY}::VARCHAR END", TYPED_PLACE,
                         tags="tags[1:10]", ngo="TRUE", first_by=_KEY, dedup_where=f"{_KEY} <> 0", where=f"length({sql_strip('title')}) >= 5"),
@@ -187,3 +187,19 @@ SQL: dict[str, str] = {
                               first_feed AS (SELECT * FROM feeds WHERE feed = 0 OR {any_of('lower(title)', v.RELIEFWEB_TECH_TITLES)}
                                 QUALIFY row_number() OVER (PARTITION BY url ORDER BY feed, ingest_seq) = 1)"""),
 }
+
+
+# -- HTML boards -------------------------------------------------------------
+_SPLIT = "regexp_replace({0}, '\\s+', ' ', 'g')"
+
+
+def html_board(url: str, location: str, tags: str, remote: str = "TRUE", salary: str = _NO, posted: str = _NO, company: str = "company", where: str = "TRUE") -> str:
+    return f"""{_F}, paged AS (SELECT *, max(fetched_at) OVER (PARTITION BY ingest_seq // 20) AS page_fetched FROM fields)
+      SELECT {url} AS url, {sql_strip('title')} AS title, {sql_strip(company)} AS company, {location} AS location, {remote} AS is_remote,
+        {tags} AS tags, {salary} AS salary, {posted} AS posted_at FROM paged WHERE {where}"""
+
+
+_GOOD_TEXT = f"({sql_strip('title')} || ' ' || card || ' ' || {sql_strip('company')})"
+SQL["norm_html_cards"] = html_board(f"'{v.TECHJOBS_URL}/jobs/' || ingest_seq", "coalesce(nullif(country, ''), 'Remote')", "kind")
+SQL["norm_linkedin"] = html_board(f"'{v.LINKEDIN_URL}/jobs/view/' || ingest_seq", "coalesce(country, '')", "''",
+                                  posted=fmt(MOMENT.replace("fetched_at", "page_fetched")))

@@ -266,3 +266,48 @@ QUERIES = {
     "board_prefilter": _parsed("wanted", lambda: parsers.board_title_wanted(F.col("title"))),
     **{QUERY_NAMES.get(name, f"norm_{name}"): _norm(name) for name in ADAPTERS},
 }
+
+
+# -- HTML boards: pages of twenty postings written as the boards write their cards ----------
+def _html_card(board: str) -> Column:
+    title, company, k = _escape(F.col("title")), _escape(F.col("company")), F.col("ingest_seq").cast("string")
+    if board == "linkedin":
+        parts = ['<div class="base-card"><a class="base-card__full-link" href="https://www.linkedin.com/jobs/view/', k,
+                 '?ref=x"></a><h3 class="base-search-card__title"> ', title, ' </h3><h4>', company,
+                 '</h4><span class="job-search-card__location">', _escape(F.coalesce("country", F.lit(""))), '</span><time>', F.col("age"), '</time></div>']
+    elif board == "techjobsforgood":
+        parts = ['<div class="job-listing"><a href="/jobs/', k, '">', title, '</a><span class="company">', company,
+                 '</span><span class="location">', _escape(F.coalesce("country", F.lit(""))), '</span><span class="tag">', F.col("kind"),
+                 '</span><p class="description">', F.col("card"), '</p></div>']
+    elif board == "goodjobs":
+        parts = ['<div><a class="jobcard" href="/jobs/p-', k, '"><h3>', title, '</h3><p>', F.col("card"),
+                 '</p><div class="grow"><div class="mb-1"><div><p>', company, '</p></div></div></div></a></div>']
+    else:
+        parts = ['<section><div class="ps-3"><a href="/job_display/', k, '/', F.col("slug"), '"><img alt="logo of it"></a><h3><a href="/job_display/', k,
+                 '/', F.col("slug"), '">', title, '</a></h3><div class="companyName">', company, '</div></div><p>', F.col("card"), '</p></section>']
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def landed_html(s, d, board: str) -> DataFrame:
+    rows = payloads.fields(s, d).withColumn("item", _html_card(board))
+    pages = rows.groupBy(F.floor(F.col("ingest_seq") / 20).alias("request_seq")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ingest_seq", "item"))), lambda x: x["item"]), "").alias("cards"),
+        F.max("fetched_at").alias("fetched_at"))
+    body = F.concat(F.lit("<!DOCTYPE html><html><head><title>jobs</title></head><body>"), "cards", F.lit("</body></html>"))
+    return payloads._envelope(pages, board, F.concat(body, F.repeat(F.lit(" "), 500)), F.lit(None).cast("string"))
+
+
+def _norm_html(board: str):
+    def run(s, d):
+        from boardsieve.sources import html_boards
+
+        return getattr(html_boards, board)(landed_html(s, d, board)).select(
+            "url", "title", "company", "location", "is_remote", F.array_join("tags", "|").alias("tags"),
+            "salary", F.date_format("posted_at", _TIME).alias("posted_at"))
+    return run
+
+
+QUERIES.update({
+    "norm_html_cards": _norm_html("techjobsforgood"), "norm_eurobrussels": _norm_html("eurobrussels"),
+    "norm_goodjobs": _norm_html("goodjobs"), "norm_linkedin": _norm_html("linkedin"),
+})

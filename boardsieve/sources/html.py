@@ -1,91 +1,88 @@
-"""HTML extraction (X1): elements of interest as rows, parsed where the page lies.
+"""HTML extraction (X1): elements as rows, parsed where the page lies.
 
 HTML is not a regular language and Spark has no HTML reader, so this is the one
 Python operator.  It streams Arrow batches through ``mapInPandas``: no shuffle,
-one page in memory at a time, all further logic stays in DataFrame expressions.
+a bounded number of elements in memory.  Every element carries the path of its ancestors,
+so that "inside a card" is an explode of the path and not a join of a page with
+itself; all further logic is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 from typing import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCKS = frozenset(("div", "li", "article", "section"))
+# Ship the parser itself to the executors: they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ELEMENTS_SCHEMA = ("request_seq BIGINT, fetched_at TIMESTAMP, node INT, parent INT, block INT, card INT, last INT, "
-                   "tag STRING, classes ARRAY<STRING>, href STRING, alt STRING, datetime STRING, text STRING, "
-                   "spaced_text STRING")
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_NO_TEXT = frozenset(("script", "style", "template"))
+_WHOLE_PAGE = frozenset(("html", "head", "body"))  # their text is the page: not repeated per element
+
+_COLUMNS = ("request_seq", "fetched_at", "node", "tag", "classes", "href", "alt", "datetime", "text", "spaced_text", "path")
+ELEMENTS_SCHEMA = ("request_seq BIGINT, fetched_at TIMESTAMP, node INT, tag STRING, classes ARRAY<STRING>, href STRING, "
+                   "alt STRING, datetime STRING, text STRING, spaced_text STRING, "
+                   "path ARRAY<STRUCT<node: INT, tag: STRING, classes: ARRAY<STRING>, href: STRING>>")
 
 
 class _Elements(HTMLParser):
-    """Flat list of elements with their parent, enclosing blocks and inner text."""
+    """Collects elements in document order with their path and inner text pieces."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
-        self.open: list[int] = []
+        self.open: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
         known = dict(attrs)
-        parent = self.open[-1] if self.open else -1
-        node = len(self.rows)
-        blocks = [i for i in reversed(self.open) if self.rows[i]["tag"] in BLOCKS]
-        self.rows.append({
-            "node": node, "parent": parent, "last": node, "tag": tag,
-            "block": blocks[0] if blocks else -1,
-            "card": next((i for i in blocks[1:] if self.rows[i]["tag"] != "li"), -1),
-            "classes": (known.get("class") or "").split(), "href": known.get("href"),
-            "alt": known.get("alt"), "datetime": known.get("datetime"), "pieces": [],
-        })
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        row = {"node": len(self.rows), "tag": tag, "classes": (known.get("class") or "").split(),
+               "href": known.get("href"), "alt": known.get("alt"), "datetime": known.get("datetime"), "pieces": []}
+        step = {name: row[name] for name in ("node", "tag", "classes", "href")}
+        row["path"] = [*(self.open[-1]["path"] if self.open else []), step]
+        self.rows.append(row)
+        if tag not in _VOID:
+            self.open.append(row)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[depth]]["tag"] == tag:
-                for node in self.open[depth:]:
-                    self.rows[node]["last"] = len(self.rows) - 1
+            if self.open[depth]["tag"] == tag:
                 del self.open[depth:]
                 return
 
     def handle_data(self, data):
-        if data.strip():
-            for node in self.open:
-                self.rows[node]["pieces"].append(data.strip())
+        piece = data.strip()
+        if piece and self.open and self.open[-1]["tag"] not in _NO_TEXT:
+            for row in self.open:
+                if row["tag"] not in _WHOLE_PAGE:
+                    row["pieces"].append(piece)
+
 
-    def finish(self) -> list[dict]:
-        self.close()
-        for node in self.open:
-            self.rows[node]["last"] = len(self.rows) - 1
-        for row in self.rows:
-            pieces = row.pop("pieces")
-            row["text"] = "".join(pieces)
-            row["spaced_text"] = " ".join(pieces)
-        return self.rows
+_ROWS_PER_FRAME = 20_000
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.strip().split()[0] for part in ELEMENTS_SCHEMA.replace("ARRAY<STRING>", "ARRAY").split(",")]
+    rows: list[tuple] = []
     for batch in batches:
         for page in batch.itertuples(index=False):
             parser = _Elements()
             parser.feed(page.body)
-            rows = [{"request_seq": page.request_seq, "fetched_at": page.fetched_at, **row} for row in parser.finish()]
-            if rows:
-                yield pd.DataFrame(rows)[names]
+            parser.close()
+            rows += [(page.request_seq, page.fetched_at, r["node"], r["tag"], r["classes"], r["href"], r["alt"], r["datetime"],
+                      "".join(r["pieces"]), " ".join(r["pieces"]), r["path"]) for r in parser.rows]
+            if len(rows) >= _ROWS_PER_FRAME:
+                yield pd.DataFrame(rows, columns=list(_COLUMNS))
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=list(_COLUMNS))
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """One row per element of each page (columns request_seq, fetched_at, body)."""
-    source = pages.select("request_seq", "fetched_at", "body").filter(F.col("body").isNotNull())
+    source = pages.select(F.col("request_seq").cast("long"), "fetched_at", "body").filter(F.col("body").isNotNull())
     return source.mapInPandas(_extract, ELEMENTS_SCHEMA)
