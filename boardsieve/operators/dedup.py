@@ -49,7 +49,8 @@ def filter_unseen(batch: DataFrame, ledger_keys: DataFrame, max_broadcast_rows:
     ledger is streamed without a shuffle and only the hits come back.
     """
     for key in ("id", "content_hash"):
-        seen = ledger_keys.select(key)
+        # A hash may repeat in the ledger without end: combine it before it travels.
+        seen = ledger_keys.select(key).distinct()
         if max_broadcast_rows is not None:
             wanted = batch.select(key).distinct()
             hinted = bounded_broadcast(wanted, max_broadcast_rows)

@@ -28,20 +28,27 @@ def _letters(text: Column) -> Column:
 
 
 def _trigrams(text: Column) -> Column:
-    """Overlapping trigrams from one regex pass: a look-ahead consumes nothing."""
-    return F.regexp_extract_all(_letters(text), F.lit("(?=(...))"), 1)
+    """Overlapping trigrams of blank-padded words, from one regex pass over ``_letters`` text.
+
+    A look-ahead consumes nothing; a blank in the middle would join two words.
+    """
+    return F.regexp_extract_all(text, F.lit("(?=(.[^ ].))"), 1)
 
 
 def train_profile(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """Rows (gram, lang, gain): log probability above that of an absent gram.
 
-    Counting is combined map-side; what is shuffled is bounded by the distinct
-    (language, trigram) pairs, not by the corpus.  The counts are checkpointed
-    because totals, vocabulary and gains all read them.
+    Words are counted first and cut into trigrams once per distinct word.  Both
+    counts are combined map-side; the trigram table is bounded by the distinct
+    (language, trigram) pairs, not by the corpus.  It is checkpointed because
+    totals, vocabulary and gains all read it.
     """
     ensure_checkpoint_dir(labelled.sparkSession)
-    grams = labelled.select(F.col(lang).alias("lang"), F.explode(_trigrams(F.col(text))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    words = labelled.select(F.col(lang).alias("lang"), F.explode(F.split(F.trim(_letters(F.col(text))), " ")).alias("word"))
+    words = words.filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    grams = words.select("lang", "n", F.explode(_trigrams(padded)).alias("gram"))
+    counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
     vocabulary = counts.agg(F.count_distinct("gram")).scalar()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("size", vocabulary)
     absent = totals.withColumn("absent", _log_probability(F.lit(0), F.col("total"), F.col("size")))
@@ -63,7 +70,7 @@ def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame) -> D
     profile is joined by a shuffle, with the grams counted per key first and a
     frequent gram split by the skew join.
     """
-    texts = df.select(key, _trigrams(F.col(text)).alias("grams"))
+    texts = df.select(key, _trigrams(_letters(F.col(text))).alias("grams"))
     texts = texts.select(key, "grams", F.size("grams").cast("long").alias("length")).filter("length > 0")
     grams = texts.select(key, "length", F.explode(F.concat("grams", F.array(F.lit(_EVERY_GRAM)))).alias("gram"))
     weight = F.when(F.col("gram") == _EVERY_GRAM, F.col("length")).otherwise(F.lit(1).cast("long"))

@@ -23,8 +23,9 @@ def _text(column: str):
     return F.date_format(column, _TIME).alias(column)
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).filter(F.col("fetched_at") < ledger.cutoff(corpus.as_of(), 24))
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with the organisation flag only, for queries that need no other score."""
+    return enrich.with_ngo_score(corpus.postings(spark, sf_dir), RULES)
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def _seen_semi(s, d):
 
 
 def _overview(s, d):
-    return stats.overview(scored(s, d), corpus.as_of()).withColumn("last_fetched_at", _text("last_fetched_at"))
+    return stats.overview(_classed(s, d), corpus.as_of()).withColumn("last_fetched_at", _text("last_fetched_at"))
 
 
 def _digest(s, d, day_floor=False):
@@ -183,16 +184,16 @@ QUERIES = {
     "filter_unseen": _filter_unseen,
     "ledger_append": _ledger_append,
     "seen_semi": _seen_semi,
-    "split_counts": lambda s, d: stats.split_counts(scored(s, d)),
+    "split_counts": lambda s, d: stats.split_counts(_classed(s, d)),
     "stats_overview": _overview,
-    "stats_sources": lambda s, d: stats.by_source(scored(s, d)),
-    "stats_companies": lambda s, d: stats.top_companies(scored(s, d)),
-    "stats_bars": lambda s, d: stats.source_bars(scored(s, d)),
-    "stats_names": lambda s, d: stats.company_names(scored(s, d)),
+    "stats_sources": lambda s, d: stats.by_source(corpus.postings(s, d)),
+    "stats_companies": lambda s, d: stats.top_companies(corpus.postings(s, d)),
+    "stats_bars": lambda s, d: stats.source_bars(corpus.postings(s, d)),
+    "stats_names": lambda s, d: stats.company_names(corpus.postings(s, d)),
     "digest_recent": _digest_recent,
     "digest_day_floor": _digest_day,
     "weekly_ngo": _weekly_ngo,
-    "weekly_general": lambda s, d: ledger.weekly_general(scored(s, d), corpus.as_of()),
+    "weekly_general": lambda s, d: ledger.weekly_general(_classed(s, d), corpus.as_of()),
     "mark_notified": _mark,
     "backfill_scores": _backfill,
     "schema_evolve": _schema_evolve,
@@ -201,7 +202,7 @@ QUERIES = {
     "render_card": _card,
     "render_html": lambda s, d: scored(s, d).select("ingest_seq", render.render_html().alias("message")),
     "age_text": _ages,
-    "batch_header": lambda s, d: stats.batch_header(scored(s, d)),
+    "batch_header": lambda s, d: stats.batch_header(_classed(s, d)),
     "digest_body": _digest_body,
     "weekly_body": _weekly_body,
     "digest_windows": _digest_windows,

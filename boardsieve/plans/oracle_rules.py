@@ -160,7 +160,7 @@ LETTERS = "' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}]+', ' ', 'g')) ||
 
 def grams(table: str, keys: str, text: str) -> str:
     letters = LETTERS.format(text)
-    return f"""SELECT {keys}, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
+    return f"""SELECT {keys}, unnest(list_transform(list_filter(range(1, len(c) - 1), lambda i: c[i + 1] <> ' '), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
     FROM (SELECT {keys}, string_split({letters}, '') AS c FROM {table})"""
 
 
