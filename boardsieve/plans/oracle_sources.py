@@ -193,13 +193,37 @@ SQL: dict[str, str] = {
 _SPLIT = "regexp_replace({0}, '\\s+', ' ', 'g')"
 
 
-def html_board(url: str, location: str, tags: str, remote: str = "TRUE", salary: str = _NO, posted: str = _NO, company: str = "company", where: str = "TRUE") -> str:
-    return f"""{_F}, paged AS (SELECT *, max(fetched_at) OVER (PARTITION BY ingest_seq // 20) AS page_fetched FROM fields)
+def html_board(url: str, location: str, tags: str, remote: str = "TRUE", salary: str = _NO, posted: str = _NO, company: str = "company", where: str = "TRUE",
+               ctes: str = "") -> str:
+    return f"""{_F}{ctes}, paged AS (SELECT *, max(fetched_at) OVER (PARTITION BY ingest_seq // 20) AS page_fetched FROM fields)
       SELECT {url} AS url, {sql_strip('title')} AS title, {sql_strip(company)} AS company, {location} AS location, {remote} AS is_remote,
         {tags} AS tags, {salary} AS salary, {posted} AS posted_at FROM paged WHERE {where}"""
 
 
-_GOOD_TEXT = f"({sql_strip('title')} || ' ' || card || ' ' || {sql_strip('company')})"
+_PAGE_TEXT = f"({sql_strip('title')} || ' ' || card || ' ' || {sql_strip('company')})"
+_FULL_CTE = f""", fields0 AS (SELECT *, {_PAGE_TEXT} AS full_text FROM fields)"""
+
+
+def on_full_text(sql: str) -> str:
+    """The same rule over the text of the whole card instead of its middle part."""
+    return sql.replace("lower(card)", "lower(full_text)").replace("regexp_extract(card,", "regexp_extract(full_text,")
+
+
+_LOW = "lower(full_text)"
+_GOOD_TAGS = f"""array_to_string(list_filter([CASE WHEN contains({_LOW}, 'hybrid') THEN 'Hybrid' END, CASE WHEN contains({_LOW}, 'remote') THEN 'Remote' END,
+  CASE WHEN {any_of(_LOW, ['vollzeit', 'full-time'])} THEN 'Full-time' END, CASE WHEN {any_of(_LOW, ['teilzeit', 'part-time'])} THEN 'Part-time' END],
+  lambda x: x IS NOT NULL), '|')"""
+_SLUG_CTE = f""", w AS (SELECT ingest_seq, unnest(string_split(slug, '_')) AS word, unnest(range(len(string_split(slug, '_')))) AS idx FROM fields),
+  stops AS (SELECT ingest_seq, max(CASE WHEN word NOT IN {_SLUG_PLACES} THEN idx END) AS stop FROM w GROUP BY 1),
+  slugs AS (SELECT ingest_seq, string_agg(CASE WHEN idx > coalesce(stop, -1) THEN word END, ' ' ORDER BY idx) AS slug_place FROM w JOIN stops USING (ingest_seq) GROUP BY 1)"""
+SQL["norm_goodjobs"] = html_board(
+    f"'{v.GOODJOBS_URL}/jobs/p-' || ingest_seq", on_full_text(WORKTYPE), _GOOD_TAGS, remote=any_of(_LOW, ["remote", "hybrid"]),
+    salary=on_full_text(f"CASE WHEN {_LO} <> '' THEN {_LO} || ' – ' || {_HI} || '/yr' END"),
+    where=f"NOT {any_of(_LOW, v.GOODJOBS_SKIP)}", ctes=_FULL_CTE).replace("FROM fields)\n", "FROM fields0)\n")
+SQL["norm_eurobrussels"] = html_board(
+    f"'{v.EUROBRUSSELS_URL}/job_display/' || ingest_seq || '/' || slug", f"coalesce(nullif(slug_place, ''), '{v.EUROBRUSSELS_DEFAULT_LOCATION}')",
+    f"array_to_string(({on_full_text(PHRASES)})[1:10], '|')", remote="FALSE",
+    ctes=_FULL_CTE + _SLUG_CTE).replace("FROM fields)\n", "FROM fields0 JOIN slugs USING (ingest_seq))\n")
 SQL["norm_html_cards"] = html_board(f"'{v.TECHJOBS_URL}/jobs/' || ingest_seq", "coalesce(nullif(country, ''), 'Remote')", "kind")
 SQL["norm_linkedin"] = html_board(f"'{v.LINKEDIN_URL}/jobs/view/' || ingest_seq", "coalesce(country, '')", "''",
                                   posted=fmt(MOMENT.replace("fetched_at", "page_fetched")))

@@ -27,10 +27,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; only an unset one (tests) gets a local folder."""
+    """Return the checkpoint folder the session names; only a local session may lack one."""
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         current = tempfile.mkdtemp(prefix="boardsieve-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)
