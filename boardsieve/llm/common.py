@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def grouped(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 16384) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by ``keys`` joined into frames that hold whole groups, ``rows`` or more rows if there are."""
+    held: list[pd.DataFrame] = []
+    count = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        count += len(batch)
+        last = batch[keys].iloc[-1]
+        if count < rows or (batch[keys].iloc[0] == last).all():
+            continue
+        cut = int((batch[keys] == last).all(axis=1).to_numpy().argmax())  # where the last group of the batch starts
+        yield pd.concat([*held[:-1], batch.iloc[:cut]], ignore_index=True)
+        held = [batch.iloc[cut:]]
+        count = len(held[0])
+    if held:
+        yield pd.concat(held, ignore_index=True)

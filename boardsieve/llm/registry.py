@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from boardsieve.llm import language_id, mixing, secret_scan, token_counts
+from boardsieve.llm import embedding_dedup, html_text, language_id, mixing, repeats, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_embedding_near_dedup": embedding_dedup.op6_embedding_near_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_html_extraction": html_text.op8_html_extraction,
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
     "op4_secret_scan": secret_scan.OP4_SQL,
+    "op6_embedding_near_dedup": embedding_dedup.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
