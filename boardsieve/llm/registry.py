@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from boardsieve.llm import embedding_dedup, html_text, language_id, mixing, repeats, secret_scan, simhash, token_counts, warc
+from boardsieve.llm import decontaminate, embedding_dedup, html_text, language_id, mixing, repeats, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_embedding_near_dedup": embedding_dedup.op6_embedding_near_dedup,

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardsieve.llm.common import grouped, small_batches, stored, table, text_or_empty
+from boardsieve.llm.hashing import gram_hashes
 
 LENGTH = 200
 GRAM = 48
@@ -44,32 +44,6 @@ _PIECE = 1 << 20
 _NO_ID = -(1 << 63)
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit numbers."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << _PLACE_BITS
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A hash of each ``gram`` bytes of ``data``, from prefix sums modulo 2^64."""
-    up, down = _powers()
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    count = len(data) - gram + 1
-    return _mixed((sums[gram:] - sums[:count]) * down[:count])
-
-
 def _first_lowest(keys: np.ndarray, width: int) -> np.ndarray:
     """Smallest key of each ``width`` neighbours, by running minima from both ends of blocks."""
     count = len(keys) - width + 1
