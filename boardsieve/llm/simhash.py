@@ -41,15 +41,19 @@ _CHUNK = 255
 
 
 def shingle_digests(text: str | None, words: int, bits: int, seed: int) -> bytes:
-    """Digests of a text's shingles, one after another: XXH64, or XXH3 of 128 bits."""
+    """Digests of a text's shingles, one after another: XXH64, one XXH3 of 128 bits, or two of them."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return b""
     joined = b" ".join(parts)
     ends = list(accumulate([len(p) + 1 for p in parts]))
     starts = [0, *ends[:-1]]
-    digest = xxhash.xxh64_digest if bits == 64 else xxhash.xxh3_128_digest
-    return b"".join([digest(joined[s:e - 1], seed) for s, e in zip(starts, ends[words - 1:] or ends[-1:], strict=False)])
+    pieces = [joined[s:e - 1] for s, e in zip(starts, ends[words - 1:] or ends[-1:], strict=False)]
+    if bits == 64:
+        return b"".join([xxhash.xxh64_digest(p, seed) for p in pieces])
+    if bits == 128:
+        return b"".join([xxhash.xxh3_128_digest(p, seed) for p in pieces])
+    return b"".join([xxhash.xxh3_128_digest(p, s) for p in pieces for s in (seed, seed + 1)])
 
 
 def majority(digests: bytes, bits: int) -> bytes:
@@ -94,7 +98,7 @@ def _blocks(prints: pd.Series, radius: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int, bits: int, seed: int, bands: int = 0) -> DataFrame:
-    """``doc_id``, ``print`` (binary) and, with bands, ``keys`` of every row."""
+    """``doc_id``, ``text_key``, ``print`` (binary) and, with bands, ``keys`` of every row."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("print binary, keys array<long>")
@@ -103,8 +107,8 @@ def fingerprints(docs: DataFrame, words: int, bits: int, seed: int, bands: int =
             found = [shingle_digests(t, words, bits, seed) for t in texts]
             yield pd.DataFrame({"print": [majority(d, bits) for d in found], "keys": [min_bands(d, bits, bands) if bands else None for d in found]})
 
-    rows = docs.select("doc_id", of_texts.asNondeterministic()(F.col("text")).alias("made"))
-    return rows.select("doc_id", "made.print", "made.keys") if bands else rows.select("doc_id", "made.print")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), of_texts.asNondeterministic()(F.col("text")).alias("made"))
+    return rows.select("doc_id", "text_key", "made.print", *(["made.keys"] if bands else []))
 
 
 def _links_in_tiles(key: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +178,7 @@ def tiles(keyed: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int = 2, seed: int = 42, bands: int = 0) -> DataFrame:
-    """``doc_id``, ``print`` and ``component`` (the smallest doc_id reached by links) for every row of ``docs``."""
+    """``doc_id``, ``text_key``, ``print`` and ``component`` (the smallest doc_id reached by links) for every row of ``docs``."""
     prints = stored(fingerprints(docs, words, bits, seed, bands), "simhash")
     if bands:
         nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", F.coalesce("doc_id", F.lit(1 << 62))).alias("keys"))
@@ -192,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int
     links = dealt.select("key", "tile", "node", "print").mapInPandas(_compare(radius, bits), "a long, b long")
     components = connected_components(links)
     classes = nodes.join(components, "node", "left").select(F.col("print").alias("class_print"), F.coalesce("component", "node").alias("component"))
-    return prints.select("doc_id", "print").join(classes, F.col("print") == F.col("class_print"), "left").drop("class_print")
+    return prints.select("doc_id", "text_key", "print").join(classes, F.col("print") == F.col("class_print"), "left").drop("class_print")
 
 
 def op5_simhash_near_dedup(spark, folder: str) -> DataFrame:
