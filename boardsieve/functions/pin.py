@@ -1,8 +1,16 @@
-"""Pin derived columns so that later filters do not repeat their expressions."""
+"""Pin what several readers need: derived columns in a plan, rows in the shared folder."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardsieve.session import ensure_checkpoint_dir
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Rows written once to the shared checkpoint folder, because several branches read them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
 
 def evaluate_once(df: DataFrame, *names: str) -> DataFrame:
     """Compute the named columns once, whatever is filtered on them afterwards.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardsieve.functions.pin import evaluate_once
+from boardsieve.functions.pin import evaluate_once, pinned
 from boardsieve.functions.text import capped
 from boardsieve.operators import dedup, enrich, filters
 from boardsieve.operators.language import ENGLISH, detect_language, long_enough, only_english
@@ -79,20 +79,22 @@ def language_text() -> Column:
     return F.concat_ws(" ", "title", capped(F.col("description"), 300))
 
 
-_LEAST_HASH = -(2 ** 63)
+def sequenced(df: DataFrame) -> DataFrame:
+    """Rows with a checked sequence: a null one is an error, because rows are told apart by it."""
+    wrong = F.raise_error(F.lit("a row has no ingest_seq")).cast("long")
+    return df.withColumn("ingest_seq", F.coalesce("ingest_seq", wrong))
 
 
-def shared_by_row(df: DataFrame) -> DataFrame:
-    """Exchange rows on their unique sequence so that several branches read one shuffle.
+def check_unique(df: DataFrame) -> None:
+    """Raise if two rows share a sequence."""
+    repeated = df.groupBy("ingest_seq").count().filter("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"ingest_seq {repeated[0][0]} stands for {repeated[0][1]} rows")
 
-    Spark reuses an exchange only if both branches ask for the same columns, but
-    each would be pruned to what it needs.  The filter holds for every row; it
-    reads all columns, so no branch loses one.  Joins and aggregates per row on
-    top of the exchange need no further one.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pinned = evaluate_once(df.repartition(partitions, "ingest_seq"), *df.columns)
-    return pinned.filter(F.xxhash64(*df.columns) >= _LEAST_HASH)
+
+def _check_language(rules: RuleSet, profile: DataFrame | None) -> None:
+    if rules.english_only and profile is None:
+        raise ValueError("english_only needs a language profile; train one or set english_only=False")
 
 
 def _keep_survivors(passed: DataFrame, rules: RuleSet) -> DataFrame:
@@ -103,14 +105,22 @@ def _drop_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
+MAX_BROADCAST_SURVIVORS = 1_000_000
+SURVIVOR_COLUMNS = ("ingest_seq", "content_hash", "company", "posted_at", "fetched_at")
+
+
 def run_cascade(df: DataFrame, rules: RuleSet, as_of: Column, max_age_days: int | None = None,
                 profile: DataFrame | None = None) -> DataFrame:
     """Accepted rows with scope, organisation flag and scores.
 
     Acceptance is the conjunction of all row rules, so their order is free here.
     Age and title rules run first in the scan stage; scope and location search
-    the long texts of what is left; language and scores see only survivors.
+    the long texts of what is left.  Only keys, times and the head of the text go
+    through the language rule, dedup and cap; the wide rows of the survivors are
+    fetched back by sequence and scored then, unless a score decides who passes.
     """
+    _check_language(rules, profile)
+    df = sequenced(df)
     recent = df.filter(filters.recent_enough(rules, as_of, max_age_days))
     cheap = filters.wanted_role(rules) & filters.compatible_stack(rules) & filters.not_blocked_company(rules)
     if rules.senior_only:
@@ -122,12 +132,15 @@ def run_cascade(df: DataFrame, rules: RuleSet, as_of: Column, max_age_days: int
     scoped = evaluate_once(with_scope(likely, rules), "scope").withColumn(
         "_place", filters.not_onsite_board() & filters.not_onsite_germany(rules) & filters.eligible_location(rules))
     passed = evaluate_once(scoped, "_place").filter("_place").drop("_place")
-    if rules.english_only and profile is not None:
-        passed = only_english(shared_by_row(passed), "ingest_seq", language_text(), profile)
-    passed = enrich.with_scores(passed, rules)
     if rules.min_match_score > 0:
-        passed = passed.filter(filters.enough_match(rules))
-    return _keep_survivors(_drop_helpers(passed), rules)
+        passed = enrich.with_scores(passed, rules).filter(filters.enough_match(rules))
+    narrow = passed.select(*SURVIVOR_COLUMNS, language_text().alias("_lang_text"))
+    if rules.english_only:
+        narrow = only_english(pinned(narrow), "ingest_seq", F.col("_lang_text"), profile)
+    kept = pinned(_keep_survivors(narrow.select(*SURVIVOR_COLUMNS), rules).select("ingest_seq"))
+    wide = df.join(dedup.bounded_broadcast(kept, MAX_BROADCAST_SURVIVORS), "ingest_seq", "left_semi")
+    texts = evaluate_once(with_scope(enrich.with_rule_texts(wide), rules), "scope", *enrich.RULE_TEXTS)
+    return _drop_helpers(enrich.with_scores(texts, rules))
 
 
 REPORT_COLUMNS = ("ingest_seq", "id", "content_hash", "source", "title", "company", "location",
@@ -142,16 +155,17 @@ def with_reject_reason(df: DataFrame, rules: RuleSet, as_of: Column, max_age_day
     wrong with it.  Accepted rows are unique per content hash, so the join side
     is narrow and a hot hash is split by the skew join.
     """
-    labelled = label_rows(df, rules, as_of, max_age_days)
+    _check_language(rules, profile)
+    labelled = label_rows(sequenced(df), rules, as_of, max_age_days)
     if rules.min_match_score > 0:
         too_low = F.concat(F.lit("match score: "), F.col("match_score").cast("string"),
                            F.lit(f"% < minimum {rules.min_match_score}%"))
         labelled = enrich.with_scores(labelled, rules)
         labelled = labelled.withColumn("_late", F.coalesce("_late", F.when(~filters.enough_match(rules), too_low)))
     labelled = labelled.withColumn("_lang_text", F.when(F.col("_early").isNull(), language_text()))
-    rows = shared_by_row(labelled.select(*REPORT_COLUMNS, "_early", "_late", "_lang_text"))
+    rows = pinned(labelled.select(*REPORT_COLUMNS, "_early", "_late", "_lang_text"))
     language = F.lit(None).cast("string")
-    if rules.english_only and profile is not None:
+    if rules.english_only:
         texts = rows.filter(long_enough(F.col("_lang_text"))).select("ingest_seq", "_lang_text")
         rows = rows.join(detect_language(texts, "ingest_seq", "_lang_text", profile), "ingest_seq", "left")
         language = F.when(F.col("detected_lang") != ENGLISH, LANGUAGE_REASON)
@@ -190,10 +204,10 @@ def reject_report(reasoned: DataFrame) -> DataFrame:
     return counts.orderBy(F.col("rejected").desc(), "category")
 
 
-def funnel(reasoned: DataFrame, ledger_keys: DataFrame) -> DataFrame:
+def funnel(reasoned: DataFrame, ledger_keys: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
     """Raw, accepted and new rows per source, in one pass over the labelled rows."""
     accepted = reasoned.filter(F.col("reject_reason").isNull()).select("id", "content_hash", "ingest_seq")
-    new = dedup.filter_unseen(accepted, ledger_keys).select("ingest_seq", F.lit(True).alias("_new"))
+    new = dedup.filter_unseen(accepted, ledger_keys, max_broadcast_rows).select("ingest_seq", F.lit(True).alias("_new"))
     joined = reasoned.select("source", "ingest_seq", "reject_reason").join(new, "ingest_seq", "left")
     return joined.groupBy("source").agg(
         F.count(F.lit(1)).alias("raw"),

@@ -41,31 +41,44 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def _met(stored: DataFrame, probe: DataFrame, key: str, max_broadcast_rows: int | None) -> DataFrame:
+    """Distinct stored keys that the probe asks for.
+
+    A probe proven small visits the stored rows instead of the other way round: it is broadcast
+    into a semi join, so they are streamed without a shuffle and only the hits travel.
+    """
+    if max_broadcast_rows is not None:
+        wanted = probe.select(key).distinct()
+        hinted = bounded_broadcast(wanted, max_broadcast_rows)
+        if hinted is not wanted:
+            stored = stored.join(hinted, key, "left_semi")
+    # A key may repeat in the ledger without end: it is combined before it travels.
+    return stored.select(key).distinct()
+
+
+def _both_keys(*kept: str) -> list:
+    """Columns ``kept`` and one row per key, each key marked with its kind."""
+    marked = F.array(F.concat(F.lit("i"), "id"), F.concat(F.lit("h"), "content_hash"))
+    return [*kept, F.explode(F.array_compact(marked)).alias("_key")]
+
+
 def filter_unseen(batch: DataFrame, ledger_keys: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
     """Rows of the batch whose id and content hash are both absent from the ledger.
 
-    With ``max_broadcast_rows`` a batch proven small visits the ledger instead
-    of the other way round: its keys are broadcast into a semi join, so the
-    ledger is streamed without a shuffle and only the hits come back.
+    One pass over the ledger answers for both keys.  Rows are told apart by ``ingest_seq``.
     """
-    for key in ("id", "content_hash"):
-        # A hash may repeat in the ledger without end: combine it before it travels.
-        seen = ledger_keys.select(key).distinct()
-        if max_broadcast_rows is not None:
-            wanted = batch.select(key).distinct()
-            hinted = bounded_broadcast(wanted, max_broadcast_rows)
-            if hinted is not wanted:
-                seen = seen.join(hinted, key, "left_semi").distinct()
-        batch = batch.join(seen, key, "left_anti")
-    return batch
-
-
-def insert_or_ignore(batch: DataFrame, ledger_keys: DataFrame) -> DataFrame:
+    asked = batch.select(*_both_keys("ingest_seq"))
+    met = _met(ledger_keys.select(*_both_keys()), asked, "_key", max_broadcast_rows)
+    known = asked.join(met, "_key", "left_semi").select("ingest_seq").distinct()
+    return batch.join(known, "ingest_seq", "left_anti")
+
+
+def insert_or_ignore(batch: DataFrame, ledger_keys: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
     """Rows an append may write: first row per id in the batch, id not in the ledger."""
     first = keep_first(batch, ["id"], [F.col("ingest_seq").asc()])
-    return first.join(ledger_keys.select("id"), "id", "left_anti")
+    return first.join(_met(ledger_keys, batch, "id", max_broadcast_rows), "id", "left_anti")
 
 
-def seen(ids: DataFrame, ledger_keys: DataFrame) -> DataFrame:
+def seen(ids: DataFrame, ledger_keys: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
     """Probe ids that exist in the ledger."""
-    return ids.join(ledger_keys.select("id"), "id", "left_semi")
+    return ids.join(_met(ledger_keys, ids, "id", max_broadcast_rows), "id", "left_semi")

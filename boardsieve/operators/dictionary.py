@@ -1,43 +1,60 @@
 """Keyword dictionaries held in a table (E8, large company blocklists).
 
-A term occurs in a text exactly when its first characters do and the rest
-follows, so every text is cut into its distinct three-character pieces, joined
-to the terms on that anchor and verified.  The join is an equi join: a large
-dictionary is shuffled by anchor, a small one is broadcast, and a piece that
-occurs in most texts is split by the skew join.
+A term occurs in a text only if each of its trigrams does, so every term is anchored at the
+one of its trigrams that the fewest terms have, every text is cut into its distinct trigrams,
+and both meet on the anchor; what met is verified in full.  The join is an equi join of keys:
+texts stay behind and are met again by key, with all candidates of a text in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardsieve.operators.dedup import bounded_broadcast
 
 ANCHOR = 3
 MAX_BROADCAST_TERMS = 200_000
+# ASCII rules, the same in every engine that runs them.
+_OUTSIDE_WORD = r"[^A-Za-z0-9_]"
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """Overlapping pieces of a text, without repeats."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * size + "))"), 1))
 
 
 def _anchored(terms: DataFrame, term: str) -> DataFrame:
-    return terms.filter(F.col(term) != "").withColumn("_anchor", F.substring(term, 1, ANCHOR))
+    """Terms with their rarest trigram; shorter terms are their own anchor."""
+    known = terms.filter(F.col(term) != "")
+    pieces = F.when(F.length(term) <= ANCHOR, F.array(F.col(term))).otherwise(_pieces(F.col(term), ANCHOR))
+    cut = known.select(F.col(term).alias("_term"), F.explode(F.array_distinct(pieces)).alias("_anchor")).distinct()
+    counted = cut.join(cut.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_terms")), "_anchor")
+    rarest = counted.groupBy("_term").agg(F.min(F.struct("_terms", "_anchor"))["_anchor"].alias("_anchor"))
+    return known.join(rarest, F.col(term) == F.col("_term")).drop("_term")
+
 
+def has_whole_word(text: Column, term: Column) -> Column:
+    """Whether a term stands in a text with no letter, digit or underscore on either side."""
+    return F.regexp_like(text, F.concat(F.lit(r"(?:^|" + _OUTSIDE_WORD + r")\Q"), term, F.lit(r"\E(?:\z|" + _OUTSIDE_WORD + ")")))
 
-def occurrences(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "keyword") -> DataFrame:
-    """(key, term columns) for every term contained in the text of the key."""
-    anchored = _anchored(terms, term)
-    hinted = bounded_broadcast(anchored, MAX_BROADCAST_TERMS)
-    # Terms shorter than an anchor need pieces of their own length.
+
+def occurrences(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "keyword", whole_word: str | None = None) -> DataFrame:
+    """(key, term columns) for every term contained in the text of the key.
+
+    ``whole_word`` names a column of the terms that asks for a match of whole words.
+    """
+    anchored = bounded_broadcast(_anchored(terms, term), MAX_BROADCAST_TERMS)
     shortest = terms.agg(F.min(F.length(term))).first()[0] or ANCHOR
-    patterns = ["(?=(" + "." * size + "))" for size in range(min(shortest, ANCHOR), ANCHOR + 1)]
-    pieces = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(F.col(text), F.lit("(?s)" + pattern), 1) for pattern in patterns])))
-    if hinted is not anchored:
-        # The text stays in its task and is compared with the few terms of the anchor.
-        found = texts.select(key, text, F.explode(pieces).alias("_anchor")).join(hinted, "_anchor")
-        return found.filter(F.contains(text, term)).drop("_anchor", text)
-    # Large dictionary: only keys travel to the terms; texts are met again by key.
-    candidates = texts.select(key, F.explode(pieces).alias("_anchor")).join(anchored, "_anchor").drop("_anchor")
-    return candidates.join(texts.select(key, text), key).filter(F.contains(text, term)).drop(text)
+    sizes = range(min(max(shortest, 1), ANCHOR), ANCHOR + 1)
+    pieces = F.array_distinct(F.flatten(F.array(*[_pieces(F.col(text), size) for size in sizes])))
+    cut = texts.select(key, F.explode(pieces).alias("_anchor"))
+    found = cut.join(anchored, "_anchor").groupBy(key).agg(F.collect_list(F.struct(*terms.columns)).alias("_terms"))
+    both = texts.select(key, text).join(found, key).select(key, text, F.inline("_terms"))
+    hit = F.contains(text, term)
+    if whole_word is not None:
+        hit = hit & (~F.col(whole_word) | has_whole_word(F.col(text), F.col(term)))
+    return both.filter(hit).drop(text)
 
 
 def weighted_score(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -45,14 +62,11 @@ def weighted_score(texts: DataFrame, key: str, text: str, dictionary: DataFrame)
 
     ``dictionary`` has keyword, weight, grp, ord and whole_word.
     """
-    hits = occurrences(texts, key, text, dictionary.filter("NOT whole_word"))
-    words = dictionary.filter("whole_word")
-    tokens = texts.select(key, F.explode(F.array_distinct(F.split(text, r"(?U)\W+"))).alias("keyword"))
-    word_hits = tokens.join(words, "keyword").select(key, *[c for c in hits.columns if c != key])
-    first = hits.unionByName(word_hits).groupBy(key, "grp").agg(F.min_by("weight", "ord").alias("weight"))
+    hits = occurrences(texts, key, text, dictionary, whole_word="whole_word")
+    first = hits.groupBy(key, "grp").agg(F.min_by("weight", "ord").alias("weight"))
     return first.groupBy(key).agg(F.sum("weight").alias("score"))
 
 
 def without_terms(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str = "keyword") -> DataFrame:
     """Rows whose text contains none of the terms."""
-    return rows.join(occurrences(rows.select(key, text), key, text, terms, term).select(key), key, "left_anti")
+    return rows.join(occurrences(rows.select(key, text), key, text, terms, term).select(key).distinct(), key, "left_anti")

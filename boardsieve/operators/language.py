@@ -75,12 +75,18 @@ def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame) -> D
     grams = texts.select(key, "length", F.explode(F.concat("grams", F.array(F.lit(_EVERY_GRAM)))).alias("gram"))
     weight = F.when(F.col("gram") == _EVERY_GRAM, F.col("length")).otherwise(F.lit(1).cast("long"))
     grams = grams.select(key, "gram", weight.alias("n"))
-    hinted = bounded_broadcast(profile, MAX_BROADCAST_GRAMS)
-    if hinted is profile:
+    langs = sorted(r["lang"] for r in profile.filter(F.col("gram") == _EVERY_GRAM).select("lang").distinct().collect())
+    if not langs:
+        return df.select(key, F.lit(None).cast("string").alias("detected_lang")).limit(0)
+    # One row per gram with a gain for each language: a text's grams meet one row each and one sum per key is left.
+    names = [f"gain_{i}" for i in range(len(langs))]
+    wide = profile.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("gain")).otherwise(0)).alias(n) for n, x in zip(names, langs)])
+    hinted = bounded_broadcast(wide, MAX_BROADCAST_GRAMS)
+    if hinted is wide:
         grams = grams.groupBy(key, "gram").agg(F.sum("n").alias("n"))
-    per_lang = grams.join(hinted, "gram").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("score"))
-    best = per_lang.groupBy(key).agg(F.max(F.struct("score", "lang")).alias("best"))
-    return best.select(key, F.col("best.lang").alias("detected_lang"))
+    scores = grams.join(hinted, "gram").groupBy(key).agg(*[F.sum(F.col("n") * F.col(n)).alias(n) for n in names])
+    best = F.array_max(F.array(*[F.struct(F.col(n).alias("score"), F.lit(x).alias("lang")) for n, x in zip(names, langs)]))
+    return scores.select(key, best["lang"].alias("detected_lang"))
 
 
 def long_enough(text: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Parquet has no row update, so a change is a row in a side log and the current
 state is the ledger joined with the latest log entries.  Every write is keyed by
-a batch id in its folder name and overwrites only that folder, which makes a
-repeated batch harmless.
+day and batch id in its folder name and overwrites only those folders, which makes
+a repeated batch harmless; look-back windows read the folders of their days only.
 """
 
 from __future__ import annotations
@@ -17,18 +17,74 @@ from boardsieve.operators.normalise import split_tags
 from boardsieve.settings import RuleSet
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A batch-partitioned table with its ``batch`` column; a missing folder is an empty table."""
-    schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+MAX_BROADCAST_KEYS = 1_000_000
+_UNDATED = "1970-01-01"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders that partition a table: as many as days, batches or snapshots, not rows."""
+    folder, store = _folder(spark, path)
+    if not store.exists(folder):
+        return []
+    return sorted(s.getPath().getName() for s in store.listStatus(folder) if s.isDirectory() and "=" in s.getPath().getName())
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table with its ``day`` and ``batch`` columns; a missing folder is an empty table."""
+    schema = T.StructType([*schema.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+    folder, store = _folder(spark, path)
+    if not store.exists(folder):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
-def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch; writing the same batch again replaces it."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def append_batch(rows: DataFrame, path: str, batch_id: int, time: str) -> None:
+    """Write one batch under the days of its ``time`` column; writing the same batch again replaces it.
+
+    Folders of the batch under days it no longer has are removed first, so a repeated batch
+    leaves nothing of its earlier try.
+    """
+    spark = rows.sparkSession
+    for day in folders(spark, path):
+        old, store = _folder(spark, f"{path}/{day}/batch={batch_id}")
+        store.delete(old, True)
+    day = F.coalesce(F.to_date(time), F.to_date(F.lit(_UNDATED)))
+    dated = rows.withColumns({"day": day, "batch": F.lit(batch_id).cast("long")})
+    dated.write.mode("append").partitionBy("day", "batch").parquet(path)
+
+
+def compact_day(spark: SparkSession, path: str, schema: T.StructType, day: str, before_batch: int) -> None:
+    """Merge the batches of a day that are older than ``before_batch`` into the newest of them.
+
+    Batches from ``before_batch`` on may still be repeated and stay as they are.  The merged
+    rows are written to a folder of their own first, under a name readers skip; a run that breaks
+    off is finished by the next one.
+    """
+    batches = sorted(b for b in (int(x.split("=")[1]) for x in folders(spark, f"{path}/day={day}")) if b < before_batch)
+    staged, store = _folder(spark, f"{path}/_merged-{day}")
+    ready, _ = _folder(spark, f"{path}/_merged-{day}/_SUCCESS")
+    if not store.exists(ready):
+        if len(batches) < 2:
+            return
+        rows = read_table(spark, path, schema).filter((F.col("day") == F.lit(day).cast("date")) & F.col("batch").isin(batches))
+        rows.drop("day", "batch").coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/_merged-{day}")
+        marker, _ = _folder(spark, f"{path}/_merged-{day}/_upto-{batches[-1]}")
+        store.create(marker).close()
+    upto = max(int(s.getPath().getName().split("-")[1]) for s in store.listStatus(staged) if s.getPath().getName().startswith("_upto-"))
+    for batch in (b for b in batches if b <= upto):
+        store.delete(_folder(spark, f"{path}/day={day}/batch={batch}")[0], True)
+    store.rename(staged, _folder(spark, f"{path}/day={day}/batch={upto}")[0])
+
+
+def within(table: DataFrame, start: Column) -> DataFrame:
+    """A table's rows from the day of ``start`` on; the filter is on the folder name where there is one."""
+    return table.filter(F.col("day") >= F.to_date(start)) if "day" in table.columns else table
 
 
 def cutoff(as_of: Column, hours: int, day_floor: bool = False) -> Column:
@@ -50,28 +106,37 @@ def current_state(ledger: DataFrame, notified_log: DataFrame, score_log: DataFra
 
 def digest_recent(ledger: DataFrame, notified_log: DataFrame, as_of: Column, hours: int = v.DIGEST_HOURS,
                   limit: int = v.DIGEST_LIMIT, day_floor: bool = False) -> DataFrame:
-    """Newest rows of the window that no digest has shown yet."""
-    recent = ledger.filter(F.col("fetched_at") >= cutoff(as_of, hours, day_floor))
-    pending = recent.join(notified_log.select("id"), "id", "left_anti")
+    """Newest rows of the window that no digest has shown yet.
+
+    A mark can't be older than the row it marks, so only marks of the window are read.
+    """
+    start = cutoff(as_of, hours, day_floor)
+    recent = within(ledger, start).filter(F.col("fetched_at") >= start)
+    marks = within(notified_log, start).filter(F.col("notified_at") >= start)
+    pending = recent.join(marks.select("id").distinct(), "id", "left_anti")
     return pending.orderBy(F.col("fetched_at").desc(), "id").limit(limit)
 
 
 def weekly_ngo(ledger: DataFrame, as_of: Column, days: int = v.WEEKLY_DAYS,
                limit: int = v.WEEKLY_LIMIT, day_floor: bool = False) -> DataFrame:
     """Best non-profit rows of the week."""
-    week = ledger.filter(F.col("is_ngo") & (F.col("fetched_at") > cutoff(as_of, days * 24, day_floor)))
+    start = cutoff(as_of, days * 24, day_floor)
+    week = within(ledger, start).filter(F.col("is_ngo") & (F.col("fetched_at") > start))
     return week.orderBy(F.col("match_score").desc(), F.col("fetched_at").desc(), "id").limit(limit)
 
 
 def weekly_general(ledger: DataFrame, as_of: Column, days: int = v.WEEKLY_DAYS, day_floor: bool = False) -> DataFrame:
     """Number of other rows of the week."""
-    week = ledger.filter(~F.col("is_ngo") & (F.col("fetched_at") > cutoff(as_of, days * 24, day_floor)))
+    start = cutoff(as_of, days * 24, day_floor)
+    week = within(ledger, start).filter(~F.col("is_ngo") & (F.col("fetched_at") > start))
     return week.agg(F.count(F.lit(1)).alias("general"))
 
 
-def mark_notified(shown: DataFrame, notified_log: DataFrame, at: Column) -> DataFrame:
+def mark_notified(shown: DataFrame, notified_log: DataFrame, at: Column, max_broadcast_rows: int | None = MAX_BROADCAST_KEYS) -> DataFrame:
     """Log rows to append; an id that is already marked is not marked twice."""
-    fresh = shown.select("id").distinct().join(notified_log.select("id"), "id", "left_anti")
+    ids = shown.select("id").distinct()
+    marked = dedup.seen(ids, notified_log, max_broadcast_rows)
+    fresh = ids.join(marked, "id", "left_anti")
     return fresh.select("id", at.alias("notified_at"))
 
 
@@ -95,6 +160,30 @@ def with_match_score_column(df: DataFrame) -> DataFrame:
     return df.withColumn("match_score", F.coalesce("match_score", F.lit(0)))
 
 
+def write_snapshot(ledger: DataFrame, path: str, label: str, keep: int = v.SNAPSHOTS_KEPT) -> list[str]:
+    """Copy the ledger under a label that sorts by time, prune to the newest ``keep``, return their labels.
+
+    The copy is complete before anything is pruned; the same label again replaces its copy.
+    """
+    ledger.write.mode("overwrite").parquet(f"{path}/snapshot={label}")
+    return prune_snapshots(ledger.sparkSession, path, keep)
+
+
+def prune_snapshots(spark: SparkSession, path: str, keep: int = v.SNAPSHOTS_KEPT) -> list[str]:
+    """Delete all but the newest ``keep`` snapshot folders; returns the labels left."""
+    names = folders(spark, path)
+    for name in names[:-keep] if keep else names:
+        old, store = _folder(spark, f"{path}/{name}")
+        store.delete(old, True)
+    return [name.split("=", 1)[1] for name in (names[-keep:] if keep else [])]
+
+
+def read_snapshot(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
+    """A snapshot by label, by default the newest."""
+    name = f"snapshot={label}" if label else folders(spark, path)[-1]
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def kept_snapshots(snapshots: DataFrame, column: str = "snapshot", keep: int = v.SNAPSHOTS_KEPT) -> DataFrame:
     """The newest ``keep`` snapshot labels.
 
@@ -111,6 +200,9 @@ def retain_snapshots(snapshots: DataFrame, column: str = "snapshot", keep: int =
 
 
 def append_new(batch: DataFrame, ledger: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
-    """What one scan adds: unseen by id and hash, then one row per id."""
-    keys = ledger.select("id", "content_hash")
-    return dedup.insert_or_ignore(dedup.filter_unseen(batch, keys, max_broadcast_rows), keys)
+    """What one scan adds: unseen by id and hash, then the first row per id.
+
+    Ids of the ledger are gone after the first step, so the second looks at the batch only.
+    """
+    unseen = dedup.filter_unseen(batch, ledger.select("id", "content_hash"), max_broadcast_rows)
+    return dedup.keep_first(unseen, ["id"], [F.col("ingest_seq").asc()])

@@ -6,13 +6,17 @@ batch is the rest, so both together are the whole posting view.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsieve.functions import fixed_values as v
+from boardsieve.functions.pin import pinned
 from boardsieve.operators import cascade, dedup, dictionary, enrich, ledger, render, stats
 from boardsieve.plans import corpus
 from boardsieve.plans.rule_queries import RULES, reasoned, scored
+from boardsieve.session import ensure_checkpoint_dir
 from boardsieve.sources.parsers import address
 from boardsieve.streaming import windows
 
@@ -37,30 +41,30 @@ def _stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("fetched_at") < ledger.cutoff(corpus.as_of(), 24)).select("id", "content_hash")
 
 
-def _notified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows announced so far: every high match of the ledger and the last day."""
-    return scored(spark, sf_dir).filter("match_score >= 60").select("id", corpus.as_of().alias("notified_at"))
+def _ledger_and_marks(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The named ledger columns, scored once, and the marks: every high match was announced."""
+    rows = pinned(scored(spark, sf_dir).select("id", "fetched_at", "match_score", *columns))
+    return rows, rows.filter("match_score >= 60").select("id", corpus.as_of().alias("notified_at"))
 
 
 def _filter_unseen(s, d):
-    return dedup.filter_unseen(_batch(s, d), _stored_keys(s, d)).select("ingest_seq", "id")
+    return dedup.filter_unseen(_batch(s, d), _stored_keys(s, d), ledger.MAX_BROADCAST_KEYS).select("ingest_seq", "id")
 
 
 def _ledger_append(s, d):
-    keys = _stored_keys(s, d)
-    return dedup.insert_or_ignore(dedup.filter_unseen(_batch(s, d), keys), keys).select("ingest_seq", "id")
+    return ledger.append_new(_batch(s, d), _stored_keys(s, d), ledger.MAX_BROADCAST_KEYS).select("ingest_seq", "id")
 
 
 def _seen_semi(s, d):
-    return dedup.seen(_batch(s, d).select("ingest_seq", "id"), _stored_keys(s, d))
+    return dedup.seen(_batch(s, d).select("ingest_seq", "id"), _stored_keys(s, d), ledger.MAX_BROADCAST_KEYS)
 
 
 def _overview(s, d):
     return stats.overview(_classed(s, d), corpus.as_of()).withColumn("last_fetched_at", _text("last_fetched_at"))
 
 
-def _digest(s, d, day_floor=False):
-    return ledger.digest_recent(scored(s, d), _notified(s, d), corpus.as_of(), day_floor=day_floor)
+def _digest(s, d, day_floor=False, columns=("title",)):
+    return ledger.digest_recent(*_ledger_and_marks(s, d, *columns), corpus.as_of(), day_floor=day_floor)
 
 
 def _digest_recent(s, d):
@@ -76,8 +80,9 @@ def _weekly_ngo(s, d):
 
 
 def _mark(s, d):
-    pending = scored(s, d).filter(F.col("fetched_at") >= ledger.cutoff(corpus.as_of(), v.DIGEST_HOURS))
-    rows = ledger.mark_notified(pending, _notified(s, d), corpus.as_of())
+    stored, marks = _ledger_and_marks(s, d)
+    pending = stored.filter(F.col("fetched_at") >= ledger.cutoff(corpus.as_of(), v.DIGEST_HOURS))
+    rows = ledger.mark_notified(pending, marks, corpus.as_of())
     return rows.select("id", _text("notified_at"))
 
 
@@ -91,19 +96,26 @@ def _backfill(s, d):
 
 
 def _schema_evolve(s, d):
-    old = corpus.postings(s, d).select("ingest_seq", "id")
-    new = scored(s, d).select("ingest_seq", "id", "match_score").filter("match_score >= 60")
-    merged = old.join(new.select("ingest_seq"), "ingest_seq", "left_anti").unionByName(new, allowMissingColumns=True)
-    return ledger.with_match_score_column(merged).select("ingest_seq", "match_score")
+    """A file written before the score column existed and one with it, read as one table."""
+    folder = f"{ensure_checkpoint_dir(s)}/evolved-{uuid.uuid4().hex}"
+    rows = pinned(scored(s, d).select("ingest_seq", "id", "match_score"))
+    rows.filter("match_score < 60").drop("match_score").write.parquet(f"{folder}/batch=1")
+    rows.filter("match_score >= 60").write.parquet(f"{folder}/batch=2")
+    return ledger.with_match_score_column(s.read.schema(rows.schema).parquet(folder)).select("ingest_seq", "match_score")
 
 
 def _snapshots(s, d):
-    rows = corpus.postings(s, d).withColumn("snapshot", F.date_format("fetched_at", "yyyy-MM-dd"))
-    return ledger.retain_snapshots(rows, "snapshot").groupBy("snapshot").agg(F.count(F.lit(1)).alias("cnt"))
+    """A snapshot folder per day, pruned to the newest and read again."""
+    folder = f"{ensure_checkpoint_dir(s)}/snapshots-{uuid.uuid4().hex}"
+    rows = corpus.postings(s, d).select("id", F.date_format("fetched_at", "yyyy-MM-dd").alias("snapshot"))
+    rows.write.partitionBy("snapshot").parquet(folder)
+    ledger.prune_snapshots(s, folder)
+    left = s.read.schema("id STRING, snapshot STRING").parquet(folder)
+    return left.groupBy("snapshot").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _funnel(s, d):
-    return cascade.funnel(reasoned(s, d), _stored_keys(s, d))
+    return cascade.funnel(reasoned(s, d), _stored_keys(s, d), ledger.MAX_BROADCAST_KEYS)
 
 
 def _with_address(s, d):
@@ -128,7 +140,7 @@ def _ages(s, d):
 
 def _digest_body(s, d):
     order = [F.col("fetched_at").desc(), F.col("id")]
-    return render.digest_body(_digest(s, d), render.digest_line(), order, v.DIGEST_LIMIT, "")
+    return render.digest_body(_digest(s, d, columns=("title", "company", "url", "is_ngo", "remote_scope", "location", "source")), render.digest_line(), order, v.DIGEST_LIMIT, "")
 
 
 def _weekly_body(s, d):
@@ -157,8 +169,7 @@ def _stale_gap(s, d):
 
 
 def _dictionary(s: SparkSession) -> DataFrame:
-    rows = [(k, w, v.STACK_SYNONYMS.get(k, k), i, k in ("vue", "php", "rag", "llm"))
-            for i, (k, w) in enumerate(v.STACK_WEIGHTS.items()) if k not in ("c#", "c++")]
+    rows = [(k, w, v.STACK_SYNONYMS.get(k, k), i, k in v.STACK_WHOLE_WORD) for i, (k, w) in enumerate(v.STACK_WEIGHTS.items())]
     return s.createDataFrame(rows, "keyword STRING, weight INT, grp STRING, ord INT, whole_word BOOLEAN")
 
 

@@ -112,17 +112,20 @@ _ROK_LOC = "CASE WHEN location = '' THEN 'Remote' ELSE location END"
 _WWR_TAG = "list_filter([nullif(trim(tags[1]), '')], lambda t: t IS NOT NULL)"
 
 SQL: dict[str, str] = {
-    "payload_gate": f"""SELECT page_id, CASE WHEN page_id % 23 = 0 THEN 'rate_limited' WHEN page_id % 19 = 0 THEN 'login'
-        WHEN contains(lower(substr(html, 1, 500)), 'login') THEN 'login' WHEN page_id % 17 = 0 THEN 'http_error'
-        WHEN length(html) < {v.HTML_MIN_CHARS} THEN 'too_short' WHEN {any_of('lower(html)', v.TECHJOBS_BLOCK_PHRASES)} THEN 'blocked' ELSE 'ok' END AS label FROM pages""",
+    "payload_gate": f"""SELECT page_id, source, CASE WHEN page_id % 23 = 0 THEN 'rate_limited'
+        WHEN source = 'linkedin' AND (page_id % 19 = 0 OR contains(lower(substr(html, 1, 500)), 'login')) THEN 'login'
+        WHEN page_id % 19 = 0 OR page_id % 17 = 0 THEN 'http_error'
+        WHEN source IN ('techjobsforgood', 'eurobrussels', 'goodjobs') AND length(html) < {v.HTML_MIN_CHARS} THEN 'too_short'
+        WHEN source = 'techjobsforgood' AND {any_of('lower(html)', v.TECHJOBS_BLOCK_PHRASES)} THEN 'blocked' ELSE 'ok' END AS label
+        FROM (SELECT *, ['techjobsforgood', 'eurobrussels', 'goodjobs', 'linkedin', 'remotive'][page_id % 5 + 1] AS source FROM pages)""",
+    "html_elements": "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]'))::BIGINT AS n_{t}"
+                                                    for t in ("html", "p", "h1", "li", "a", "br", "article", "script")) + " FROM pages",
     "html_links": f"SELECT page_id, pos, href, text FROM (SELECT page_id, {_ANCHORS} FROM pages)",
     "html_title": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
     "link_dedup": f"""SELECT href, text FROM (SELECT page_id, {_ANCHORS} FROM pages)
         QUALIFY row_number() OVER (PARTITION BY href ORDER BY (length(text) >= 5) DESC,
           CASE WHEN length(text) >= 5 THEN -page_id ELSE page_id END, CASE WHEN length(text) >= 5 THEN -pos ELSE pos END) = 1""",
     "source_dedup": f"{_R} SELECT ingest_seq, source, url FROM raw_postings QUALIFY row_number() OVER (PARTITION BY source, url ORDER BY ingest_seq) = 1",
-    "union_sources": f"""{_R}, n AS (SELECT count(*) AS every_row, count(DISTINCT url) AS urls FROM raw_postings)
-        SELECT 'remotive' AS source, urls AS cnt FROM n UNION ALL SELECT 'arbeitnow', every_row FROM n UNION ALL SELECT 'devex', urls FROM n""",
     "address_parse": f"""{_R}, {address_sql('raw_postings', 'ingest_seq', 'location')}
         SELECT ingest_seq, city, postal, country FROM raw_postings LEFT JOIN addressed USING (ingest_seq)""",
     "scope_remoteok": f"{_R} SELECT ingest_seq, {SCOPE_REMOTEOK} AS scope FROM raw_postings",
@@ -227,3 +230,10 @@ SQL["norm_eurobrussels"] = html_board(
 SQL["norm_html_cards"] = html_board(f"'{v.TECHJOBS_URL}/jobs/' || ingest_seq", "coalesce(nullif(country, ''), 'Remote')", "kind")
 SQL["norm_linkedin"] = html_board(f"'{v.LINKEDIN_URL}/jobs/view/' || ingest_seq", "coalesce(country, '')", "''",
                                   posted=fmt(MOMENT.replace("fetched_at", "page_fetched")))
+
+# Every board's rows are counted by its own SQL; its rank is its place in the registry.
+_BOARD_SQL = {"nofluffjobs": "norm_nofluff", "landingjobs": "norm_landing", "themuse": "norm_muse", "weworkremotely": "norm_rss_company_title",
+              "techjobsforgood": "norm_html_cards"}
+SQL["union_sources"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS source, count(*) AS cnt, count(*) AS n_seq, {i}::BIGINT AS rank, {i}::BIGINT AS last_rank FROM ({SQL[_BOARD_SQL.get(name, 'norm_' + name)]})"
+    for i, name in enumerate(v.BOARDS))

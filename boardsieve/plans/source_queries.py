@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardsieve.functions.fixed_values import BOARDS
+from boardsieve.functions.pin import pinned
 from boardsieve.operators.dedup import keep_first
 from boardsieve.plans import corpus, payloads
-from boardsieve.sources import json_boards, landing, parsers, rss_boards
+from boardsieve.operators import ledger
+from boardsieve.plans.rule_queries import RULES
+from boardsieve.sources import boards, html, json_boards, landing, parsers, rss_boards
+from boardsieve.session import ensure_checkpoint_dir
+from boardsieve.streaming import scan
+from boardsieve import schema
 
 _TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -70,11 +80,26 @@ def _summary() -> Column:
 
 
 def _gate(s, d):
-    """Pages as responses: a status by page number, the html as body."""
+    """Pages as responses: a board and a status by page number, the html as body."""
     pages = corpus.table(s, d, "pages")
     status = F.when(F.col("page_id") % 23 == 0, 429).when(F.col("page_id") % 19 == 0, 302).when(
         F.col("page_id") % 17 == 0, 500).otherwise(200)
-    return pages.select("page_id", landing.gate_label(status, F.col("html"), F.lit(True)).alias("label"))
+    board = F.element_at(F.array(*[F.lit(x) for x in GATE_BOARDS]), (F.col("page_id") % len(GATE_BOARDS) + 1).cast("int"))
+    return pages.select("page_id", board.alias("source"), landing.gate_label(board, status, F.col("html")).alias("label"))
+
+
+GATE_BOARDS = ("techjobsforgood", "eurobrussels", "goodjobs", "linkedin", "remotive")
+
+
+def _elements(s, d):
+    """Elements of every page by tag, counted."""
+    pages = corpus.table(s, d, "pages").select(F.col("page_id").alias("request_seq"), F.lit(None).cast("timestamp").alias("fetched_at"),
+                                               F.col("html").alias("body"))
+    counts = [F.count_if(F.col("tag") == tag).alias(f"n_{tag}") for tag in ELEMENT_TAGS]
+    return html.elements(pages).groupBy(F.col("request_seq").alias("page_id")).agg(*counts)
+
+
+ELEMENT_TAGS = ("html", "p", "h1", "li", "a", "br", "article", "script")
 
 
 def _links(s, d):
@@ -189,9 +214,10 @@ def _rss_date() -> Column:
     return F.date_format("posted_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
 
 
-def landed_board(s, d, board: str) -> DataFrame:
-    """Landed responses of one board made of the whole posting view."""
+def landed_board(s, d, board: str, own: bool = False) -> DataFrame:
+    """Landed responses of one board made of the whole posting view, or of the board's own postings in it."""
     rows = payloads.fields(s, d)
+    rows = rows.filter(F.col("source") == board) if own else rows
     if board == "weworkremotely":
         title = F.when(F.col("ingest_seq") % 5 != 0, F.concat("author", F.lit(": "), "title")).otherwise(F.col("title"))
         item = F.concat(F.lit("<item>"), _element("title", title), _element("link", F.col("url")), _element("region", F.col("city")),
@@ -229,9 +255,27 @@ def _norm(board: str):
     return run
 
 
+def landed_all(s, d, own: bool = False) -> DataFrame:
+    """Responses of all boards, written once: each board has every posting of the view, or its own."""
+    parts = [landed_html(s, d, name, own) if name not in ADAPTERS else landed_board(s, d, name, own) for name in BOARDS]
+    return pinned(reduce(DataFrame.unionByName, parts))
+
+
 def _union(s, d):
-    parts = {name: board_postings(s, d, name) for name in ("remotive", "arbeitnow", "devex")}
-    return landing.union_boards(parts).groupBy("source").agg(F.count(F.lit(1)).alias("cnt"))
+    """Rows, distinct sequences and board rank in the sequence, over the postings of all boards."""
+    rank = F.shiftright("ingest_seq", 40)
+    return boards.board_postings(landed_all(s, d)).groupBy("source").agg(
+        F.count(F.lit(1)).alias("cnt"), F.count_distinct("ingest_seq").alias("n_seq"), F.min(rank).alias("rank"), F.max(rank).alias("last_rank"))
+
+
+def _scan_landed(s, d):
+    """One scan from the responses of all boards to the ledger; what the ledger holds afterwards."""
+    landed = landed_all(s, d, own=True)
+    store = scan.Store(f"{ensure_checkpoint_dir(s)}/scan-{uuid.uuid4().hex}")
+    profile = corpus.language_profile(s, d)
+    scan.scan_landed(landed, 1, store, RULES, corpus.as_of(), corpus.PIPE_MAX_AGE, profile)
+    stored = ledger.read_table(s, store.ledger, schema.POSTING)
+    return stored.select("source", "ingest_seq", "id", "title", "company", "match_score")
 
 
 QUERY_NAMES = {"nofluffjobs": "norm_nofluff", "landingjobs": "norm_landing", "themuse": "norm_muse",
@@ -240,6 +284,8 @@ QUERY_NAMES = {"nofluffjobs": "norm_nofluff", "landingjobs": "norm_landing", "th
 QUERIES = {
     "payload_gate": _gate,
     "html_links": _links,
+    "html_elements": _elements,
+    "scan_landed": _scan_landed,
     "html_title": _title,
     "link_dedup": _link_dedup,
     "source_dedup": _source_dedup,
@@ -288,8 +334,9 @@ def _html_card(board: str) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
-def landed_html(s, d, board: str) -> DataFrame:
+def landed_html(s, d, board: str, own: bool = False) -> DataFrame:
     rows = payloads.fields(s, d).withColumn("item", _html_card(board))
+    rows = rows.filter(F.col("source") == board) if own else rows
     pages = rows.groupBy(F.floor(F.col("ingest_seq") / 20).alias("request_seq")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ingest_seq", "item"))), lambda x: x["item"]), "").alias("cards"),
         F.max("fetched_at").alias("fetched_at"))

@@ -25,9 +25,9 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _NO_TEXT = frozenset(("script", "style", "template"))
 _WHOLE_PAGE = frozenset(("html", "head", "body"))  # their text is the page: not repeated per element
 
-_COLUMNS = ("request_seq", "fetched_at", "node", "tag", "classes", "href", "alt", "datetime", "text", "spaced_text", "path")
+_COLUMNS = ("request_seq", "fetched_at", "node", "tag", "classes", "href", "alt", "datetime", "pieces", "path")
 ELEMENTS_SCHEMA = ("request_seq BIGINT, fetched_at TIMESTAMP, node INT, tag STRING, classes ARRAY<STRING>, href STRING, "
-                   "alt STRING, datetime STRING, text STRING, spaced_text STRING, "
+                   "alt STRING, datetime STRING, pieces ARRAY<STRING>, "
                    "path ARRAY<STRUCT<node: INT, tag: STRING, classes: ARRAY<STRING>, href: STRING>>")
 
 
@@ -74,7 +74,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parser.feed(page.body)
             parser.close()
             rows += [(page.request_seq, page.fetched_at, r["node"], r["tag"], r["classes"], r["href"], r["alt"], r["datetime"],
-                      "".join(r["pieces"]), " ".join(r["pieces"]), r["path"]) for r in parser.rows]
+                      r["pieces"], r["path"]) for r in parser.rows]
             if len(rows) >= _ROWS_PER_FRAME:
                 yield pd.DataFrame(rows, columns=list(_COLUMNS))
                 rows = []
@@ -83,6 +83,10 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """One row per element of each page (columns request_seq, fetched_at, body)."""
+    """One row per element of each page (columns request_seq, fetched_at, body).
+
+    Text leaves the parser once, as pieces; both joined forms are expressions over them.
+    """
     source = pages.select(F.col("request_seq").cast("long"), "fetched_at", "body").filter(F.col("body").isNotNull())
-    return source.mapInPandas(_extract, ELEMENTS_SCHEMA)
+    rows = source.mapInPandas(_extract, ELEMENTS_SCHEMA)
+    return rows.withColumns({"text": F.array_join("pieces", ""), "spaced_text": F.array_join("pieces", " ")}).drop("pieces")

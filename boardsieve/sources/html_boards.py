@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardsieve.functions import fixed_values as v
+from boardsieve.functions.pin import pinned
 from boardsieve.functions.text import capped, has_any, iso_timestamp, present
 from boardsieve.operators.normalise import finish, valid_rows
 from boardsieve.sources import parsers as p
@@ -61,7 +62,7 @@ def _by_card(df: DataFrame, is_card) -> DataFrame:
 
 def _done(df: DataFrame, source: str, url_key: bool) -> DataFrame:
     df = finish(valid_rows(df.withColumn("source", F.lit(source))))
-    return to_posting(dedup_items(df, "url") if url_key else df)
+    return to_posting(dedup_items(df, "url") if url_key else df, source)
 
 
 def linkedin(landed: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ _JOB_HREF = r"/jobs?/\d+|/jobs?/[a-z0-9-]+"
 def techjobsforgood(landed: DataFrame) -> DataFrame:
     """The first card selector that matches on a page decides; a page without cards
     uses the blocks around links to detail pages."""
-    rows = elements(usable(landed, "techjobsforgood"))
+    rows = pinned(elements(usable(landed, "techjobsforgood")))  # cards, links and contents read one parse
 
     def rank(tag: Column, classes: Column) -> Column:
         return F.coalesce(*[F.when(_select(s, tag, classes), i) for i, s in enumerate(_TECH_CARDS)])
@@ -166,7 +167,7 @@ def goodjobs(landed: DataFrame) -> DataFrame:
 
 def eurobrussels(landed: DataFrame) -> DataFrame:
     """Links to postings; company, place, tags and text come from the blocks around them."""
-    rows = elements(usable(landed, "eurobrussels"))
+    rows = pinned(elements(usable(landed, "eurobrussels")))  # links and both kinds of blocks read one parse
     blocks = F.filter("path", lambda x: x["tag"].isin(*_BLOCKS) & (x["node"] < F.col("node")))
     around = F.try_element_at(blocks, F.lit(-1))["node"]
     outer = F.filter(F.col("path"), lambda x: x["tag"].isin(*_OUTER_BLOCKS) & (x["node"] < around))

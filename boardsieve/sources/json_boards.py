@@ -27,12 +27,12 @@ def _items(landed: DataFrame, source: str, schema: str, path: str | None) -> Dat
     return rows.select("request_seq", "pos", "fetched_at", "item.*").withColumn("source", F.lit(source))
 
 
-def _done(df: DataFrame, url_key: bool) -> DataFrame:
+def _done(df: DataFrame, source: str, url_key: bool) -> DataFrame:
     """Required fields, url dedup where the board has it, keys, posting schema."""
     df = finish(valid_rows(df))
     if url_key:
         df = dedup_items(df, "url")
-    return to_posting(df)
+    return to_posting(df, source)
 
 
 def _or(value: Column, default: str) -> Column:
@@ -77,7 +77,7 @@ def remotive(landed: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.startswith(F.trim("tags"), F.lit("[")), F.from_json("tags", _STRINGS)),
                    F.array().cast("array<string>")).alias("tags"),
         iso_timestamp(F.col("publication_date")).alias("posted_at"))
-    return _done(items, url_key=True)
+    return _done(items, source="remotive", url_key=True)
 
 
 def arbeitnow(landed: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def arbeitnow(landed: DataFrame) -> DataFrame:
         "description", present(F.col("salary")).alias("salary"), _json_tags(F.col("tags")).alias("tags"),
         F.coalesce(_epoch(F.col("created_at")), iso_timestamp(F.col("created_at"))).alias("posted_at"),
         F.col("_place.city").alias("company_city"), F.col("_place.postal").alias("company_postal_code"),
-        F.col("_place.country").alias("company_country")), url_key=False)
+        F.col("_place.country").alias("company_country")), source="arbeitnow", url_key=False)
 
 
 def remoteok(landed: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def remoteok(landed: DataFrame) -> DataFrame:
         url.alias("url"), "description",
         p.plain_range(F.col("salary_min"), F.col("salary_max")).alias("salary"),
         _json_tags(F.col("tags")).alias("tags"),
-        F.coalesce(iso_timestamp(F.col("date")), _epoch(F.col("epoch"))).alias("posted_at")), url_key=False)
+        F.coalesce(iso_timestamp(F.col("date")), _epoch(F.col("epoch"))).alias("posted_at")), source="remoteok", url_key=False)
 
 
 def idealist(landed: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def idealist(landed: DataFrame) -> DataFrame:
         tags.alias("tags"),
         F.upper(F.coalesce("orgType", F.lit(""))).isin(*v.IDEALIST_NGO_TYPES).alias("is_ngo_source"),
         _epoch(F.col("published")).alias("posted_at"))
-    return _done(parsed, url_key=False)
+    return _done(parsed, source="idealist", url_key=False)
 
 
 def devex(landed: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def devex(landed: DataFrame) -> DataFrame:
         p.typed_location(F.coalesce("places", F.array())).alias("location"),
         F.lit(True).alias("is_remote"), F.concat(F.lit(v.DEVEX_URL), slug).alias("url"),
         F.slice(_names("news_topics"), 1, 10).alias("tags"), F.lit(True).alias("is_ngo_source"),
-        iso_timestamp(F.col("published_at")).alias("posted_at")), url_key=False)
+        iso_timestamp(F.col("published_at")).alias("posted_at")), source="devex", url_key=False)
 
 
 def stepstone(landed: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def stepstone(landed: DataFrame) -> DataFrame:
         strip(_or(F.col("arbeitgeber"), "Unknown")).alias("company"), location.alias("location"),
         F.lit(True).alias("is_remote"), F.lit("germany").alias("remote_scope"), url.alias("url"),
         F.array().cast("array<string>").alias("tags"),
-        iso_timestamp(F.col("aktuelleVeroeffentlichungsdatum")).alias("posted_at")), url_key=False)
+        iso_timestamp(F.col("aktuelleVeroeffentlichungsdatum")).alias("posted_at")), source="stepstone", url_key=False)
 
 
 def nofluffjobs(landed: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def nofluffjobs(landed: DataFrame) -> DataFrame:
         F.lit(True).alias("is_remote"), p.regions_scope(F.col("regions"), F.col("_location")).alias("remote_scope"),
         F.concat(F.lit(v.NOFLUFF_URL), F.coalesce(present(F.col("url")), present(F.col("id")))).alias("url"),
         p.typed_salary(F.col("salary")).alias("salary"), F.slice(tags, 1, 10).alias("tags"),
-        F.timestamp_millis(F.nullif("posted", F.lit(0))).alias("posted_at")), url_key=False)
+        F.timestamp_millis(F.nullif("posted", F.lit(0))).alias("posted_at")), source="nofluffjobs", url_key=False)
 
 
 def himalayas(landed: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def himalayas(landed: DataFrame) -> DataFrame:
         present(strip(F.coalesce(present(F.col("applicationLink")), F.col("guid")))).alias("url"),
         present(capped(strip(F.col("excerpt")), 2000)).alias("description"),
         p.single_or_range(F.col("minSalary"), F.col("maxSalary"), F.coalesce("currency", F.lit("USD"))).alias("salary"),
-        F.slice(tags, 1, 10).alias("tags"), _epoch(F.col("pubDate")).alias("posted_at")), url_key=True)
+        F.slice(tags, 1, 10).alias("tags"), _epoch(F.col("pubDate")).alias("posted_at")), source="himalayas", url_key=True)
 
 
 def landingjobs(landed: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def landingjobs(landed: DataFrame) -> DataFrame:
         p.coded_range(F.col("gross_salary_low"), F.col("gross_salary_high"),
                       F.coalesce("currency_code", F.lit("EUR")), "/year").alias("salary"),
         F.coalesce(with_kind, tags).alias("tags"),
-        iso_timestamp(F.col("published_at")).alias("posted_at")), url_key=True)
+        iso_timestamp(F.col("published_at")).alias("posted_at")), source="landingjobs", url_key=True)
 
 
 def themuse(landed: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def themuse(landed: DataFrame) -> DataFrame:
         F.lit(True).alias("is_remote"), p.city_words_scope(places).alias("remote_scope"),
         present(F.col("refs.landing_page")).alias("url"),
         F.slice(F.concat(_names("categories"), _names("levels")), 1, 10).alias("tags"),
-        iso_timestamp(F.col("publication_date")).alias("posted_at")), url_key=False)
+        iso_timestamp(F.col("publication_date")).alias("posted_at")), source="themuse", url_key=False)
 
 
 def hours80k(landed: DataFrame) -> DataFrame:
@@ -286,4 +286,4 @@ def hours80k(landed: DataFrame) -> DataFrame:
         present(strip(F.col("salary"))).alias("salary"),
         F.slice(F.concat(_list("tags_area"), _list("tags_skill"), _list("tags_role_type")), 1, 10).alias("tags"),
         F.lit(True).alias("is_ngo_source"), _epoch(F.col("posted_at")).alias("posted_at"))
-    return _done(parsed, url_key=True).filter(p.board_title_wanted(F.col("title")))
+    return _done(parsed, source="hours80k", url_key=True).filter(p.board_title_wanted(F.col("title")))

@@ -12,29 +12,41 @@ from boardsieve.functions.text import has_any
 from boardsieve.operators.dedup import keep_first
 from boardsieve.schema import POSTING
 
-HTML_BOARDS = ("techjobsforgood", "eurobrussels", "goodjobs", "linkedin")
+# What a board's gate looks at beyond the status.
+LOGIN_BOARDS = ("linkedin",)
 LOGIN_STATUS = (301, 302, 403)
-GATE_LABELS = ("ok", "rate_limited", "http_error", "too_short", "login", "blocked")
+LONG_BODY_BOARDS = ("techjobsforgood", "eurobrussels", "goodjobs")
+BLOCK_PAGE_BOARDS = ("techjobsforgood",)
 
+# A row's sequence packs batch, board rank, response and place in it, high to low.
+_POS_BITS, _REQUEST_BITS, _BOARD_BITS = 20, 20, 5
 
-def gate_label(status: Column, body: Column, html: Column) -> Column:
-    """Why a response is unusable; 'ok' otherwise."""
+
+def gate_label(source: Column, status: Column, body: Column) -> Column:
+    """Why a response of a board is unusable; 'ok' otherwise."""
     low = F.lower(body)
+    login = source.isin(*LOGIN_BOARDS) & (
+        status.isin(*LOGIN_STATUS) | F.coalesce(F.contains(F.substring(low, 1, 500), F.lit("login")), F.lit(False)))
     return (
         F.when(status == 429, "rate_limited")
-        .when(html & (status.isin(*LOGIN_STATUS) | F.contains(F.substring(low, 1, 500), F.lit("login"))), "login")
-        .when(status != 200, "http_error")
-        .when(html & (F.length(F.coalesce(body, F.lit(""))) < v.HTML_MIN_CHARS), "too_short")
-        .when(html & has_any(low, v.TECHJOBS_BLOCK_PHRASES), "blocked")
+        .when(login, "login")
+        .when(F.coalesce(status != 200, F.lit(True)), "http_error")
+        .when(source.isin(*LONG_BODY_BOARDS) & (F.length(F.coalesce(body, F.lit(""))) < v.HTML_MIN_CHARS), "too_short")
+        .when(source.isin(*BLOCK_PAGE_BOARDS) & has_any(low, v.TECHJOBS_BLOCK_PHRASES), "blocked")
         .otherwise("ok")
     )
 
 
 def usable(landed: DataFrame, source: str) -> DataFrame:
     """Usable responses of one board; the source filter prunes partitions."""
-    html = F.lit(source in HTML_BOARDS)
     rows = landed.filter(F.col("source") == source)
-    return rows.filter(gate_label(F.col("status"), F.col("body"), html) == "ok")
+    return rows.filter(gate_label(F.lit(source), F.col("status"), F.col("body")) == "ok")
+
+
+def rejected_responses(landed: DataFrame) -> DataFrame:
+    """Responses no adapter reads, with the reason."""
+    label = gate_label(F.col("source"), F.col("status"), F.col("body"))
+    return landed.select("source", "request_key", "request_seq", label.alias("reason")).filter(F.col("reason") != "ok")
 
 
 def item_order() -> list[Column]:
@@ -48,8 +60,33 @@ def dedup_items(items: DataFrame, key: str) -> DataFrame:
     return keep_first(items, [F.col(key)], item_order())
 
 
-def to_posting(df: DataFrame) -> DataFrame:
-    """Complete a board's columns to the posting schema, nulls where it has none."""
+def _packed(name: str, bits: int) -> Column:
+    """A part of the sequence; a value that doesn't fit its bits is an error, never cut."""
+    value = F.col(name).cast("long")
+    wrong = value.isNull() | (value < 0) | (value >= (1 << bits))
+    return F.when(wrong, F.raise_error(F.concat(F.lit(f"{name} does not fit {bits} bits: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("long")).otherwise(value)
+
+
+def feed_seq(source: str) -> Column:
+    """Sequence of an item within a batch: board rank, then response, then place; fixed by the input alone."""
+    rank = F.lit(v.BOARDS.index(source)).cast("long")
+    return F.shiftleft(rank, _REQUEST_BITS + _POS_BITS) + F.shiftleft(_packed("request_seq", _REQUEST_BITS), _POS_BITS) + _packed("pos", _POS_BITS)
+
+
+def batch_seq(seq: Column, batch_id: int) -> Column:
+    """The sequence of a row over all batches."""
+    if not 0 <= batch_id < 1 << (63 - _BOARD_BITS - _REQUEST_BITS - _POS_BITS):
+        raise ValueError(f"batch id {batch_id} does not fit the sequence")
+    return F.shiftleft(F.lit(batch_id).cast("long"), _BOARD_BITS + _REQUEST_BITS + _POS_BITS) + seq
+
+
+def to_posting(df: DataFrame, source: str | None = None) -> DataFrame:
+    """Complete a board's columns to the posting schema, nulls where it has none.
+
+    With ``source``, rows of a board get their sequence from ``request_seq`` and ``pos``.
+    """
+    if source is not None:
+        df = df.withColumn("ingest_seq", feed_seq(source))
     columns = []
     for field in POSTING.fields:
         known = F.col(field.name) if field.name in df.columns else F.lit(None)

@@ -46,7 +46,7 @@ def weworkremotely(landed: DataFrame) -> DataFrame:
         F.coalesce(present(F.col("link")), present(F.col("guid"))).alias("url"),
         "description", F.slice(_tags(), 1, 1).alias("tags"),
         rfc822_timestamp(F.col("pubDate")).alias("posted_at"))
-    return to_posting(dedup_items(finish(valid_rows(items)), "url"))
+    return to_posting(dedup_items(finish(valid_rows(items)), "url"), "weworkremotely")
 
 
 def reliefweb(landed: DataFrame) -> DataFrame:
@@ -68,4 +68,4 @@ def reliefweb(landed: DataFrame) -> DataFrame:
         rfc822_timestamp(F.col("pubDate")).alias("posted_at"))
     # Feed order is rank, then response.
     ordered = finish(valid_rows(parsed)).withColumn("request_seq", F.struct("_feed", "_request"))
-    return to_posting(dedup_items(ordered, "url"))
+    return to_posting(dedup_items(ordered, "url").withColumn("request_seq", F.col("_request")), "reliefweb")

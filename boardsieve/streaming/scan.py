@@ -12,14 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from boardsieve import schema
+from boardsieve.functions.pin import pinned
 from boardsieve.operators import cascade, ledger
 from boardsieve.session import configure
 from boardsieve.settings import RuleSet
+from boardsieve.sources import boards, landing
 from boardsieve.sources.landing import to_posting
 
-MAX_BROADCAST_KEYS = 1_000_000
-
-
 @dataclass(frozen=True)
 class Store:
     """Folders of the ledger and its logs under one root."""
@@ -42,33 +41,65 @@ class Store:
     def scan_log(self) -> str:
         return f"{self.root}/scan_log"
 
+    @property
+    def reject_log(self) -> str:
+        return f"{self.root}/reject_log"
+
 
 def scan_batch(batch: DataFrame, batch_id: int, store: Store, rules: RuleSet, as_of: Column | None = None,
                max_age_days: int | None = None, profile: DataFrame | None = None) -> None:
     """One scan: filter, anti join with the ledger, append, log.
 
     Repeating a batch id is harmless: the ledger is read without that batch and
-    its folder is written anew, so a retried micro-batch gives the same ledger.
+    its folders are written anew, so a retried micro-batch gives the same ledger.
+    A null or repeated ``ingest_seq`` is an error.
     """
     spark = configure(batch.sparkSession)
+    cascade.check_unique(batch)
     if as_of is None:
         as_of = F.lit(batch.agg(F.max("fetched_at")).first()[0])
     stored = ledger.read_table(spark, store.ledger, schema.POSTING).filter(F.col("batch") != batch_id)
     accepted = cascade.run_cascade(batch, rules, as_of, max_age_days, profile).drop("remote_scope")
     accepted = accepted.withColumnRenamed("scope", "remote_scope").persist()
     try:
-        new = ledger.append_new(accepted, stored, MAX_BROADCAST_KEYS)
-        ledger.append_batch(to_posting(new), store.ledger, batch_id)
+        new = ledger.append_new(accepted, stored, ledger.MAX_BROADCAST_KEYS)
+        ledger.append_batch(to_posting(new), store.ledger, batch_id, "fetched_at")
         added = ledger.read_table(spark, store.ledger, schema.POSTING).filter(F.col("batch") == batch_id).count()
         bounds = batch.agg(F.count(F.lit(1)).alias("raw"), F.min("fetched_at").alias("started_at"),
                            F.max("fetched_at").alias("completed_at"))
         row = bounds.select(F.lit(batch_id).cast("long").alias("scan_id"), "started_at", "completed_at", "raw",
                             F.lit(accepted.count()).cast("long").alias("accepted"), F.lit(added).cast("long").alias("new"))
-        ledger.append_batch(row, store.scan_log, batch_id)
+        ledger.append_batch(row, store.scan_log, batch_id, "completed_at")
     finally:
         accepted.unpersist()
 
 
+def scan_landed(landed: DataFrame, batch_id: int, store: Store, rules: RuleSet, as_of: Column | None = None,
+                max_age_days: int | None = None, profile: DataFrame | None = None, board: str | None = None) -> None:
+    """One scan from responses: gate, adapters, union, cascade, ledger.
+
+    Bodies are parsed once; the postings are kept in the shared folder while the scan reads them.
+    Responses no adapter may read and items without a required field go to the reject log.
+    """
+    spark = configure(landed.sparkSession)
+    postings = pinned(boards.board_postings(landed, board))
+    postings = postings.withColumn("ingest_seq", landing.batch_seq(F.col("ingest_seq"), batch_id))
+    scan_batch(postings, batch_id, store, rules, as_of, max_age_days, profile)
+    rejected = landing.rejected_responses(landed).unionByName(boards.malformed_bodies(landed)).withColumn("logged_at", F.current_timestamp())
+    ledger.append_batch(rejected, store.reject_log, batch_id, "logged_at")
+
+
+def landed_stream(landed: DataFrame, store: Store, rules: RuleSet, checkpoint: str, as_of: Column | None = None,
+                  max_age_days: int | None = None, profile: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
+    """Run :func:`scan_landed` on every micro-batch of responses."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        scan_landed(batch, batch_id, store, rules, as_of, max_age_days, profile)
+
+    writer = landed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
 def scan_stream(postings: DataFrame, store: Store, rules: RuleSet, checkpoint: str, as_of: Column | None = None,
                 max_age_days: int | None = None, profile: DataFrame | None = None,
                 every: str | None = None) -> StreamingQuery:
@@ -89,12 +120,13 @@ def stream_dedup(postings: DataFrame, keys: list[str], time: str = "fetched_at",
     return postings.withWatermark(time, keep_for).dropDuplicatesWithinWatermark(keys)
 
 
-def stale_alerts(beats: DataFrame, key: str, time: str, hours: int, delay: str = "1 minute") -> DataFrame:
-    """Streaming alerts: (key, silent_from) once the watermark passes the limit after a key's last beat.
+def stale_alerts(beats: DataFrame, key: str, time: str, hours: float) -> DataFrame:
+    """Streaming alerts: (key, silent_from) once the clock passes the limit after a key's last beat.
 
-    The state is one timestamp per key.
+    The timers run on processing time, for which Spark triggers batches without any input too,
+    so a silence of all keys is noticed.  The state is one timestamp per key.
     """
-    limit_ms = hours * 3_600_000
+    limit_ms = int(hours * 3_600_000)
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -105,8 +137,8 @@ def stale_alerts(beats: DataFrame, key: str, time: str, hours: int, delay: str =
         newest = max(int(frame[time].max().timestamp() * 1000) for frame in frames)
         last = max(newest, state.get[0]) if state.exists else newest
         state.update((last,))
-        state.setTimeoutTimestamp(max(last + limit_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutDuration(max(last + limit_ms - state.getCurrentProcessingTimeMs(), 1))
 
     kind = dict(beats.dtypes)[key]
-    return beats.select(key, time).withWatermark(time, delay).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, silent_from timestamp", "last_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return beats.select(key, time).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, silent_from timestamp", "last_ms bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)

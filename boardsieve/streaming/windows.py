@@ -27,8 +27,19 @@ def digest_windows(df: DataFrame, time: str = "fetched_at", key: str = "source",
 
 
 def weekly_windows(df: DataFrame, time: str = "fetched_at", key: str = "is_ngo", watermark: str | None = None) -> DataFrame:
-    """Seven-day look-back, advanced daily."""
-    return window_counts(df, time, key, f"{v.WEEKLY_DAYS} days", "1 day", watermark)
+    """Seven-day look-back, advanced daily.
+
+    A batch is counted by day first, so that daily counts are repeated for the windows they
+    lie in and never rows.
+    """
+    if df.isStreaming:
+        return window_counts(df, time, key, f"{v.WEEKLY_DAYS} days", "1 day", watermark)
+    daily = window_counts(df, time, key, "1 day")
+    back = F.explode(F.sequence(F.lit(0), F.lit(v.WEEKLY_DAYS - 1)))
+    starts = daily.select(key, "cnt", "window_start", back.alias("_back")).withColumn(
+        "window_start", F.col("window_start") - F.make_dt_interval(F.col("_back")))
+    sums = starts.groupBy("window_start", key).agg(F.sum("cnt").alias("cnt"))
+    return sums.select("window_start", (F.col("window_start") + F.make_dt_interval(F.lit(v.WEEKLY_DAYS))).alias("window_end"), key, "cnt")
 
 
 def heartbeat_gaps(beats: DataFrame, time: str, key: str, limit: str = f"{v.STALE_HOURS} hours") -> DataFrame:
