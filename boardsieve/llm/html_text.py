@@ -167,8 +167,11 @@ def main_text(source: str | None) -> str:
     page = _Page(source or "")
     count = len(page.tag)
     points, chars, linked, links = [0.0] * count, [0] * count, [0] * count, [0] * count
+    holds_blocks = {page.parent[e] for e in range(1, count) if page.tag[e] in _BLOCKS}
     for element, text, in_links in page.blocks:
-        above = page.parent[element] if page.tag[element] in _PARAGRAPHS and page.parent[element] >= 0 else element
+        # Text of a paragraph, or of another element without blocks in it, counts for what is around.
+        paragraph = page.tag[element] in _PARAGRAPHS or element not in holds_blocks and page.tag[element] not in _NEVER_BY_NAME
+        above = page.parent[element] if paragraph and page.parent[element] >= 0 else element
         worth = 1 + text.count(",") + text.count("、") + min(len(text) / 100, 3.0) if len(text) >= _LEAST_CHARS else 0.0
         worth *= 1 - in_links / max(len(text), 1)
         level, up = 0, above
@@ -191,6 +194,7 @@ def main_text(source: str | None) -> str:
             if page.parent[e] == page.parent[best] and e != best and not page.out[e] and chars[e]:
                 text, _ = ends.get(e, ("", 0))
                 plain = page.tag[e] == "p" and density[e] < 0.25 and (len(text) > 80 or density[e] == 0 and re.search(r"[.!?](\s|$)", text))
+                plain = plain or page.tag[e] in ("h1", "h2", "h3") and density[e] == 0
                 if plain or scores[e] >= max(10.0, scores[best] * 0.2):
                     roots.add(e)
     menus = {e for e in range(count) if page.tag[e] in ("ul", "ol", "div", "table", "section") and links[e] >= 3 and density[e] > 0.6}
