@@ -214,10 +214,8 @@ def _rss_date() -> Column:
     return F.date_format("posted_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
 
 
-def landed_board(s, d, board: str, own: bool = False) -> DataFrame:
-    """Landed responses of one board made of the whole posting view, or of the board's own postings in it."""
-    rows = payloads.fields(s, d)
-    rows = rows.filter(F.col("source") == board) if own else rows
+def landed_board(rows: DataFrame, board: str) -> DataFrame:
+    """Landed responses of one board made of ``payloads.fields`` rows."""
     if board == "weworkremotely":
         title = F.when(F.col("ingest_seq") % 5 != 0, F.concat("author", F.lit(": "), "title")).otherwise(F.col("title"))
         item = F.concat(F.lit("<item>"), _element("title", title), _element("link", F.col("url")), _element("region", F.col("city")),
@@ -242,7 +240,7 @@ ADAPTERS = {
 
 
 def board_postings(s, d, board: str) -> DataFrame:
-    return ADAPTERS[board](landed_board(s, d, board))
+    return ADAPTERS[board](landed_board(payloads.fields(s, d), board))
 
 
 def _norm(board: str):
@@ -257,7 +255,9 @@ def _norm(board: str):
 
 def landed_all(s, d, own: bool = False) -> DataFrame:
     """Responses of all boards, written once: each board has every posting of the view, or its own."""
-    parts = [landed_html(s, d, name, own) if name not in ADAPTERS else landed_board(s, d, name, own) for name in BOARDS]
+    rows = pinned(payloads.fields(s, d))
+    mine = lambda name: rows.filter(F.col("source") == name) if own else rows
+    parts = [(landed_board if name in ADAPTERS else landed_html)(mine(name), name) for name in BOARDS]
     return pinned(reduce(DataFrame.unionByName, parts))
 
 
@@ -334,9 +334,8 @@ def _html_card(board: str) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
-def landed_html(s, d, board: str, own: bool = False) -> DataFrame:
-    rows = payloads.fields(s, d).withColumn("item", _html_card(board))
-    rows = rows.filter(F.col("source") == board) if own else rows
+def landed_html(rows: DataFrame, board: str) -> DataFrame:
+    rows = rows.withColumn("item", _html_card(board))
     pages = rows.groupBy(F.floor(F.col("ingest_seq") / 20).alias("request_seq")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ingest_seq", "item"))), lambda x: x["item"]), "").alias("cards"),
         F.max("fetched_at").alias("fetched_at"))
@@ -348,7 +347,7 @@ def _norm_html(board: str):
     def run(s, d):
         from boardsieve.sources import html_boards
 
-        return getattr(html_boards, board)(landed_html(s, d, board)).select(
+        return getattr(html_boards, board)(landed_html(payloads.fields(s, d), board)).select(
             "url", "title", "company", "location", "is_remote", F.array_join("tags", "|").alias("tags"),
             "salary", F.date_format("posted_at", _TIME).alias("posted_at"))
     return run

@@ -75,17 +75,6 @@ def test_gaps_and_staleness(spark):
     assert windows.is_stale(log, as_of()).first().stale
 
 
-def test_stale_alert_stream(spark, tmp_path):
-    start = datetime(2026, 3, 23)
-    folder = str(tmp_path / "beats")
-    beats = spark.createDataFrame([("a", start), ("b", start + timedelta(hours=10))], "k STRING, at TIMESTAMP")
-    beats.coalesce(1).write.parquet(folder)
-    alerts = scan.stale_alerts(spark.readStream.schema(beats.schema).parquet(folder), "k", "at", 2)
-    query = alerts.writeStream.format("memory").queryName("alerts").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [(r.k, r.silent_from) for r in spark.table("alerts").collect()] == [("a", start)]
-
-
 def test_overview(make):
     rows = make(dict(is_ngo=True), dict(fetched_at=datetime(2026, 3, 1)))
     out = stats.overview(rows, as_of()).first()
