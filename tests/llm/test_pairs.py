@@ -249,10 +249,10 @@ def test_multi_index_guarantees_the_radius():
 
 
 def test_leaks_of_odd_rows(spark):
-    items = [(1, "the quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, "")]
+    items = [(1, "the quick brown fox jumps over the lazy dog and runs away", "x"), (2, None, None), (3, "", "")]
     docs = [(1, "He said: The quick brown FOX jumps over the lazy dog and runs away!", "", 0), (2, None, None, None), (3, "", "", 0), (4, "x " * 30000, "", 0)]
     found = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string, leaks string"))
     assert {r["doc_id"]: r["leaks"]["items"] for r in found.collect()} == {1: [1], 2: [], 3: [], 4: []}
     none = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string"))
     assert all(not r["leaks"]["items"] for r in none.collect())
-    assert decontaminate.find_leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert decontaminate.find_leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string, leaks string")).count() == 0
