@@ -22,7 +22,11 @@ _EVERY_GRAM = ""  # stands for one occurrence of any gram: carries the absent-gr
 
 
 def _letters(text: Column) -> Column:
-    """Lower case, runs of anything but letters to one blank, one blank around."""
+    """Lower case, runs of anything but letters to one blank, one blank around.
+
+    Characters beyond the basic plane count as no letters, so a text in such a script alone is
+    undetectable and passes the language rule.
+    """
     words = F.regexp_replace(F.lower(text), r"(?:[^\p{L}]|[\x{10000}-\x{10FFFF}])+", " ")
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 

@@ -81,15 +81,13 @@ _SPREAD_KEY = {"orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables.
 
-    A file with a single row group is one task however many cores there are.
-    Only a scan with fewer splits than cores is redistributed; a large table has
-    more splits than that and is read as it is.
+    A file with a single row group is one task however many cores there are.  Only a
+    scan of one split, which is at most one split's bytes, is redistributed.
     """
     configure(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _SPREAD_KEY and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, _SPREAD_KEY[name])
+    if name in _SPREAD_KEY and df.rdd.getNumPartitions() == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism, _SPREAD_KEY[name])
     return df
 
 
