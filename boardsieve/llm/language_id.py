@@ -89,13 +89,13 @@ def sparse_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FEATURES = T.StructType([T.StructField("label", T.StringType()), T.StructField("draw", T.LongType()),
-                          T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))])
+                          T.StructField("buckets", T.BinaryType()), T.StructField("values", T.BinaryType())])
 
 
 def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [sparse_features(t) for t in batch["text"]]
-        yield pd.DataFrame({"label": batch["label"], "draw": batch["draw"], "buckets": [b for b, _ in found], "values": [v for _, v in found]})
+        yield pd.DataFrame({"label": batch["label"], "draw": batch["draw"], "buckets": [b.tobytes() for b, _ in found], "values": [v.tobytes() for _, v in found]})
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None
     share = sample_rows / len(sizes)
     limit = F.create_map(*[F.lit(v) for label in sorted(sizes) for v in (label, int(min(1.0, share / sizes[label]) * (1 << 40)))])
     features = labelled.where(F.col("draw") < limit[F.col("label")]).mapInPandas(_feature_rows, _FEATURES).collect()
-    rows = sorted(((r["draw"], r["label"], np.array(r["buckets"], np.int64), np.array(r["values"], np.float64))
+    rows = sorted(((r["draw"], r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32))
                    for r in features if r["buckets"]), key=lambda r: (r[0], r[1], len(r[2])))
     if not rows:
         return None
