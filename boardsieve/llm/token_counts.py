@@ -80,10 +80,12 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None) -> DataFr
         "content_digest", "text")
     fresh = texts.mapInPandas(_encoder(path), "content_digest string, n_tokens long")
     fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    # Two rows of one digest can only be repeated appends of the same count.
-    counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two rows of one digest can only be repeated appends of the same count.  The key is computed
+    # anew, so the join exchanges both sides and a digest that many rows have can be split.
+    counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).select(
+        F.concat("content_digest", F.lit("")).alias("of_digest"), "n_tokens")
     narrow = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("content_digest"))
-    return narrow.join(counts, "content_digest")
+    return narrow.join(counts, F.col("content_digest") == F.col("of_digest")).drop("of_digest")
 
 
 def op7_token_counts(spark, folder: str) -> DataFrame:
