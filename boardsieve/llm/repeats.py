@@ -130,7 +130,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     first = _words(data)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     fresh = np.r_[True, first[order][1:] != first[order][:-1]]
     starts = np.flatnonzero(fresh)
     rank = np.empty(n, np.int64)
@@ -142,10 +142,11 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         at = order[open_]
         beyond = at + distance
         further = np.where(beyond < n, rank[np.minimum(beyond, n - 1)], n - 1 - beyond)
-        by = np.lexsort((further, rank[at]))
-        at, group, further = at[by], rank[at][by], further[by]
+        both = (rank[at] << 32) + further  # further lies within n of zero
+        by = np.argsort(both)
+        at, both = at[by], both[by]
         order[open_] = at
-        new = np.r_[True, (group[1:] != group[:-1]) | (further[1:] != further[:-1])]
+        new = np.r_[True, both[1:] != both[:-1]]
         begin = np.flatnonzero(new)
         sizes = np.diff(np.r_[begin, len(at)])
         rank[at] = np.repeat(open_[begin + sizes - 1], sizes)
