@@ -62,8 +62,11 @@ def _bounded(targets: DataFrame) -> DataFrame:
     return F.broadcast(kept) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else kept
 
 
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: float = 3.0, seed: str = "mix") -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
+    """``docs`` with the columns ``ADDED``.
 
     Rows and the other columns stay as they are; ``mix_copies`` says how often a row is emitted.
     """
@@ -78,8 +81,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: float
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """Each row of ``mix()`` as often as its copies say, numbered by ``copy`` from 1."""
-    plain = [c for c in mixed.columns if not c.startswith("mix_") and c != "copy"]
+    """Each row of ``mix()`` as often as its copies say, without ``ADDED``, numbered by ``copy`` from 1."""
+    plain = [c for c in mixed.columns if c not in (*ADDED, "copy")]
     rows = mixed.where(F.col("mix_copies") > 0)
     return rows.select(*[F.col(f"`{c}`") for c in plain], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))
 
