@@ -283,14 +283,6 @@ BOARDS = (
     "techjobsforgood", "eurobrussels", "hours80k", "goodjobs", "devex", "linkedin",
     "stepstone", "nofluffjobs", "himalayas", "landingjobs", "themuse",
 )
-# Key that decides which copy of an item a board keeps; None keeps every copy.
-BOARD_DEDUP_KEY = {
-    "remotive": "url", "arbeitnow": None, "remoteok": None, "weworkremotely": "url",
-    "idealist": "native_id", "reliefweb": "url", "techjobsforgood": None,
-    "eurobrussels": "url", "hours80k": "url", "goodjobs": "url", "devex": "native_id",
-    "linkedin": "url", "stepstone": "native_id", "nofluffjobs": "native_id",
-    "himalayas": "url", "landingjobs": "url", "themuse": "native_id",
-}
 
 # arbeitnow addresses
 ADDRESS_CITIES = (

@@ -148,6 +148,8 @@ SQL: dict[str, str] = {
     "scope_restrictions": f"{_F} SELECT ingest_seq, {ELIGIBLE} AS eligible, {RESTRICTION_SCOPE} AS scope FROM fields",
     "scope_country_code": f"{_F} SELECT ingest_seq, CASE WHEN list_has_any({_CODES}, {sql_array(v.DACH_CODES)}) THEN 'germany' ELSE 'eu' END AS scope FROM fields",
     "strip_html": f"{_F} SELECT ingest_seq, {sql_strip(chr(39) + ' ' + chr(39) + ' || title || ' + chr(39) + '   x ' + chr(39))} AS text FROM fields",
+    "remote_evidence": f"""{_F} SELECT ingest_seq, CASE WHEN {any_of('lower(title)', v.STEPSTONE_REMOTE)} THEN 'title'
+        WHEN is_remote THEN 'flag' ELSE 'feed' END AS evidence FROM fields""",
     "board_prefilter": f"{_F} SELECT ingest_seq, {PREFILTER} AS wanted FROM fields",
     "norm_remotive": board("url", "CASE WHEN ingest_seq % 17 <> 0 THEN location ELSE 'Anywhere' END", salary="nullif(salary, '')",
                            chars="length(description)::INT", first_by="url"),
@@ -237,3 +239,4 @@ _BOARD_SQL = {"nofluffjobs": "norm_nofluff", "landingjobs": "norm_landing", "the
 SQL["union_sources"] = " UNION ALL ".join(
     f"SELECT '{name}' AS source, count(*) AS cnt, count(*) AS n_seq, {i}::BIGINT AS rank, {i}::BIGINT AS last_rank FROM ({SQL[_BOARD_SQL.get(name, 'norm_' + name)]})"
     for i, name in enumerate(v.BOARDS))
+SQL["board_selection"] = f"SELECT 'devex' AS source, count(*) AS cnt FROM ({SQL['norm_devex']})"

@@ -268,6 +268,13 @@ def _union(s, d):
         F.count(F.lit(1)).alias("cnt"), F.count_distinct("ingest_seq").alias("n_seq"), F.min(rank).alias("rank"), F.max(rank).alias("last_rank"))
 
 
+def _selection(s, d):
+    """One board selected by name among the responses of several."""
+    rows = payloads.fields(s, d)
+    landed = landed_board(rows, "devex").unionByName(landed_board(rows, "remotive"))
+    return boards.board_postings(landed, "devex").groupBy("source").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def _scan_landed(s, d):
     """One scan from the responses of all boards to the ledger; what the ledger holds afterwards."""
     landed = landed_all(s, d, own=True)
@@ -309,6 +316,8 @@ QUERIES = {
     "scope_restrictions": _restrictions,
     "scope_country_code": _parsed("scope", lambda: parsers.country_codes_scope(F.col("regions"))),
     "strip_html": _parsed("text", lambda: parsers.strip_html(F.concat(F.lit("<p>"), "title", F.lit("</p> <b>x</b>")))),
+    "remote_evidence": _parsed("evidence", lambda: parsers.remote_evidence(F.col("title"), F.col("is_remote"))),
+    "board_selection": _selection,
     "board_prefilter": _parsed("wanted", lambda: parsers.board_title_wanted(F.col("title"))),
     **{QUERY_NAMES.get(name, f"norm_{name}"): _norm(name) for name in ADAPTERS},
 }

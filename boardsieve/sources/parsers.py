@@ -128,6 +128,11 @@ def country_codes_scope(codes: Column) -> Column:
     return F.when(_overlaps(_lower_set(codes), v.DACH_CODES), "germany").otherwise("eu")
 
 
+def remote_evidence(title: Column, flag: Column) -> Column:
+    """What says that a posting of the home-office feed is remote: its title, its own flag or only the feed's filter."""
+    return F.when(has_any(F.lower(title), v.STEPSTONE_REMOTE), "title").when(F.coalesce(flag, F.lit(False)), "flag").otherwise("feed")
+
+
 def city_words_scope(names: Column) -> Column:
     text = F.lower(F.array_join(F.coalesce(names, F.array().cast("array<string>")), " ", ""))
     return F.when(has_any(text, v.MUSE_GERMANY), "germany").when(has_any(text, v.MUSE_EU), "eu").otherwise("worldwide")
