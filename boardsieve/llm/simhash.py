@@ -136,7 +136,9 @@ def _links_in_tiles(key: np.ndarray, values: np.ndarray, radius: int) -> tuple[n
         for at in range(0, count, 256):
             block = slice(at, min(at + 256, count))
             until = np.searchsorted(ones, ones[block.stop - 1] + radius, "right")
-            apart = np.bitwise_count(values[rows[block], None] ^ values[None, rows[at:until]]).sum(axis=2, dtype=np.int16)
+            apart = np.zeros((block.stop - at, until - at), np.uint16)
+            for word in values.T:
+                apart += np.bitwise_count(word[rows[block], None] ^ word[None, rows[at:until]])
             i, j = np.nonzero(apart <= radius)
             i, j = i[i < j], j[i < j]
             part_a.append(i + at)
