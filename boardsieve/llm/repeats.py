@@ -37,7 +37,7 @@ from boardsieve.llm.hashing import gram_hashes
 
 LENGTH = 200
 GRAM = 48
-SHARD_OCCURRENCES = 4_000
+SHARD_OCCURRENCES = 1_000
 #: Positions are numbered by the low bits of an anchor candidate; longer texts are cut with overlap.
 _PLACE_BITS = 21
 _PIECE = 1 << 20
