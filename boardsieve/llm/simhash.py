@@ -120,7 +120,7 @@ def _links_in_tiles(key: np.ndarray, values: np.ndarray, radius: int) -> tuple[n
     near = lambda a, b: np.bitwise_count(values[a] ^ values[b]).sum(axis=-1, dtype=np.int32) <= radius
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
-    found_a, found_b = [], []
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]  # there may be no tile of two rows
     small = np.repeat(size <= 32, size)
     for apart in range(1, min(32, int(size[size <= 32].max(initial=1)))):
         a = np.flatnonzero((key[apart:] == key[:-apart]) & small[apart:])

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -91,6 +92,21 @@ def test_simhash_hot_tiles_lose_nothing(spark, monkeypatch):
         assert len(links) <= len(values) * (1 if limit > 1000 else 40)
 
 
+def test_simhash_tiles_of_one_row(spark):
+    none = simhash._links_in_tiles(np.arange(3), np.arange(3, dtype=np.uint64).reshape(3, 1), 2)
+    assert [len(x) for x in none] == [0, 0]
+    rows = [(7, "just one text of a few words", "", 0)]
+    assert [r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()] == [7]
+    apart = [(i, " ".join(f"{i}w{k}" for k in range(40)), "", 0) for i in range(3)]
+    found = simhash.near_duplicates(spark.createDataFrame(apart, DOCS), words=5, bits=256, radius=54, bands=10).collect()
+    assert sorted((r["doc_id"], r["component"]) for r in found) == [(0, 0), (1, 1), (2, 2)]
+    # The last row of a partition is left over as a frame of its own.
+    batch = lambda keys, at: pd.DataFrame({"key": keys, "tile": 0, "node": range(at, at + len(keys)), "print": [bytes(8)] * len(keys)})
+    batches = [batch([0] * 16384, 0), batch([0] * 10 + [1], 16384)]
+    links = list(simhash._compare(2, 64)(iter(batches)))
+    assert [len(x) for x in links] == [16393, 0]
+
+
 def test_simhash_bands_find_similar_texts(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]
