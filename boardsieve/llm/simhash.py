@@ -16,6 +16,11 @@ A tile of more than ``TILE_ROWS`` rows is dealt out as pairs of sub-tiles by pop
 and fingerprint hash, every pair that can hold a link, so a hot tile is many tasks and nothing
 is left out.  A task returns a spanning forest of its links, never all pairs.
 
+With a ``similarity`` the fingerprints, then of distinct shingles, only find candidates: texts of equal shingle
+sets are one row, linked rows are a family, and the texts of a family are compared by their exact shingle sets.
+Families beyond ``FAMILY_ROWS`` are compared within their min-wise tiles, and what has over ``SET_ROWS`` rows is
+dealt out as all pairs of its sub-tiles.  Only links of that similarity or more make components.
+
 Defined cases: null or a text without words has fingerprint zero, linked like any other; a text
 of fewer words than a shingle is one shingle; rows with null doc_id get the component of their
 fingerprint, which is null if no row of it has an id; equal rows get equal results.
@@ -36,6 +41,8 @@ from boardsieve.llm.common import grouped, small_batches, stored, table
 from boardsieve.llm.components import connected_components, forest
 
 TILE_ROWS = 4096
+#: Rows of a family that are compared as one, and rows whose texts one task holds (twice, for a pair of sub-tiles).
+FAMILY_ROWS, SET_ROWS = 8192, 512
 #: Shingle hashes looked at together; below 256 so that a byte can count them.
 _CHUNK = 255
 
@@ -97,18 +104,27 @@ def _blocks(prints: pd.Series, radius: int) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int, seed: int, bands: int = 0) -> DataFrame:
-    """``doc_id``, ``text_key``, ``print`` (binary) and, with bands, ``keys`` of every row."""
+def distinct_digests(digests: bytes, bits: int) -> bytes:
+    """Each of the digests once, in a fixed order."""
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, bits // 8)
+    return rows[np.unique(np.frombuffer(digests, ">u8")[:: bits // 64], return_index=True)[1]].tobytes()
+
+
+def fingerprints(docs: DataFrame, words: int, bits: int, seed: int, bands: int = 0, sets: bool = False) -> DataFrame:
+    """``doc_id``, ``text_key``, ``print`` (binary) and, with bands, ``keys`` of every row; with ``sets`` of distinct shingles, and their ``set_key``."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("print binary, keys array<long>")
+    @F.pandas_udf("print binary, keys array<long>" + (", set_key binary" if sets else ""))
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [shingle_digests(t, words, bits, seed) for t in texts]
-            yield pd.DataFrame({"print": [majority(d, bits) for d in found], "keys": [min_bands(d, bits, bands) if bands else None for d in found]})
+            if sets:
+                found = [distinct_digests(d, bits) for d in found]
+            made = pd.DataFrame({"print": [majority(d, bits) for d in found], "keys": [min_bands(d, bits, bands) if bands else None for d in found]})
+            yield made.assign(set_key=[xxhash.xxh3_128_digest(d) for d in found]) if sets else made
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), of_texts.asNondeterministic()(F.col("text")).alias("made"))
-    return rows.select("doc_id", "text_key", "made.print", *(["made.keys"] if bands else []))
+    return rows.select("doc_id", "text_key", "made.print", *(["made.keys"] if bands else []), *(["made.set_key"] if sets else []))
 
 
 def _links_in_tiles(key: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,11 +195,70 @@ def tiles(keyed: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFram
     return dealt.select("key", "node", "print", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("tile"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int = 2, seed: int = 42, bands: int = 0) -> DataFrame:
-    """``doc_id``, ``text_key``, ``print`` and ``component`` (the smallest doc_id reached by links) for every row of ``docs``."""
-    prints = stored(fingerprints(docs, words, bits, seed, bands), "simhash")
+def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sorted unique sets with that share, or more, of their union in common."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    size = np.array([len(sets[k]) for k in order])
+    known, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    number = np.split(flat, np.cumsum(size)[:-1])
+    label, mark = np.arange(len(sets)), np.zeros(len(known), bool)
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in np.flatnonzero(size):
+        j = np.arange(i + 1, np.searchsorted(size, size[i] / similarity + 1e-9, "right"))
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        mark[number[i]] = True
+        both = np.add.reduceat(mark[np.concatenate([number[k] for k in j])], np.r_[0, np.cumsum(size[j])[:-1]], dtype=np.int64)
+        mark[number[i]] = False
+        hit = j[both >= similarity * (size[i] + size[j] - both) - 1e-9]
+        hit = hit[np.unique(label[hit], return_index=True)[1]]
+        found_a.append(np.full(len(hit), order[i]))
+        found_b.append(order[hit])
+        label[np.isin(label, label[hit])] = label[i]
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _verify(words: int, seed: int, similarity: float, rows: int):
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in grouped(batches, ["key", "tile"], rows):
+            for _, group in part.groupby(["key", "tile"], sort=False):
+                sets = [np.unique(np.frombuffer(shingle_digests(t, words, 64, seed), ">u8").astype(np.uint64)) for t in group["text"]]
+                a, b = similar_sets(sets, similarity)
+                node = group["node"].to_numpy()
+                yield pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return verify
+
+
+def verified(docs: DataFrame, nodes: DataFrame, families: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) of at least the similarity between nodes of a family, by their shingle sets."""
+    large = families.groupBy("component").count().where(F.col("count") > FAMILY_ROWS).select((F.col("component") + F.lit(0)).alias("large"))
+    members = nodes.join(families, "node").join(large, F.col("component") == F.col("large"), "left")
+    keys = F.when(F.col("large").isNull(), F.array("component")).otherwise(F.transform("keys", lambda k: F.xxhash64(k)))
+    keyed = stored(members.select("node", "text_key", F.explode(keys).alias("key")), "simhash-families")
+    hot = keyed.groupBy("key").count().where(F.col("count") > SET_ROWS).select(
+        (F.col("key") + F.lit(0)).alias("hot_key"), F.ceil(F.col("count") / SET_ROWS).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(own, o.cast("long")) * F.lit(1 << 31) + F.greatest(own, o.cast("long")))
+    dealt = keyed.join(hot, F.col("key") == F.col("hot_key"), "left").select(
+        "node", "text_key", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("tile"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("of_text"))
+    held = dealt.join(texts, (F.col("node") == F.col("doc_id")) & (F.col("text_key") == F.col("of_text")))
+    held = held.select("key", "tile", "node", "text").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    return held.mapInPandas(_verify(words, seed, similarity, SET_ROWS), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int = 2, seed: int = 42, bands: int = 0, similarity: float | None = None) -> DataFrame:
+    """``doc_id``, ``text_key``, ``print`` and ``component`` (the smallest doc_id reached by links) for every row of ``docs``.
+
+    With a ``similarity``, which needs bands, links are verified by exact shingle sets.
+    """
+    prints = stored(fingerprints(docs, words, bits, seed, bands, similarity is not None), "simhash")
+    of_class = ["print"] if similarity is None else ["print", "set_key"]
     if bands:
-        nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", F.coalesce("doc_id", F.lit(1 << 62))).alias("keys"))
+        first = F.coalesce("doc_id", F.lit(1 << 62))
+        nodes = prints.groupBy(*of_class).agg(F.min("doc_id").alias("node"), F.min_by("keys", first).alias("keys"), F.min_by("text_key", first).alias("text_key"))
     else:
         @F.pandas_udf("array<long>")
         def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -197,8 +272,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int
     dealt = tiles(keyed, radius).repartition("key", "tile").sortWithinPartitions("key", "tile")
     links = dealt.select("key", "tile", "node", "print").mapInPandas(_compare(radius, bits), "a long, b long")
     components = connected_components(links)
-    classes = nodes.join(components, "node", "left").select(F.col("print").alias("class_print"), F.coalesce("component", "node").alias("component"))
-    return prints.select("doc_id", "text_key", "print").join(classes, F.col("print") == F.col("class_print"), "left").drop("class_print")
+    if similarity is not None:
+        components = connected_components(verified(docs, nodes, components, words, seed, similarity))
+    named = [F.col(c).alias(f"class_{c}") for c in of_class]
+    classes = nodes.join(components, "node", "left").select(*named, F.coalesce("component", "node").alias("component"))
+    same = [F.col(c) == F.col(f"class_{c}") for c in of_class]
+    return prints.join(classes, same, "left").select("doc_id", "text_key", "print", "component")
 
 
 def op5_simhash_near_dedup(spark, folder: str) -> DataFrame:

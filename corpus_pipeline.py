@@ -10,10 +10,10 @@ from boardsieve.llm.common import fresh_path, table
 
 #: A document is rejected if its language can't be told at all or is this uncertain.
 LEAST_SCORE = 0.3
-#: Near duplicates: fingerprints of 256 bits of 5-word shingles.  At similarity 0.8 they differ in 39 bits on
-#: average with a deviation of 5.7, so the radius keeps 99.7 % of such pairs; of pairs of similarity 0.6 it takes 25 %,
-#: of unrelated texts none.
-NEAR = dict(words=5, bits=256, radius=54, bands=10)
+#: Near duplicates: texts of 5-word similarity 0.8, found by fingerprints of 256 bits of their distinct shingles and verified.
+#: At that similarity long texts differ in 39 bits on average with a deviation of 5.7, texts of 4 against 5 shingles
+#: in 48 with one of 6.2, so the radius is 3.9 deviations or more beyond.
+NEAR = dict(words=5, bits=256, radius=72, bands=10, similarity=0.8)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

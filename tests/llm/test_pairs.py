@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 import xxhash
 
+import corpus_pipeline
 from boardsieve.llm import decontaminate, embedding_dedup, repeats, simhash
 from boardsieve.llm.components import connected_components, forest
 
@@ -117,6 +118,27 @@ def test_simhash_bands_find_similar_texts(spark):
     assert found == {i: i % 30 for i in range(60)}
 
 
+@pytest.mark.parametrize(("family_rows", "set_rows"), [(8192, 512), (8192, 6), (4, 5)])
+def test_near_duplicates_are_verified(spark, monkeypatch, family_rows, set_rows):
+    monkeypatch.setattr(simhash, "FAMILY_ROWS", family_rows)
+    monkeypatch.setattr(simhash, "SET_ROWS", set_rows)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(30_000)}"
+    texts = []
+    for fresh in (20, 45, 55, 90, 130):  # texts of a template: similarity 0.88 down to 0.4 to each other
+        shared = [word() for _ in range(300)]
+        texts += [shared[:300 - fresh] + [word() for _ in range(fresh)] for _ in range(8)]
+    for _ in range(10):  # 4 of 5 shingles shared
+        texts += [(short := [word() for _ in range(8)]), [*short, word()]]
+    same = "a b c d e f".split() * 60  # mostly equal words beside distinct ones
+    texts += [same + [word() for _ in range(100)] for _ in range(2)] + [[]]
+    sets = [{tuple(t[k:k + 5]) for k in range(max(len(t) - 4, 1))} for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    rows = [(i, " ".join(t), "", 0) for i, t in enumerate(texts)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), **corpus_pipeline.NEAR).collect()
+    assert {r["doc_id"]: r["component"] for r in found} == _components(range(len(texts)), links)
+
+
 def _cut(rows):
     texts = [(t or "").encode() for _, t in rows]
     count = collections.Counter(t[p:p + 200] for t in texts for p in range(len(t) - 199))
