@@ -2,8 +2,8 @@
 
 A page becomes a tree of elements and a list of text blocks in page order.  Each block passes
 points for its length and its commas to its ancestors, fewer the further away, and an
-element's points are discounted by its link density.  The best element and those siblings that
-look like content are kept; menus, headers, footers, sidebars, notices, adverts, forms,
+element's points are discounted by its link density.  The best element, or the article or main
+element it lies in, which stays whole, and those siblings that look like content are kept; menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out wherever they stand.
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed elements end with
@@ -187,7 +187,11 @@ def main_text(source: str | None) -> str:
     density = [linked[e] / chars[e] if chars[e] else 0.0 for e in range(count)]
     scores = [(points[e] + _BONUS.get(page.tag[e], 0.0)) * (1 - density[e]) if points[e] > 0 or page.tag[e] in _NEVER_BY_NAME and chars[e] else 0.0 for e in range(count)]
     best = max(range(count), key=lambda e: (scores[e], -e))
-    roots = {best} if scores[best] > 0 else {0}
+    article = best if scores[best] > 0 else -1
+    while article >= 0 and page.tag[article] not in ("article", "main"):
+        article = page.parent[article]
+    best = article if article >= 0 else best
+    roots = {best} if scores[best] > 0 or article >= 0 else {0}
     if scores[best] > 0:
         ends = {e: (t, k) for e, t, k in page.blocks}
         for e in range(count):
@@ -198,7 +202,8 @@ def main_text(source: str | None) -> str:
                 if plain or scores[e] >= max(10.0, scores[best] * 0.2):
                     roots.add(e)
     menus = {e for e in range(count) if page.tag[e] in ("ul", "ol", "div", "table", "section") and links[e] >= 3 and density[e] > 0.6}
-    return "\n\n".join(text for e, text, _ in page.blocks if _inside(page, e, roots) and not _inside(page, e, menus))
+    whole = {article} if article >= 0 else set()
+    return "\n\n".join(text for e, text, _ in page.blocks if _inside(page, e, whole) or _inside(page, e, roots) and not _inside(page, e, menus))
 
 
 def extract(pages: DataFrame, to: str = "text") -> DataFrame:

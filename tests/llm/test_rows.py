@@ -231,6 +231,15 @@ def test_html_blocks():
     assert text == "Title\n\nHello, this is a long text, with commas, and so on and so forth. More\n\nSecond <par> & more, long enough to count."
 
 
+def test_html_article_of_uneven_sections():
+    line = "Words, and more words, of a paragraph, long enough to count, here."
+    sources = "<ul>" + "".join(f"<li><a href={k}>Source number {k}</a>" for k in range(5)) + "</ul>"
+    part = lambda n: "<section>" + f"<p>{line}</p>" * n + "</section>"
+    page = f"<body><nav>Home</nav><article>{part(40)}{part(3)}<blockquote>Said.</blockquote><pre>x = 1</pre><h4>Sources</h4>{sources}<aside>Ad</aside></article>{sources}</body>"
+    expected = [line] * 43 + ["Said.", "x = 1", "Sources"] + [f"Source number {k}" for k in range(5)]
+    assert html_text.main_text(page).split("\n\n") == expected
+
+
 @pytest.mark.parametrize(("page", "expected"), [
     (None, ""), ("", ""), ("plain &amp text", "plain & text"), ("<p>a<p>b", "a\n\nb"), ("<article><p><b>x.<br><p>y</article><footer>z", "x.\n\ny"), ("<p>a<!-- b", "a"),
     ("<script>x", ""), ("<p>1 < 2</p>", "1 < 2"), ("<nav>only menu</nav>", ""), ('<p title="a > b">c</p>', "c"), ("<p title=\"open>d</p>", "d"), ("</p></div>e", "e")])
