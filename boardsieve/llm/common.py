@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch: whole texts travel in them, so few rows keep a Python worker small.
 BATCH_ROWS = 256
 
+#: A table is broadcast up to this many rows and bytes of strings, and joined by shuffle beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+
 #: What the word rules call white space: blank and U+0009 to U+000D, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,6 +58,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored; marked for broadcast only if its counted rows and bytes of strings are within the bound."""
+    kept = stored(df, name)
+    strings = [F.octet_length(F.col(f"`{f.name}`")) for f in kept.schema.fields if f.dataType.simpleString() == "string"]
+    size = sum((F.coalesce(F.sum(s), F.lit(0)) for s in strings), F.lit(0))
+    rows, length = kept.agg(F.count("*"), size).first()
+    return F.broadcast(kept) if rows <= BROADCAST_ROWS and length <= BROADCAST_BYTES else kept
+
+
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
