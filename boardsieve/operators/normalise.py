@@ -51,8 +51,14 @@ def missing_field(df: DataFrame) -> Column:
     return F.coalesce(*[F.when(F.col(name).isNull(), F.lit(name)) for name in REQUIRED])
 
 
-def valid_rows(df: DataFrame) -> DataFrame:
-    return df.filter(missing_field(df).isNull())
+def with_reason(df: DataFrame) -> DataFrame:
+    """Add ``field``, the first required field an item lacks, and ``reason``, null for a valid item.
+
+    An item that could not be read at all comes with the reason ``malformed`` and keeps it.
+    """
+    read = F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")
+    named = df.withColumn("field", F.when(read.isNull(), missing_field(df)))
+    return named.withColumn("reason", F.coalesce(read, F.when(F.col("field").isNotNull(), "missing")))
 
 
 def quarantine(df: DataFrame) -> DataFrame:

@@ -240,3 +240,22 @@ SQL["union_sources"] = " UNION ALL ".join(
     f"SELECT '{name}' AS source, count(*) AS cnt, count(*) AS n_seq, {i}::BIGINT AS rank, {i}::BIGINT AS last_rank FROM ({SQL[_BOARD_SQL.get(name, 'norm_' + name)]})"
     for i, name in enumerate(v.BOARDS))
 SQL["board_selection"] = f"SELECT 'devex' AS source, count(*) AS cnt FROM ({SQL['norm_devex']})"
+
+# -- refused items -----------------------------------------------------------
+_PLACED = FIELDS_SQL + """,
+placed AS (
+  SELECT *, ingest_seq // 50 AS page, row_number() OVER (PARTITION BY ingest_seq // 50 ORDER BY ingest_seq) - 1 AS place,
+         ingest_seq // 20 AS card_page, row_number() OVER (PARTITION BY ingest_seq // 20 ORDER BY ingest_seq) - 1 AS card_place,
+         ingest_seq % 5 = 0 AS no_title, ingest_seq % 7 = 0 AS no_url, ingest_seq - CASE WHEN ingest_seq % 11 = 0 THEN 1 ELSE 0 END AS item_id
+  FROM fields)"""
+# A page of cards is four elements and then six per card.
+SQL["reject_log"] = f"""WITH {_PLACED},
+themuse AS (
+  SELECT *, ingest_seq % 13 = 0 AS broken FROM placed
+  QUALIFY broken OR row_number() OVER (PARTITION BY broken, item_id ORDER BY ingest_seq) = 1)
+SELECT 'themuse' AS source, page AS request_seq, place, CASE WHEN broken THEN 'malformed' ELSE 'missing' END AS reason,
+       CASE WHEN broken THEN NULL WHEN no_title THEN 'title' ELSE 'url' END AS field FROM themuse WHERE broken OR no_title OR no_url
+UNION ALL SELECT 'landingjobs', page, place, 'missing', 'title' FROM placed WHERE page % 9 <> 4 AND no_title
+UNION ALL SELECT DISTINCT 'landingjobs', page, -1, 'malformed', NULL FROM placed WHERE page % 9 = 4
+UNION ALL SELECT 'weworkremotely', page, place, 'missing', CASE WHEN no_title THEN 'title' ELSE 'url' END FROM placed WHERE no_title OR no_url
+UNION ALL SELECT 'techjobsforgood', card_page, 4 + 6 * card_place, 'missing', 'title' FROM placed WHERE no_title"""

@@ -70,13 +70,14 @@ fields AS (SELECT *, {_sql_pick(ZONES, _K)} AS zone, {_sql_pick(ZONE_COUNTRIES,
   FROM raw_postings)"""
 
 
-def landed(items: DataFrame, source: str, wrapper: str | None, first: str = "") -> DataFrame:
-    """Pages of one board: 50 consecutive items (column ``item``) as one JSON body.
+def landed(items: DataFrame, source: str, wrapper: str | None, first: str = "", text: Column | None = None) -> DataFrame:
+    """Pages of one board: 50 consecutive items (column ``item``, or their JSON ``text``) as one JSON body.
 
     The group is a page, so what is collected is bounded by the page size.
     """
+    text = F.to_json("item") if text is None else text
     pages = items.groupBy(F.floor(F.col("ingest_seq") / PAGE).alias("request_seq")).agg(
-        F.sort_array(F.collect_list(F.struct("ingest_seq", F.to_json("item").alias("item")))).alias("list"),
+        F.sort_array(F.collect_list(F.struct("ingest_seq", text.alias("item")))).alias("list"),
         F.max("fetched_at").alias("fetched_at"))
     listed = F.concat(F.lit("[" + first), F.array_join(F.transform("list", lambda x: x["item"]), ","), F.lit("]"))
     body = F.concat(F.lit('{"' + wrapper + '":'), listed, F.lit("}")) if wrapper else listed

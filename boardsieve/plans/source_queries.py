@@ -285,6 +285,32 @@ def _scan_landed(s, d):
     return stored.select("source", "ingest_seq", "id", "title", "company", "match_score")
 
 
+def faulty(s, d) -> DataFrame:
+    """Responses of a JSON board with and without a wrapper, an RSS and an HTML board in which items lack a title or a link,
+    are no objects, or whole bodies are cut off."""
+    rows = payloads.fields(s, d).withColumns({
+        "title": F.when(F.col("ingest_seq") % 5 != 0, F.col("title")), "url": F.when(F.col("ingest_seq") % 7 != 0, F.col("url"))})
+    rows = pinned(rows)
+    muse = rows.withColumn("item", BOARD_ITEMS["themuse"][1]())
+    muse = payloads.landed(muse, "themuse", "results", text=F.when(F.col("ingest_seq") % 13 == 0, F.lit("7")).otherwise(F.to_json("item")))
+    cut = F.when(F.col("request_seq") % 9 == 4, F.substring("body", 1, 30)).otherwise(F.col("body"))
+    html = rows.withColumn("title", F.coalesce("title", F.lit("")))
+    parts = [muse, landed_board(rows, "landingjobs").withColumn("body", cut), landed_board(rows, "weworkremotely"), landed_html(html, "techjobsforgood")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _reject_log(s, d):
+    """The reject log of one batch: what each board refused, where it stood (-1: the whole response) and why."""
+    landed = faulty(s, d)
+    items = reduce(DataFrame.unionByName, [boards.board_items(landed, name) for name in FAULTY])
+    store = scan.Store(f"{ensure_checkpoint_dir(s)}/rejects-{uuid.uuid4().hex}")
+    scan.log_rejects(landed, items, 1, store)
+    return ledger.read_table(s, store.reject_log, schema.REJECT_LOG).select(
+        "source", "request_seq", F.coalesce("pos", F.lit(-1)).alias("place"), "reason", "field")
+
+
+FAULTY = ("themuse", "landingjobs", "weworkremotely", "techjobsforgood")
+
 QUERY_NAMES = {"nofluffjobs": "norm_nofluff", "landingjobs": "norm_landing", "themuse": "norm_muse",
                "weworkremotely": "norm_rss_company_title"}
 
@@ -293,6 +319,7 @@ QUERIES = {
     "html_links": _links,
     "html_elements": _elements,
     "scan_landed": _scan_landed,
+    "reject_log": _reject_log,
     "html_title": _title,
     "link_dedup": _link_dedup,
     "source_dedup": _source_dedup,

@@ -48,6 +48,17 @@ SCORE_LOG = T.StructType([
     T.StructField("scored_at", T.TimestampType()),
 ])
 
+# Refused responses and items; ``pos`` is null for a whole response, ``field`` for what can't be read.
+REJECT_LOG = T.StructType([
+    T.StructField("source", T.StringType()),
+    T.StructField("request_key", T.StringType()),
+    T.StructField("request_seq", T.LongType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("pos", T.LongType()),
+    T.StructField("field", T.StringType()),
+    T.StructField("logged_at", T.TimestampType()),
+])
+
 SCAN_LOG = T.StructType([
     T.StructField("scan_id", T.LongType()),
     T.StructField("started_at", T.TimestampType()),

@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from boardsieve.functions import fixed_values as v
 from boardsieve.sources import html_boards, json_boards, rss_boards
-from boardsieve.sources.landing import selected_boards, union_boards, usable
+from boardsieve.sources.landing import kept, selected_boards, union_boards
 
 ADAPTERS = {
     name: getattr(next(m for m in (json_boards, rss_boards, html_boards) if hasattr(m, name)), name) for name in v.BOARDS
 }
 
 
-def board_postings(landed: DataFrame, board: str | None = None) -> DataFrame:
-    """Postings of one board or of all, each row with its sequence within the batch."""
-    return union_boards({name: ADAPTERS[name](landed) for name in selected_boards(board)})
-
-
-# The list a JSON body holds its items under; None for a body that is a list.
-ITEM_PATHS = {
-    "remotive": "jobs", "arbeitnow": "data", "remoteok": None, "idealist": "hits", "hours80k": "hits", "devex": "data",
-    "stepstone": "stellenangebote", "nofluffjobs": "postings", "himalayas": "jobs", "landingjobs": None, "themuse": "results",
-}
+def board_items(landed: DataFrame, board: str | None = None) -> DataFrame:
+    """Items of one board or of all in posting form, refused ones with their reason and place."""
+    return union_boards({name: ADAPTERS[name].items(landed) for name in selected_boards(board)})
 
 
-def malformed_bodies(landed: DataFrame) -> DataFrame:
-    """Usable responses of JSON boards without the list of items they should hold, as reject rows."""
-    parts = []
-    for board, path in ITEM_PATHS.items():
-        held = F.get_json_object("body", f"$.{path}" if path else "$")
-        wrong = ~F.coalesce(F.startswith(F.ltrim(held), F.lit("[")), F.lit(False))
-        parts.append(usable(landed, board).filter(wrong).select("source", "request_key", "request_seq", F.lit("malformed").alias("reason")))
-    return reduce(DataFrame.unionByName, parts)
+def board_postings(landed: DataFrame, board: str | None = None) -> DataFrame:
+    """Postings of one board or of all, each row with its sequence within the batch."""
+    return kept(board_items(landed, board))

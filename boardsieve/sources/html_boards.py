@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from boardsieve.functions import fixed_values as v
 from boardsieve.functions.pin import pinned
 from boardsieve.functions.text import capped, has_any, iso_timestamp, present
-from boardsieve.operators.normalise import finish, valid_rows
+from boardsieve.operators.normalise import finish, with_reason
 from boardsieve.sources import parsers as p
 from boardsieve.sources.html import elements
-from boardsieve.sources.landing import dedup_items, to_posting, usable
+from boardsieve.sources.landing import adapter, dedup_items, to_items, usable
 
 _BLOCKS = ("div", "li", "article", "section")
 _OUTER_BLOCKS = ("div", "article", "section")
@@ -61,10 +61,12 @@ def _by_card(df: DataFrame, is_card) -> DataFrame:
 
 
 def _done(df: DataFrame, source: str, url_key: bool) -> DataFrame:
-    df = finish(valid_rows(df.withColumn("source", F.lit(source))))
-    return to_posting(dedup_items(df, "url") if url_key else df, source)
+    """A card without a title or a link is refused; the rest as for the other boards."""
+    df = finish(with_reason(df.withColumn("source", F.lit(source))))
+    return to_items(dedup_items(df, "url") if url_key else df, source)
 
 
+@adapter
 def linkedin(landed: DataFrame) -> DataFrame:
     """Cards are ``div.base-card``; a page without any falls back to ``li``."""
     rank = lambda tag, classes, href: F.when((tag == "div") & _has_class(classes, "base-card"), 1).when(tag == "li", 2)
@@ -79,9 +81,9 @@ def linkedin(landed: DataFrame) -> DataFrame:
         href.alias("href"),
         F.coalesce(_first("text", _is("span.job-search-card__location")), F.lit("Remote")).alias("location"),
         _first("datetime", _is("time")).alias("datetime"), _first("text", _is("time")).alias("ago"))
-    return _done(found.filter((F.col("title") != "") & (F.col("href") != "")).select(
-        "request_seq", F.col("card").alias("pos"), "fetched_at", "title", "company", "location", F.lit(True).alias("is_remote"),
-        _url(F.substring_index("href", "?", 1), v.LINKEDIN_URL).alias("url"), F.lit("").alias("description"),
+    return _done(found.select(
+        "request_seq", F.col("card").alias("pos"), "fetched_at", present(F.col("title")).alias("title"), "company", "location", F.lit(True).alias("is_remote"),
+        _url(F.substring_index(present(F.col("href")), "?", 1), v.LINKEDIN_URL).alias("url"), F.lit("").alias("description"),
         F.array().cast("array<string>").alias("tags"),
         F.coalesce(iso_timestamp(F.col("datetime")), p.relative_time(F.col("ago"), F.col("fetched_at"))).alias("posted_at")),
         "linkedin", url_key=True)
@@ -92,6 +94,7 @@ _TECH_TAGS = ("span.tag", "span.skill", "span.badge", "*tag", "*skill")
 _JOB_HREF = r"/jobs?/\d+|/jobs?/[a-z0-9-]+"
 
 
+@adapter
 def techjobsforgood(landed: DataFrame) -> DataFrame:
     """The first card selector that matches on a page decides; a page without cards
     uses the blocks around links to detail pages."""
@@ -122,10 +125,10 @@ def techjobsforgood(landed: DataFrame) -> DataFrame:
         _first_text(("span.location", "div.location", "span.loc", "*location", "*remote")).alias("location"),
         _first_text(("p.description", "div.description", "p.summary", "*description", "*summary")).alias("description"),
         F.sort_array(F.collect_list(F.when(tag_text, F.struct("node", "text")))).alias("tags"))
-    return _done(found.filter((F.col("title") != "") & (F.col("href") != "")).select(
-        "request_seq", F.col("card").alias("pos"), "fetched_at", "title", F.coalesce("company", F.lit("Unknown")).alias("company"),
+    return _done(found.select(
+        "request_seq", F.col("card").alias("pos"), "fetched_at", present(F.col("title")).alias("title"), F.coalesce("company", F.lit("Unknown")).alias("company"),
         F.coalesce("location", F.lit("Remote")).alias("location"), F.lit(True).alias("is_remote"),
-        _url(F.col("href"), v.TECHJOBS_URL).alias("url"), capped(F.col("description"), 5000).alias("description"),
+        _url(present(F.col("href")), v.TECHJOBS_URL).alias("url"), capped(F.col("description"), 5000).alias("description"),
         F.slice(F.transform("tags", lambda t: t["text"]), 1, 10).alias("tags"), F.lit(True).alias("is_ngo_source")),
         "techjobsforgood", url_key=False)
 
@@ -133,6 +136,7 @@ def techjobsforgood(landed: DataFrame) -> DataFrame:
 _GOOD_HREF = r"^(?:/jobs/[a-z0-9-]+|https://goodjobs\.eu/jobs/[a-z0-9-]+)"
 
 
+@adapter
 def goodjobs(landed: DataFrame) -> DataFrame:
     """A job card is the anchor that leads to the posting."""
     rows = _by_card(elements(usable(landed, "goodjobs")), lambda t, c, h: (t == "a") & h.rlike(_GOOD_HREF))
@@ -157,7 +161,7 @@ def goodjobs(landed: DataFrame) -> DataFrame:
     tags = F.array_compact(F.array(
         F.when(F.contains(low, F.lit("hybrid")), "Hybrid"), F.when(F.contains(low, F.lit("remote")), "Remote"),
         F.when(has_any(low, ("vollzeit", "full-time")), "Full-time"), F.when(has_any(low, ("teilzeit", "part-time")), "Part-time")))
-    wanted = (F.length("full") >= 10) & ~has_any(low, v.GOODJOBS_SKIP) & (F.length("title") >= 3)
+    wanted = (F.length("full") >= 10) & ~has_any(low, v.GOODJOBS_SKIP) & (F.col("title").isNull() | (F.length("title") >= 3))
     return _done(found.filter(wanted).select(
         "request_seq", "pos", "fetched_at", "title", "company", p.worktype_location(F.col("full")).alias("location"),
         has_any(low, ("remote", "hybrid")).alias("is_remote"), "url", capped(F.col("full"), 2000).alias("description"),
@@ -165,6 +169,7 @@ def goodjobs(landed: DataFrame) -> DataFrame:
         p.legal_form_ngo(F.col("company"), F.col("full")).alias("is_ngo_source")), "goodjobs", url_key=False)
 
 
+@adapter
 def eurobrussels(landed: DataFrame) -> DataFrame:
     """Links to postings; company, place, tags and text come from the blocks around them."""
     rows = pinned(elements(usable(landed, "eurobrussels")))  # links and both kinds of blocks read one parse
@@ -199,8 +204,8 @@ def eurobrussels(landed: DataFrame) -> DataFrame:
     enough = lambda text: F.when(F.length(text) >= 5, text)
     found = found.withColumn("title", F.coalesce(enough(F.col("text")), enough(F.trim("alt")),
                                                  enough(F.replace(p.slug_text(F.col("url")), F.lit("_"), F.lit(" ")))))
-    found = found.filter(F.col("title").isNotNull() & ~F.lower("title").isin(*v.EUROBRUSSELS_NAV))
-    lines = F.filter(F.transform("snippets", lambda x: x["text"]), lambda t: t != F.col("title"))
+    found = found.filter(F.col("title").isNull() | ~F.lower("title").isin(*v.EUROBRUSSELS_NAV))
+    lines = F.filter(F.transform("snippets", lambda x: x["text"]), lambda t: ~t.eqNullSafe(F.col("title")))
     return _done(found.select(
         "request_seq", "pos", "fetched_at", "title", "url", F.coalesce(present(F.col("company")), F.lit("Unknown")).alias("company"),
         F.coalesce(present(F.col("place")), present(p.slug_location(F.col("url"))), F.lit(v.EUROBRUSSELS_DEFAULT_LOCATION)).alias("location"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,9 +56,20 @@ def item_order() -> list[Column]:
 
 
 def dedup_items(items: DataFrame, key: str) -> DataFrame:
-    """First item per key in feed order.  On native ids this runs before parsing,
-    so a malformed first copy hides a good second one; on urls after it."""
-    return keep_first(items, [F.col(key)], item_order())
+    """First item per key in feed order.  On native ids this runs before the required fields are
+    looked at, so a first copy that lacks one hides a good second one; on urls after it.
+
+    Items that have a reason already are refused ones: all of them stay and hide nothing.
+    """
+    keys = [F.col(key)]
+    if "reason" in items.columns:
+        keys.append(F.when(F.col("reason").isNotNull(), F.struct("request_seq", "pos")))
+    return keep_first(items, keys, item_order())
+
+
+def keep_items(items: DataFrame, condition: Column) -> DataFrame:
+    """Items a board's own rule wants; refused ones stay with their reason."""
+    return items.filter(F.col("reason").isNotNull() | condition)
 
 
 def _packed(name: str, bits: int) -> Column:
@@ -80,13 +92,8 @@ def batch_seq(seq: Column, batch_id: int) -> Column:
     return F.shiftleft(F.lit(batch_id).cast("long"), _BOARD_BITS + _REQUEST_BITS + _POS_BITS) + seq
 
 
-def to_posting(df: DataFrame, source: str | None = None) -> DataFrame:
-    """Complete a board's columns to the posting schema, nulls where it has none.
-
-    With ``source``, rows of a board get their sequence from ``request_seq`` and ``pos``.
-    """
-    if source is not None:
-        df = df.withColumn("ingest_seq", feed_seq(source))
+def to_posting(df: DataFrame) -> DataFrame:
+    """Complete columns to the posting schema, nulls where there are none."""
     columns = []
     for field in POSTING.fields:
         known = F.col(field.name) if field.name in df.columns else F.lit(None)
@@ -94,6 +101,42 @@ def to_posting(df: DataFrame, source: str | None = None) -> DataFrame:
     return df.select(*columns)
 
 
+# What every item carries from the response to the end of its adapter.
+CARRIED = ("request_seq", "pos", "fetched_at", "source", "reason")
+# What tells where a refused item stood and why it is refused.
+REFUSAL = ("request_seq", "pos", "reason", "field")
+
+
+def to_items(df: DataFrame, source: str) -> DataFrame:
+    """All items of a board in posting form with ``REFUSAL``; valid ones get their sequence."""
+    sequenced = df.withColumn("ingest_seq", F.when(F.col("reason").isNull(), feed_seq(source)))
+    columns = [F.col("request_seq").cast("long").alias("request_seq"), F.col("pos").cast("long").alias("pos"), "reason", "field"]
+    for field in POSTING.fields:
+        known = F.col(field.name) if field.name in sequenced.columns else F.lit(None)
+        columns.append(known.cast(field.dataType).alias(field.name))
+    return sequenced.select(*columns)
+
+
+def kept(items: DataFrame) -> DataFrame:
+    """The valid items of a board as postings."""
+    return to_posting(items.filter(F.col("reason").isNull()))
+
+
+def refused(items: DataFrame) -> DataFrame:
+    """The other ones, as rows of the reject log; a body that could not be read has no place."""
+    return items.filter(F.col("reason").isNotNull()).select("source", *REFUSAL)
+
+
+def adapter(parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A board: called, it gives its postings; ``items`` gives valid and refused items from one parse."""
+    @wraps(parse)
+    def board(landed: DataFrame) -> DataFrame:
+        return kept(parse(landed))
+
+    board.items = parse
+    return board
+
+
 def union_boards(parts: dict[str, DataFrame]) -> DataFrame:
     """All boards in registry order; columns a board lacks become null."""
     ordered = [parts[name] for name in v.BOARDS if name in parts]

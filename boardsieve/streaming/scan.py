@@ -78,15 +78,21 @@ def scan_landed(landed: DataFrame, batch_id: int, store: Store, rules: RuleSet,
                 max_age_days: int | None = None, profile: DataFrame | None = None, board: str | None = None) -> None:
     """One scan from responses: gate, adapters, union, cascade, ledger.
 
-    Bodies are parsed once; the postings are kept in the shared folder while the scan reads them.
-    Responses no adapter may read and items without a required field go to the reject log.
+    Bodies are parsed once; the items are kept in the shared folder while the scan reads them.
+    Responses no adapter may read, bodies and items that can't be read and items without a required
+    field go to the reject log.
     """
     spark = configure(landed.sparkSession)
-    postings = pinned(boards.board_postings(landed, board))
-    postings = postings.withColumn("ingest_seq", landing.batch_seq(F.col("ingest_seq"), batch_id))
+    items = pinned(boards.board_items(landed, board))
+    postings = landing.kept(items).withColumn("ingest_seq", landing.batch_seq(F.col("ingest_seq"), batch_id))
     scan_batch(postings, batch_id, store, rules, as_of, max_age_days, profile)
-    rejected = landing.rejected_responses(landed).unionByName(boards.malformed_bodies(landed)).withColumn("logged_at", F.current_timestamp())
-    ledger.append_batch(rejected, store.reject_log, batch_id, "logged_at")
+    log_rejects(landed, items, batch_id, store)
+
+
+def log_rejects(landed: DataFrame, items: DataFrame, batch_id: int, store: Store) -> None:
+    """Append unusable responses and refused items of a batch to the reject log: board, response, place, reason, field."""
+    rejected = landing.rejected_responses(landed).unionByName(landing.refused(items), allowMissingColumns=True)
+    ledger.append_batch(rejected.withColumn("logged_at", F.current_timestamp()), store.reject_log, batch_id, "logged_at")
 
 
 def landed_stream(landed: DataFrame, store: Store, rules: RuleSet, checkpoint: str, as_of: Column | None = None,

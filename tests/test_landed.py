@@ -182,3 +182,46 @@ def test_weekly_windows_equal_sliding_windows(spark):
     fast = windows.weekly_windows(rows, "at", "k")
     slow = windows.window_counts(rows, "at", "k", "7 days", "1 day")
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.select(*fast.columns).collect()))
+
+
+def test_json_items_of_a_wrong_kind_are_refused_one_by_one(spark):
+    bodies = ['{"jobs":[1,{"title":"a","url":"u1"},null,{"title":"b","url":"u2"},"t",[{"title":"z"}]]}', '{"jobs":{"title":"a"}}', "<html>", '{"jobs":[]}',
+              '{"x":1}', None, '{"jobs":"s"}', '[{"jobs":[]}]', '{"jobs":[{"title":"a"},{"title":"b"']
+    items = boards.board_items(_landed(spark, *[("remotive", i, 200, b) for i, b in enumerate(bodies)]), "remotive")
+    whole = {(r.request_seq, r.pos) for r in landing.refused(items).collect() if r.reason == "malformed" and r.field is None}
+    assert whole == {(0, 0), (0, 2), (0, 4), (0, 5), *((i, None) for i in (1, 2, 4, 5, 6, 7, 8))}
+    assert sorted((r.title, r.ingest_seq & 0xFFFFF) for r in landing.kept(items).collect()) == [("a", 1), ("b", 3)]
+    lists = ['[{"title":"t","url":"https://l/at/acme/1","gross_salary_low":"x"},5,{"title":"q"}]', '{"error":1}', "[]", '[{"url":"https://l/at/acme/2"}]']
+    items = boards.board_items(_landed(spark, *[("landingjobs", i, 200, b) for i, b in enumerate(lists)]), "landingjobs").collect()
+    assert sorted((r.request_seq, -1 if r.pos is None else r.pos, str(r.reason), str(r.field)) for r in items) == [
+        (0, 0, "None", "None"), (0, 1, "malformed", "None"), (0, 2, "missing", "url"), (1, -1, "malformed", "None"), (3, 0, "missing", "title")]
+
+
+def test_refused_items_stay_beside_rules_and_dedup(spark):
+    body = json.dumps({"data": [{"id": 1, "name": None}, {"id": 1, "name": "Second copy"}, {"id": 2, "name": "abc"}, {"id": 3, "name": "Long enough"}, 4]})
+    items = boards.board_items(_landed(spark, ("devex", 0, 200, body)), "devex").collect()
+    assert sorted((r.pos, r.title, r.reason, r.field) for r in items) == [(0, None, "missing", "title"), (3, "Long enough", None, None), (4, None, "malformed", None)]
+    head = "<html><body>" + " " * 600
+    cards = ('<div class="job-listing"><a href="/jobs/1">Web Dev</a></div><div class="job-listing"><a href="/jobs/2"> </a></div>'
+             '<div class="job-listing"><a>No link</a></div>')
+    items = boards.board_items(_landed(spark, ("techjobsforgood", 0, 200, head + cards)), "techjobsforgood").collect()
+    assert sorted((r.pos, r.title, r.field) for r in items) == [(2, "Web Dev", None), (4, None, "title"), (6, None, "title")]
+    good = '<a class="jobcard" href="/jobs/dev-1"><h3>Web Dev</h3><span>Kassel | Hybrid</span></a><a class="jobcard" href="/jobs/dev-2"><p>Ten letters at least</p></a>'
+    items = boards.board_items(_landed(spark, ("goodjobs", 0, 200, head + good)), "goodjobs").collect()
+    assert sorted((r.title or "", r.field) for r in items) == [("", "title"), ("Web Dev", None)]
+
+
+def test_feeds_are_read_as_xml(spark):
+    feeds = ["<rss><channel><title>x</title><item><title>A: B</title><link>u1</link><description><![CDATA[has </item> inside & <b>x</b>]]></description>"
+             '<category domain="d">c1</category><category>c2</category></item><item><title>C &amp; D &#8211; é</title>'
+             '<dc:creator xmlns:dc="urn:x">me</dc:creator><guid isPermaLink="false">g2</guid></item></channel></rss>',
+             "<rss><channel><title>t</title></channel></rss>", "<rss><channel/></rss>",
+             "<rss><channel><item><title>whole</title><link>u</link></item><item><title>cut", "garbage", None, "<html><body>hi</body></html>",
+             '<rdf:RDF xmlns:rdf="urn:r" xmlns="urn:p"><channel><title>c</title></channel><item><title>rdf</title><link>r1</link></item></rdf:RDF>',
+             "<rss><channel><item><title>No link</title></item><item/></channel></rss>"]
+    items = boards.board_items(_landed(spark, *[("weworkremotely", i, 200, b) for i, b in enumerate(feeds)]), "weworkremotely").collect()
+    found = {(r.request_seq, r.pos): (r.company, r.title, r.url, r.description, r.field or r.reason) for r in items}
+    assert found == {
+        (0, 0): ("A", "B", "u1", "has </item> inside & <b>x</b>", None), (0, 1): ("Unknown", "C & D – é", "g2", None, None),
+        (3, 0): ("Unknown", "whole", "u", None, None), (7, 0): ("Unknown", "rdf", "r1", None, None), (8, 0): ("Unknown", "No link", None, None, "url"),
+        (8, 1): ("Unknown", None, None, None, "title"), **{(i, None): ("Unknown", None, None, None, "malformed") for i in (4, 5, 6)}}
