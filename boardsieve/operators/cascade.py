@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from boardsieve.functions.pin import evaluate_once, pinned
@@ -85,11 +85,14 @@ def sequenced(df: DataFrame) -> DataFrame:
     return df.withColumn("ingest_seq", F.coalesce("ingest_seq", wrong))
 
 
-def check_unique(df: DataFrame) -> None:
-    """Raise if two rows share a sequence."""
-    repeated = df.groupBy("ingest_seq").count().filter("count > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"ingest_seq {repeated[0][0]} stands for {repeated[0][1]} rows")
+def check_unique(df: DataFrame) -> Row:
+    """Raise if two rows share a sequence; else their number and times as ``raw``, ``started_at`` and ``completed_at``."""
+    per_key = df.groupBy("ingest_seq").agg(F.count(F.lit(1)).alias("n"), F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high"))
+    facts = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw"), F.min("low").alias("started_at"), F.max("high").alias("completed_at"),
+                        F.max("n").alias("most"), F.max_by("ingest_seq", "n").alias("ingest_seq")).first()
+    if (facts.most or 0) > 1:
+        raise ValueError(f"ingest_seq {facts.ingest_seq} stands for {facts.most} rows")
+    return facts
 
 
 def _check_language(rules: RuleSet, profile: DataFrame | None) -> None:

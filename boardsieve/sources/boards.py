@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from boardsieve.functions import fixed_values as v
 from boardsieve.sources import html_boards, json_boards, rss_boards
@@ -13,9 +16,18 @@ ADAPTERS = {
 }
 
 
-def board_items(landed: DataFrame, board: str | None = None) -> DataFrame:
-    """Items of one board or of all in posting form, refused ones with their reason and place."""
-    return union_boards({name: ADAPTERS[name].items(landed) for name in selected_boards(board)})
+def landed_boards(landed: DataFrame) -> tuple[str, ...]:
+    """The boards a batch has responses of; reads the column ``source`` only, or folder names of a landed table."""
+    found = landed.select("source").filter(F.col("source").isin(*v.BOARDS)).distinct()
+    return tuple(r[0] for r in found.collect())
+
+
+def board_items(landed: DataFrame, board: str | None = None, among: Collection[str] = v.BOARDS) -> DataFrame:
+    """Items of one board, or of all ``among`` these, in posting form, refused ones with their reason and place."""
+    names = [name for name in selected_boards(board) if name in among]
+    if not names:
+        return union_boards({v.BOARDS[0]: ADAPTERS[v.BOARDS[0]].items(landed.limit(0))})
+    return union_boards({name: ADAPTERS[name].items(landed) for name in names})
 
 
 def board_postings(landed: DataFrame, board: str | None = None) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce, wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from boardsieve.functions import fixed_values as v
 from boardsieve.functions.text import has_any
 from boardsieve.operators.dedup import keep_first
-from boardsieve.schema import POSTING
+from boardsieve.schema import LANDED, POSTING
 
 # What a board's gate looks at beyond the status.
 LOGIN_BOARDS = ("linkedin",)
@@ -44,9 +45,41 @@ def usable(landed: DataFrame, source: str) -> DataFrame:
     return rows.filter(gate_label(F.lit(source), F.col("status"), F.col("body")) == "ok")
 
 
+CORRUPT = "_corrupt_record"
+
+
+def write_landed(landed: DataFrame, path: str, form: str = "parquet") -> None:
+    """Append responses to a landed table, a folder per board."""
+    landed.write.mode("append").partitionBy("source").format(form).save(path)
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """A landed table; boards that are not asked for are folders that are not read."""
+    return spark.read.schema(LANDED).parquet(path)
+
+
+def of_boards(landed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Responses of the boards that another table names in its column ``source``.
+
+    That table has a row per board at most, so it is broadcast, and what it holds prunes the folders at run time.
+    """
+    names = wanted.select("source").distinct().filter(F.col("source").isin(*v.BOARDS))
+    return landed.join(F.broadcast(names), "source", "left_semi")
+
+
+def landed_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The JSON-lines files of a landed table as a stream; a line that is no response keeps its text in ``CORRUPT``."""
+    reader = spark.readStream.schema(StructType([*LANDED.fields, StructField(CORRUPT, StringType())])).option("columnNameOfCorruptRecord", CORRUPT)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
+
+
 def rejected_responses(landed: DataFrame) -> DataFrame:
     """Responses no adapter reads, with the reason."""
     label = gate_label(F.col("source"), F.col("status"), F.col("body"))
+    if CORRUPT in landed.columns:
+        label = F.when(F.col(CORRUPT).isNotNull(), "corrupt").otherwise(label)
     return landed.select("source", "request_key", "request_seq", label.alias("reason")).filter(F.col("reason") != "ok")
 
 

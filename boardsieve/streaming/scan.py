@@ -1,15 +1,12 @@
-"""The scan cycle as a stream, cross-batch dedup and the staleness alert."""
+"""The scan cycle as a stream and cross-batch dedup."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from boardsieve import schema
 from boardsieve.functions.pin import pinned
@@ -52,38 +49,34 @@ def scan_batch(batch: DataFrame, batch_id: int, store: Store, rules: RuleSet, as
 
     Repeating a batch id is harmless: the ledger is read without that batch and
     its folders are written anew, so a retried micro-batch gives the same ledger.
-    A null or repeated ``ingest_seq`` is an error.
+    A null or repeated ``ingest_seq`` is an error.  What the log counts is observed in the passes
+    that write, and the check of the sequences gives the rest.
     """
     spark = configure(batch.sparkSession)
-    cascade.check_unique(batch)
+    facts = cascade.check_unique(batch)
     if as_of is None:
-        as_of = F.lit(batch.agg(F.max("fetched_at")).first()[0])
+        as_of = F.lit(facts.completed_at)
     stored = ledger.read_table(spark, store.ledger, schema.POSTING).filter(F.col("batch") != batch_id)
     accepted = cascade.run_cascade(batch, rules, as_of, max_age_days, profile).drop("remote_scope")
-    accepted = accepted.withColumnRenamed("scope", "remote_scope").persist()
-    try:
-        new = ledger.append_new(accepted, stored, ledger.MAX_BROADCAST_KEYS)
-        ledger.append_batch(to_posting(new), store.ledger, batch_id, "fetched_at")
-        added = ledger.read_table(spark, store.ledger, schema.POSTING).filter(F.col("batch") == batch_id).count()
-        bounds = batch.agg(F.count(F.lit(1)).alias("raw"), F.min("fetched_at").alias("started_at"),
-                           F.max("fetched_at").alias("completed_at"))
-        row = bounds.select(F.lit(batch_id).cast("long").alias("scan_id"), "started_at", "completed_at", "raw",
-                            F.lit(accepted.count()).cast("long").alias("accepted"), F.lit(added).cast("long").alias("new"))
-        ledger.append_batch(row, store.scan_log, batch_id, "completed_at")
-    finally:
-        accepted.unpersist()
+    passed, added = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("rows")
+    accepted = pinned(accepted.withColumnRenamed("scope", "remote_scope").observe(passed, rows))
+    new = to_posting(ledger.append_new(accepted, stored, ledger.MAX_BROADCAST_KEYS))
+    ledger.append_batch(new.observe(added, rows), store.ledger, batch_id, "fetched_at")
+    row = (batch_id, facts.started_at, facts.completed_at, facts.raw, passed.get["rows"], added.get["rows"])
+    ledger.append_batch(spark.createDataFrame([row], schema.SCAN_LOG), store.scan_log, batch_id, "completed_at")
 
 
 def scan_landed(landed: DataFrame, batch_id: int, store: Store, rules: RuleSet, as_of: Column | None = None,
                 max_age_days: int | None = None, profile: DataFrame | None = None, board: str | None = None) -> None:
     """One scan from responses: gate, adapters, union, cascade, ledger.
 
-    Bodies are parsed once; the items are kept in the shared folder while the scan reads them.
+    Only boards that the batch has responses of are planned.  Bodies are parsed once; the items are kept in the shared folder while the scan reads them.
     Responses no adapter may read, bodies and items that can't be read and items without a required
     field go to the reject log.
     """
     spark = configure(landed.sparkSession)
-    items = pinned(boards.board_items(landed, board))
+    items = pinned(boards.board_items(landed, board, boards.landed_boards(landed)))
     postings = landing.kept(items).withColumn("ingest_seq", landing.batch_seq(F.col("ingest_seq"), batch_id))
     scan_batch(postings, batch_id, store, rules, as_of, max_age_days, profile)
     log_rejects(landed, items, batch_id, store)
@@ -124,27 +117,3 @@ def stream_dedup(postings: DataFrame, keys: list[str], time: str = "fetched_at",
     Beyond that bound only the ledger anti join of the scan is exact.
     """
     return postings.withWatermark(time, keep_for).dropDuplicatesWithinWatermark(keys)
-
-
-def stale_alerts(beats: DataFrame, key: str, time: str, hours: float) -> DataFrame:
-    """Streaming alerts: (key, silent_from) once the clock passes the limit after a key's last beat.
-
-    The timers run on processing time, for which Spark triggers batches without any input too,
-    so a silence of all keys is noticed.  The state is one timestamp per key.
-    """
-    limit_ms = int(hours * 3_600_000)
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({key: [group[0]], "silent_from": [pd.Timestamp(last, unit="ms")]})
-            return
-        newest = max(int(frame[time].max().timestamp() * 1000) for frame in frames)
-        last = max(newest, state.get[0]) if state.exists else newest
-        state.update((last,))
-        state.setTimeoutDuration(max(last + limit_ms - state.getCurrentProcessingTimeMs(), 1))
-
-    kind = dict(beats.dtypes)[key]
-    return beats.select(key, time).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, silent_from timestamp", "last_ms bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)

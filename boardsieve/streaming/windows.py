@@ -29,11 +29,16 @@ def digest_windows(df: DataFrame, time: str = "fetched_at", key: str = "source",
 def weekly_windows(df: DataFrame, time: str = "fetched_at", key: str = "is_ngo", watermark: str | None = None) -> DataFrame:
     """Seven-day look-back, advanced daily.
 
-    A batch is counted by day first, so that daily counts are repeated for the windows they
-    lie in and never rows.
+    Rows are counted by day first, so that daily counts are repeated for the windows they
+    lie in and never rows.  On a stream these are two stateful aggregates in a chain: a day is
+    handed on once the watermark has passed it, so each keeps only what is still open.
     """
     if df.isStreaming:
-        return window_counts(df, time, key, f"{v.WEEKLY_DAYS} days", "1 day", watermark)
+        if watermark is not None:
+            df = df.withWatermark(time, watermark)
+        days = df.groupBy(F.window(time, "1 day").alias("day"), key).agg(F.count(F.lit(1)).alias("cnt"))
+        weeks = days.groupBy(F.window(F.window_time("day"), f"{v.WEEKLY_DAYS} days", "1 day").alias("w"), key).agg(F.sum("cnt").alias("cnt"))
+        return weeks.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "cnt")
     daily = window_counts(df, time, key, "1 day")
     back = F.explode(F.sequence(F.lit(0), F.lit(v.WEEKLY_DAYS - 1)))
     starts = daily.select(key, "cnt", "window_start", back.alias("_back")).withColumn(

@@ -150,22 +150,6 @@ def test_old_files_without_scores(make, spark, tmp_path):
     assert sorted(r.match_score for r in read.collect()) == [0, 9]
 
 
-def test_total_silence_raises_an_alert(spark, tmp_path):
-    """One old beat and then nothing at all."""
-    beats = spark.createDataFrame([("a", datetime(2026, 3, 1))], "k STRING, at TIMESTAMP")
-    beats.coalesce(1).write.parquet(f"{tmp_path}/beats")
-    alerts = scan.stale_alerts(spark.readStream.schema(beats.schema).parquet(f"{tmp_path}/beats"), "k", "at", 2)
-    query = alerts.writeStream.format("memory").queryName("silence").outputMode("append").trigger(processingTime="500 milliseconds").start()
-    try:
-        for _ in range(120):
-            if spark.table("silence").count():
-                break
-            query.awaitTermination(0.5)
-        assert [(r.k, r.silent_from) for r in spark.table("silence").collect()] == [("a", datetime(2026, 3, 1))]
-    finally:
-        query.stop()
-
-
 def test_dictionary_terms_with_blanks_and_symbols(spark):
     terms = spark.createDataFrame([("go developer", 5, "go", 0, True), ("c#", 3, "c", 1, True), ("java", 2, "java", 2, False), ("ai", 1, "ai", 3, True),
                                    ("c++", 4, "cpp", 4, True)], "keyword STRING, weight INT, grp STRING, ord INT, whole_word BOOLEAN")
