@@ -67,6 +67,14 @@ def bounded(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(kept) if rows <= BROADCAST_ROWS and length <= BROADCAST_BYTES else kept
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so: helper columns never meet those of a caller."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 

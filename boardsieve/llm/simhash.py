@@ -16,14 +16,17 @@ A tile of more than ``TILE_ROWS`` rows is dealt out as pairs of sub-tiles by pop
 and fingerprint hash, every pair that can hold a link, so a hot tile is many tasks and nothing
 is left out.  A task returns a spanning forest of its links, never all pairs.
 
-With a ``similarity`` the fingerprints, then of distinct shingles, only find candidates: texts of equal shingle
-sets are one row, linked rows are a family, and the texts of a family are compared by their exact shingle sets.
-Families beyond ``FAMILY_ROWS`` are compared within their min-wise tiles, and what has over ``SET_ROWS`` rows is
-dealt out as all pairs of its sub-tiles.  Only links of that similarity or more make components.
+``without_near_copies`` takes fingerprints, then of distinct shingles, for candidates only.  Texts of equal shingle
+sets are one node.  In each tile nodes that fingerprints link are a group; groups of the same nodes, as a close pair
+has in most of its tiles, are one.  Only nodes of a group have their texts fetched, one text a node, and the texts of a
+group are compared by their exact shingle sets; a group of over ``SET_ROWS`` nodes, which a tile bounds, is dealt out
+as all pairs of its parts.  Links of the wanted similarity make the components, whatever the number of copies.
 
 Defined cases: null or a text without words has fingerprint zero, linked like any other; a text
 of fewer words than a shingle is one shingle; rows with null doc_id get the component of their
-fingerprint, which is null if no row of it has an id; equal rows get equal results.
+fingerprint, which is null if no row of it has an id; equal rows get equal results.  Of near copies the row with the
+smallest doc_id stays, null ids last, then the one with the smaller hash of its text; of equal rows one stays, and
+rows of one id are rows of their own.  An empty table is an empty result.
 """
 
 from __future__ import annotations
@@ -34,15 +37,17 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardsieve.llm.common import grouped, small_batches, stored, table
+from boardsieve.llm.common import grouped, small_batches, spare, stored, table
 from boardsieve.llm.components import connected_components, forest
 
 TILE_ROWS = 4096
-#: Rows of a family that are compared as one, and rows whose texts one task holds (twice, for a pair of sub-tiles).
-FAMILY_ROWS, SET_ROWS = 8192, 512
+#: Rows whose texts one task holds (twice, for a pair of parts).
+SET_ROWS = 512
+#: Rows whose keys are broadcast; beyond it they are joined by shuffle.
+BROADCAST_KEYS = 200_000
 #: Shingle hashes looked at together; below 256 so that a byte can count them.
 _CHUNK = 255
 
@@ -221,8 +226,8 @@ def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray,
 
 def _verify(words: int, seed: int, similarity: float, rows: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in grouped(batches, ["key", "tile"], rows):
-            for _, group in part.groupby(["key", "tile"], sort=False):
+        for part in grouped(batches, ["key", "tile", "root", "part"], rows):
+            for _, group in part.groupby(["key", "tile", "root", "part"], sort=False):
                 sets = [np.unique(np.frombuffer(shingle_digests(t, words, 64, seed), ">u8").astype(np.uint64)) for t in group["text"]]
                 a, b = similar_sets(sets, similarity)
                 node = group["node"].to_numpy()
@@ -231,34 +236,11 @@ def _verify(words: int, seed: int, similarity: float, rows: int):
     return verify
 
 
-def verified(docs: DataFrame, nodes: DataFrame, families: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
-    """Links (``a``, ``b``) of at least the similarity between nodes of a family, by their shingle sets."""
-    large = families.groupBy("component").count().where(F.col("count") > FAMILY_ROWS).select((F.col("component") + F.lit(0)).alias("large"))
-    members = nodes.join(families, "node").join(large, F.col("component") == F.col("large"), "left")
-    keys = F.when(F.col("large").isNull(), F.array("component")).otherwise(F.transform("keys", lambda k: F.xxhash64(k)))
-    keyed = stored(members.select("node", "text_key", F.explode(keys).alias("key")), "simhash-families")
-    hot = keyed.groupBy("key").count().where(F.col("count") > SET_ROWS).select(
-        (F.col("key") + F.lit(0)).alias("hot_key"), F.ceil(F.col("count") / SET_ROWS).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(own, o.cast("long")) * F.lit(1 << 31) + F.greatest(own, o.cast("long")))
-    dealt = keyed.join(hot, F.col("key") == F.col("hot_key"), "left").select(
-        "node", "text_key", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("tile"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("of_text"))
-    held = dealt.join(texts, (F.col("node") == F.col("doc_id")) & (F.col("text_key") == F.col("of_text")))
-    held = held.select("key", "tile", "node", "text").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return held.mapInPandas(_verify(words, seed, similarity, SET_ROWS), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int = 2, seed: int = 42, bands: int = 0, similarity: float | None = None) -> DataFrame:
-    """``doc_id``, ``text_key``, ``print`` and ``component`` (the smallest doc_id reached by links) for every row of ``docs``.
-
-    With a ``similarity``, which needs bands, links are verified by exact shingle sets.
-    """
-    prints = stored(fingerprints(docs, words, bits, seed, bands, similarity is not None), "simhash")
-    of_class = ["print"] if similarity is None else ["print", "set_key"]
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int = 2, seed: int = 42, bands: int = 0) -> DataFrame:
+    """``doc_id``, ``text_key``, ``print`` and ``component`` (the smallest doc_id reached by links) for every row of ``docs``."""
+    prints = stored(fingerprints(docs, words, bits, seed, bands), "simhash")
     if bands:
-        first = F.coalesce("doc_id", F.lit(1 << 62))
-        nodes = prints.groupBy(*of_class).agg(F.min("doc_id").alias("node"), F.min_by("keys", first).alias("keys"), F.min_by("text_key", first).alias("text_key"))
+        nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", F.coalesce("doc_id", F.lit(1 << 62))).alias("keys"))
     else:
         @F.pandas_udf("array<long>")
         def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -266,18 +248,99 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int
                 yield pd.Series(list(_blocks(part, radius)))
 
         nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node")).withColumn("keys", blocks(F.col("print")))
-    ones = sum((F.bit_count(F.conv(F.hex(F.substring("print", at, 4)), 16, 10).cast("long")) for at in range(1, bits // 8, 4)), F.lit(0))
-    nodes = stored(nodes.where(F.col("node").isNotNull()).withColumn("ones", ones), "simhash-nodes")
+    nodes = stored(nodes.where(F.col("node").isNotNull()).withColumn("ones", _ones(bits)), "simhash-nodes")
     keyed = nodes.select("node", "print", "ones", F.explode("keys").alias("key"))
     dealt = tiles(keyed, radius).repartition("key", "tile").sortWithinPartitions("key", "tile")
     links = dealt.select("key", "tile", "node", "print").mapInPandas(_compare(radius, bits), "a long, b long")
     components = connected_components(links)
-    if similarity is not None:
-        components = connected_components(verified(docs, nodes, components, words, seed, similarity))
-    named = [F.col(c).alias(f"class_{c}") for c in of_class]
-    classes = nodes.join(components, "node", "left").select(*named, F.coalesce("component", "node").alias("component"))
-    same = [F.col(c) == F.col(f"class_{c}") for c in of_class]
-    return prints.join(classes, same, "left").select("doc_id", "text_key", "print", "component")
+    classes = nodes.join(components, "node", "left").select(F.col("print").alias("class_print"), F.coalesce("component", "node").alias("component"))
+    return prints.join(classes, F.col("print") == F.col("class_print"), "left").select("doc_id", "text_key", "print", "component")
+
+
+def _ones(bits: int) -> Column:
+    return sum((F.bit_count(F.conv(F.hex(F.substring("print", at, 4)), 16, 10).cast("long")) for at in range(1, bits // 8, 4)), F.lit(0))
+
+
+def _group(radius: int, bits: int):
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in grouped(batches, ["key", "tile"]):
+            values = np.frombuffer(b"".join(part["print"]), ">u8").astype(np.uint64).reshape(len(part), bits // 64)
+            change = (part["key"].to_numpy()[1:] != part["key"].to_numpy()[:-1]) | (part["tile"].to_numpy()[1:] != part["tile"].to_numpy()[:-1])
+            a, b = _links_in_tiles(np.r_[0, np.cumsum(change)], values, radius)
+            label = forest(len(part), a, b)
+            linked = np.bincount(label, minlength=len(part))[label] > 1
+            node = part["node"].to_numpy()
+            yield pd.DataFrame({"key": part["key"].to_numpy()[linked], "tile": part["tile"].to_numpy()[linked],
+                                "root": node[label[linked]], "node": node[linked]})
+
+    return group
+
+
+def candidate_groups(keyed: DataFrame, radius: int, bits: int, set_rows: int | None = None) -> DataFrame:
+    """``key``, ``tile``, ``root``, ``part`` and ``node`` of groups that fingerprints link within a tile.
+
+    A group is left out if another one has the same nodes.  Nodes of a large group come once per pair of its parts.
+    """
+    set_rows = set_rows or SET_ROWS
+    dealt = tiles(keyed, radius).repartition("key", "tile").sortWithinPartitions("key", "tile").select("key", "tile", "node", "print")
+    groups = stored(dealt.mapInPandas(_group(radius, bits), "key long, tile long, root long, node long"), "simhash-groups")
+    same = groups.groupBy("key", "tile", "root").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("low"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("high"))
+    chosen = same.groupBy("size", "low", "high").agg(F.min(F.struct("key", "tile", "root")).alias("of")).select(
+        F.col("of.key").alias("of_key"), F.col("of.tile").alias("of_tile"), F.col("of.root").alias("of_root"),
+        F.ceil(F.col("size") / set_rows).cast("int").alias("parts"))
+    kept = groups.join(chosen, (F.col("key") == F.col("of_key")) & (F.col("tile") == F.col("of_tile")) & (F.col("root") == F.col("of_root")))
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(own, o.cast("long")) * F.lit(1 << 31) + F.greatest(own, o.cast("long")))
+    return kept.select("key", "tile", "root", "node", F.explode(pairs).alias("part"))
+
+
+def _hinted(keys: DataFrame) -> DataFrame:
+    """A written table of keys; broadcast if a count proves it small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def lost_rows(docs: DataFrame, words: int, bits: int, radius: int, bands: int, similarity: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Written tables (``lost_id``, ``lost_key``) of near copies that don't stay, and (``lost_id``, ``lost_key``) of rows there are several of."""
+    prints = stored(fingerprints(docs, words, bits, seed, bands, sets=True), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    nodes = prints.groupBy("set_key").agg(first, F.first("print").alias("print"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    nodes = stored(nodes.select("*", F.monotonically_increasing_id().alias("node"), _ones(bits).alias("ones")), "simhash-nodes")
+    groups = stored(candidate_groups(nodes.select("node", "print", "ones", F.explode("keys").alias("key")), radius, bits), "simhash-parts")
+    wanted = stored(groups.select("node").distinct().join(nodes, "node").select(
+        "node", F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key")), "simhash-wanted")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("copy_key")).join(
+        _hinted(wanted), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("copy_key") == F.col("of_key")))
+    one = texts.groupBy("node").agg(F.first("text").alias("text"))
+    held = groups.join(one, "node").select("key", "tile", "root", "part", "node", "text").repartition("key", "tile", "root", "part")
+    held = held.sortWithinPartitions("key", "tile", "root", "part")
+    components = connected_components(held.mapInPandas(_verify(words, seed, similarity, SET_ROWS), "a long, b long"))
+    named = nodes.select("node", "set_key", "first", "copies").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    stays = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("copies").alias("rows")).where("rows > 1").select(
+        F.col("component").alias("of"), "stays")
+    touched = stored(named.join(stays, F.col("component") == F.col("of")).select(F.col("set_key").alias("of_set"), "stays"), "simhash-touched")
+    rows = prints.join(_hinted(touched), F.col("set_key") == F.col("of_set"))
+    stay = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))
+    lost = rows.where(~stay).select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
+    repeated = prints.groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).count().where("count > 1").drop("count")
+    return stored(lost, "simhash-lost"), stored(repeated, "simhash-repeated")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, bits: int = 256, radius: int = 72, bands: int = 10, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the rows whose text has an exact shingle-set similarity of ``similarity`` or more to one that stays,
+    directly or through others; the columns stay as they are.
+
+    Texts travel only where they are compared, and the rest of a row if its key is among too many lost ones to be broadcast.
+    """
+    lost, repeated = lost_rows(docs, words, bits, radius, bands, similarity)
+    copy_key, lost_id, lost_key = (spare(docs.columns, c) for c in ("copy_key", "lost_id", "lost_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(copy_key) == F.col(lost_key))
+    kept = docs.withColumn(copy_key, F.xxhash64("text")).join(_hinted(lost.toDF(lost_id, lost_key)), same, "left_anti")
+    if not repeated.isEmpty():
+        several = _hinted(repeated.toDF(lost_id, lost_key))
+        once = kept.join(several, same, "left_semi").dropDuplicates(["doc_id", copy_key])
+        kept = kept.join(several, same, "left_anti").unionByName(once)
+    return kept.drop(copy_key)
 
 
 def op5_simhash_near_dedup(spark, folder: str) -> DataFrame:

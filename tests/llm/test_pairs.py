@@ -11,7 +11,6 @@ import pandas as pd
 import pytest
 import xxhash
 
-import corpus_pipeline
 from boardsieve.llm import decontaminate, embedding_dedup, repeats, simhash
 from boardsieve.llm.components import connected_components, forest
 
@@ -118,9 +117,18 @@ def test_simhash_bands_find_similar_texts(spark):
     assert found == {i: i % 30 for i in range(60)}
 
 
-@pytest.mark.parametrize(("family_rows", "set_rows"), [(8192, 512), (8192, 6), (4, 5)])
-def test_near_duplicates_are_verified(spark, monkeypatch, family_rows, set_rows):
-    monkeypatch.setattr(simhash, "FAMILY_ROWS", family_rows)
+NEAR = dict(words=5, bits=256, radius=72, bands=10, similarity=0.8)
+
+
+def _similar(texts):
+    """Components of texts (word lists) by exact similarity of their 5-word shingle sets."""
+    sets = [{tuple(t[k:k + 5]) for k in range(max(len(t) - 4, 1))} for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return _components(range(len(texts)), links)
+
+
+@pytest.mark.parametrize("set_rows", [512, 6, 2])
+def test_near_copies_are_verified(spark, monkeypatch, set_rows):
     monkeypatch.setattr(simhash, "SET_ROWS", set_rows)
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(30_000)}"
@@ -132,11 +140,48 @@ def test_near_duplicates_are_verified(spark, monkeypatch, family_rows, set_rows)
         texts += [(short := [word() for _ in range(8)]), [*short, word()]]
     same = "a b c d e f".split() * 60  # mostly equal words beside distinct ones
     texts += [same + [word() for _ in range(100)] for _ in range(2)] + [[]]
-    sets = [{tuple(t[k:k + 5]) for k in range(max(len(t) - 4, 1))} for t in texts]
-    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     rows = [(i, " ".join(t), "", 0) for i, t in enumerate(texts)]
-    found = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), **corpus_pipeline.NEAR).collect()
-    assert {r["doc_id"]: r["component"] for r in found} == _components(range(len(texts)), links)
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, DOCS), **NEAR)
+    assert kept.columns == ["doc_id", "text", "lang", "node"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(_similar(texts).values()))
+
+
+@pytest.mark.parametrize("keys", [200_000, 0])
+def test_near_copies_with_any_ids_and_names(spark, monkeypatch, keys):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", keys)
+    rng = random.Random(3)
+    texts = [[f"v{rng.randrange(9000)}" for _ in range(200)] for _ in range(6)]
+    near = [[*t[:120], "new", *t[121:]] for t in texts]
+    text = lambda t: " ".join(t)
+    rows = [(None, text(texts[0])), (None, text(near[0])), (5, text(texts[1])), (5, text(near[1])), (None, text(texts[2])), (9, text(near[2])),
+            (3, text(texts[3])), (3, text(texts[3])), (3, text(texts[3])), (4, text(texts[4])), (4, text(texts[5])), (8, None), (7, ""), (None, None),
+            (6, text(texts[4]) + " " + " ".join(f"long{k}" for k in range(50_000)))]
+    frame = spark.createDataFrame([(i, t, "x", n, "lost") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lost_id string, copy_key int, LOST_KEY string")
+    found = simhash.without_near_copies(frame, **NEAR)
+    assert found.columns == frame.columns
+    kept = sorted((str(r["doc_id"]), (r["text"] or "").split()[:1], len(r["text"] or "")) for r in found.collect())
+    keep = lambda i, t: (str(i), t[:1], len(text(t)))
+    first = min((near[0], texts[0]), key=lambda t: spark.sql("SELECT xxhash64(:t) AS h", {"t": text(t)}).first()["h"])
+    second = min((near[1], texts[1]), key=lambda t: spark.sql("SELECT xxhash64(:t) AS h", {"t": text(t)}).first()["h"])
+    assert kept == sorted([keep(None, first), keep(5, second), keep(9, near[2]), keep(3, texts[3]), keep(4, texts[4]), keep(4, texts[5]), ("7", [], 0),
+                           ("6", rows[-1][1].split()[:1], len(rows[-1][1]))])
+    assert simhash.without_near_copies(frame.where("doc_id = 0"), **NEAR).count() == 0
+
+
+def test_recall_at_the_wanted_similarity(spark):
+    """Pairs that share 0.8 to 0.81 of their shingles."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(400):
+        base = [f"w{rng.randrange(60_000)}" for _ in range(rng.choice([100, 180, 400]))]
+        # One block of c fresh words changes c + 4 of n - 4 shingles; similarity (n - 8 - c) / (n + c).
+        fresh = int((len(base) - 8 - 0.8 * len(base)) / 1.8)
+        texts += [base, [*base[:40], *(f"w{rng.randrange(60_000)}" for _ in range(fresh)), *base[40 + fresh:]]]
+    component = _similar(texts)
+    assert sum(component[2 * k] == component[2 * k + 1] for k in range(400)) == 400
+    rows = [(i, " ".join(t), "", 0) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in simhash.without_near_copies(spark.createDataFrame(rows, DOCS), **NEAR).collect()}
+    assert sum(2 * k in kept and 2 * k + 1 not in kept for k in range(400)) >= 398
 
 
 def _cut(rows):
