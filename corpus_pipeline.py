@@ -25,12 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs, **NEAR)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
-    kept = docs.join(first, same, "left_semi")
-    return kept.withColumn("pipeline_key", F.xxhash64("text")).dropDuplicates(["doc_id", "pipeline_key"]).drop("pipeline_key")
+    """SimHash near-dedup: of each component of near copies one document stays, the one with the smallest id."""
+    return simhash.without_near_copies(docs, **NEAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
