@@ -62,11 +62,32 @@ def _both_keys(*kept: str) -> list:
     return [*kept, F.explode(F.array_compact(marked)).alias("_key")]
 
 
-def filter_unseen(batch: DataFrame, ledger_keys: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
+#: Up to so many keys of a small batch are listed in the filter of a scan.
+LISTED_KEYS = 1000
+
+
+def listed(stored: DataFrame, probe: DataFrame, keys: Sequence[str], max_keys: int = LISTED_KEYS) -> DataFrame:
+    """Stored rows that share one of the keys with the probe, by a filter that lists them, if they are few; else all rows.
+
+    Parquet tests a list against the statistics and Bloom filters of a row group, so a small batch reads
+    the row groups that may hold its keys and no others.
+    """
+    rows = probe.select(*keys).distinct().limit(max_keys + 1).collect()
+    if len(rows) > max_keys:
+        return stored
+    met = F.lit(False)
+    for key in keys:
+        met = met | F.col(key).isin(sorted({r[key] for r in rows if r[key] is not None}))
+    return stored.filter(met)
+
+
+def filter_unseen(batch: DataFrame, ledger_keys: DataFrame, max_broadcast_rows: int | None = None, max_listed_keys: int = 0) -> DataFrame:
     """Rows of the batch whose id and content hash are both absent from the ledger.
 
     One pass over the ledger answers for both keys.  Rows are told apart by ``ingest_seq``.
     """
+    if max_listed_keys:
+        ledger_keys = listed(ledger_keys, batch, ("id", "content_hash"), max_listed_keys)
     asked = batch.select(*_both_keys("ingest_seq"))
     met = _met(ledger_keys.select(*_both_keys()), asked, "_key", max_broadcast_rows)
     known = asked.join(met, "_key", "left_semi").select("ingest_seq").distinct()

@@ -12,6 +12,8 @@ _SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A list of up to this many keys reaches Parquet as a list, not as a range, so that Bloom filters can test it.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     # A generated method over 8000 bytes is never JIT-compiled; above that the
     # per-operator code, which Spark splits into small methods, is faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",

@@ -2,14 +2,17 @@
 
 HTML is not a regular language and Spark has no HTML reader, so this is the one
 Python operator.  It streams Arrow batches through ``mapInPandas``: no shuffle,
-a bounded number of elements in memory.  Every element carries the path of its ancestors,
+a bounded number of elements in memory.  A board whose cards are told by selectors gets the elements
+of its cards with the card's number; for others every element carries the path of its ancestors,
 so that "inside a card" is an explode of the path and not a join of a page with
-itself; all further logic is DataFrame expressions.
+itself.  All further logic is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import re
 import sys
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from typing import Iterator
 
@@ -32,7 +35,7 @@ ELEMENTS_SCHEMA = ("request_seq BIGINT, fetched_at TIMESTAMP, node INT, tag STRI
 
 
 class _Elements(HTMLParser):
-    """Collects elements in document order with their path and inner text pieces."""
+    """Collects elements in document order with their parent and inner text pieces."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -43,8 +46,7 @@ class _Elements(HTMLParser):
         known = dict(attrs)
         row = {"node": len(self.rows), "tag": tag, "classes": (known.get("class") or "").split(),
                "href": known.get("href"), "alt": known.get("alt"), "datetime": known.get("datetime"), "pieces": []}
-        step = {name: row[name] for name in ("node", "tag", "classes", "href")}
-        row["path"] = [*(self.open[-1]["path"] if self.open else []), step]
+        row["parent"] = self.open[-1]["node"] if self.open else None
         self.rows.append(row)
         if tag not in _VOID:
             self.open.append(row)
@@ -66,27 +68,102 @@ class _Elements(HTMLParser):
 _ROWS_PER_FRAME = 20_000
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows: list[tuple] = []
-    for batch in batches:
-        for page in batch.itertuples(index=False):
-            parser = _Elements()
-            parser.feed(page.body)
-            parser.close()
-            rows += [(page.request_seq, page.fetched_at, r["node"], r["tag"], r["classes"], r["href"], r["alt"], r["datetime"],
-                      r["pieces"], r["path"]) for r in parser.rows]
-            if len(rows) >= _ROWS_PER_FRAME:
-                yield pd.DataFrame(rows, columns=list(_COLUMNS))
-                rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=list(_COLUMNS))
+def _paths(rows: list[dict]) -> list[list[dict]]:
+    """Per element the steps from the root to itself."""
+    paths: list[list[dict]] = []
+    for row in rows:
+        step = {name: row[name] for name in ("node", "tag", "classes", "href")}
+        paths.append([*(paths[row["parent"]] if row["parent"] is not None else []), step])
+    return paths
+
 
+@dataclass(frozen=True)
+class Cards:
+    """Which elements of a page are cards: those of the first selector that any element meets, else the
+    innermost blocks around links that match a pattern, or a link itself outside of any."""
+
+    selectors: tuple[str, ...]
+    link: str | None = None
+    blocks: tuple[str, ...] = ()
+
+    def of(self, rows: list[dict]) -> set[int]:
+        for selector in self.selectors:
+            found = {r["node"] for r in rows if meets(selector, r["tag"], r["classes"])}
+            if found:
+                return found
+        around: list[int | None] = []
+        found = set()
+        for row in rows:
+            above = around[row["parent"]] if row["parent"] is not None else None
+            around.append(row["node"] if row["tag"] in self.blocks else above)
+            if self.link and row["tag"] == "a" and re.search(self.link, row["href"] or ""):
+                found.add(row["node"] if around[-1] is None else around[-1])
+        return found
+
+
+def meets(selector: str, tag: str, classes: list[str]) -> bool:
+    """'tag.class', 'tag' or '*part' (any class containing the part)."""
+    if selector.startswith("*"):
+        return selector[1:] in " ".join(classes)
+    name, _, wanted = selector.partition(".")
+    return tag == name and (not wanted or wanted in classes)
+
+
+def _in_cards(rows: list[dict], cards: Cards) -> list[tuple[int, dict]]:
+    """Elements once per card they are or lie in."""
+    chosen = cards.of(rows)
+    inside: list[tuple[int, ...]] = []
+    for row in rows:
+        above = inside[row["parent"]] if row["parent"] is not None else ()
+        inside.append((*above, row["node"]) if row["node"] in chosen else above)
+    return [(card, row) for row in rows for card in inside[row["node"]]]
+
+
+def _extract(columns: tuple[str, ...], rows_of):
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for page in batch.itertuples(index=False):
+                parser = _Elements()
+                parser.feed(page.body)
+                parser.close()
+                rows += [(page.request_seq, page.fetched_at, *row) for row in rows_of(parser.rows)]
+                if len(rows) >= _ROWS_PER_FRAME:
+                    yield pd.DataFrame(rows, columns=list(columns))
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=list(columns))
+
+    return extract
 
-def elements(pages: DataFrame) -> DataFrame:
-    """One row per element of each page (columns request_seq, fetched_at, body).
 
-    Text leaves the parser once, as pieces; both joined forms are expressions over them.
-    """
-    source = pages.select(F.col("request_seq").cast("long"), "fetched_at", "body").filter(F.col("body").isNotNull())
-    rows = source.mapInPandas(_extract, ELEMENTS_SCHEMA)
+_PLAIN = ("node", "tag", "classes", "href", "alt", "datetime", "pieces")
+
+
+def _all_rows(rows: list[dict]) -> Iterator[tuple]:
+    return ((*(row[name] for name in _PLAIN), path) for row, path in zip(rows, _paths(rows), strict=True))
+
+
+def _card_rows(cards: Cards):
+    return lambda rows: ((card, *(row[name] for name in _PLAIN)) for card, row in _in_cards(rows, cards))
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("request_seq").cast("long"), "fetched_at", "body").filter(F.col("body").isNotNull())
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Text leaves the parser once, as pieces; both joined forms are expressions over them."""
     return rows.withColumns({"text": F.array_join("pieces", ""), "spaced_text": F.array_join("pieces", " ")}).drop("pieces")
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """One row per element of each page (columns request_seq, fetched_at, body), with its path."""
+    return _joined(_pages(pages).mapInPandas(_extract(_COLUMNS, _all_rows), ELEMENTS_SCHEMA))
+
+
+def card_elements(pages: DataFrame, cards: Cards) -> DataFrame:
+    """One row per card (column ``card``, its node) and element in it, the card itself included; the rest of a page doesn't leave the parser."""
+    schema = ELEMENTS_SCHEMA[:ELEMENTS_SCHEMA.index(", path")].replace("node INT", "card INT, node INT")
+    columns = (*_COLUMNS[:2], "card", *_PLAIN)
+    return _joined(_pages(pages).mapInPandas(_extract(columns, _card_rows(cards)), schema))

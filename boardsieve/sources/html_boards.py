@@ -13,7 +13,7 @@ from boardsieve.functions.pin import pinned
 from boardsieve.functions.text import capped, has_any, iso_timestamp, present
 from boardsieve.operators.normalise import finish, with_reason
 from boardsieve.sources import parsers as p
-from boardsieve.sources.html import elements
+from boardsieve.sources.html import Cards, card_elements, elements
 from boardsieve.sources.landing import adapter, dedup_items, to_items, usable
 
 _BLOCKS = ("div", "li", "article", "section")
@@ -69,10 +69,7 @@ def _done(df: DataFrame, source: str, url_key: bool) -> DataFrame:
 @adapter
 def linkedin(landed: DataFrame) -> DataFrame:
     """Cards are ``div.base-card``; a page without any falls back to ``li``."""
-    rank = lambda tag, classes, href: F.when((tag == "div") & _has_class(classes, "base-card"), 1).when(tag == "li", 2)
-    rows = _by_card(elements(usable(landed, "linkedin")), lambda t, c, h: rank(t, c, h).isNotNull())
-    rows = rows.withColumn("_rank", rank(F.col("card_node.tag"), F.col("card_node.classes"), None))
-    rows = rows.withColumn("_best", F.min("_rank").over(Window.partitionBy("request_seq"))).filter("_rank = _best")
+    rows = card_elements(usable(landed, "linkedin"), Cards(("div.base-card", "li")))
     href = F.coalesce(_first("href", _is("a.base-card__full-link")), _first("href", (F.col("tag") == "a") & F.col("href").isNotNull()))
     found = rows.groupBy("request_seq", "card").agg(
         F.first("fetched_at").alias("fetched_at"),
@@ -98,21 +95,7 @@ _JOB_HREF = r"/jobs?/\d+|/jobs?/[a-z0-9-]+"
 def techjobsforgood(landed: DataFrame) -> DataFrame:
     """The first card selector that matches on a page decides; a page without cards
     uses the blocks around links to detail pages."""
-    rows = pinned(elements(usable(landed, "techjobsforgood")))  # cards, links and contents read one parse
-
-    def rank(tag: Column, classes: Column) -> Column:
-        return F.coalesce(*[F.when(_select(s, tag, classes), i) for i, s in enumerate(_TECH_CARDS)])
-
-    nodes = rows.select("request_seq", F.explode("path").alias("x")).select(
-        "request_seq", F.col("x.node").alias("card"), rank(F.col("x.tag"), F.col("x.classes")).alias("_rank"))
-    around = F.filter("path", lambda x: x["tag"].isin(*_BLOCKS))
-    links = rows.filter((F.col("tag") == "a") & F.col("href").rlike(_JOB_HREF)).select(
-        "request_seq", F.coalesce(F.try_element_at(around, F.lit(-1))["node"], F.col("node")).alias("card"),
-        F.lit(len(_TECH_CARDS)).alias("_rank"))
-    cards = nodes.unionByName(links).filter(F.col("_rank").isNotNull()).distinct()
-    cards = cards.withColumn("_best", F.min("_rank").over(Window.partitionBy("request_seq"))).filter("_rank = _best")
-    inside = rows.withColumn("card", F.explode(F.transform("path", lambda x: x["node"]))).join(
-        cards.select("request_seq", "card"), ["request_seq", "card"])
+    inside = card_elements(usable(landed, "techjobsforgood"), Cards(_TECH_CARDS, _JOB_HREF, _BLOCKS))
     job_link = (F.col("tag") == "a") & F.contains("href", F.lit("/jobs/"))
     any_link = (F.col("tag") == "a") & F.col("href").isNotNull()
     tag_text = reduce(or_, [_is(s) for s in _TECH_TAGS]) & (F.col("text") != "") & (F.length("text") < 50)

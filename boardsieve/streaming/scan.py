@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from boardsieve import schema
 from boardsieve.functions.pin import pinned
-from boardsieve.operators import cascade, ledger
+from boardsieve.operators import cascade, dedup, ledger
 from boardsieve.session import configure
 from boardsieve.settings import RuleSet
 from boardsieve.sources import boards, landing
@@ -48,7 +48,7 @@ def scan_batch(batch: DataFrame, batch_id: int, store: Store, rules: RuleSet, as
     """One scan: filter, anti join with the ledger, append, log.
 
     Repeating a batch id is harmless: the ledger is read without that batch and
-    its folders are written anew, so a retried micro-batch gives the same ledger.
+    the commit replaces it, so a retried micro-batch gives the same ledger.
     A null or repeated ``ingest_seq`` is an error.  What the log counts is observed in the passes
     that write, and the check of the sequences gives the rest.
     """
@@ -58,12 +58,11 @@ def scan_batch(batch: DataFrame, batch_id: int, store: Store, rules: RuleSet, as
         as_of = F.lit(facts.completed_at)
     stored = ledger.read_table(spark, store.ledger, schema.POSTING).filter(F.col("batch") != batch_id)
     accepted = cascade.run_cascade(batch, rules, as_of, max_age_days, profile).drop("remote_scope")
-    passed, added = Observation(), Observation()
-    rows = F.count(F.lit(1)).alias("rows")
-    accepted = pinned(accepted.withColumnRenamed("scope", "remote_scope").observe(passed, rows))
-    new = to_posting(ledger.append_new(accepted, stored, ledger.MAX_BROADCAST_KEYS))
-    ledger.append_batch(new.observe(added, rows), store.ledger, batch_id, "fetched_at")
-    row = (batch_id, facts.started_at, facts.completed_at, facts.raw, passed.get["rows"], added.get["rows"])
+    passed = Observation()
+    accepted = pinned(accepted.withColumnRenamed("scope", "remote_scope").observe(passed, F.count(F.lit(1)).alias("rows")))
+    new = to_posting(ledger.append_new(accepted, stored, ledger.MAX_BROADCAST_KEYS, dedup.LISTED_KEYS))
+    added = ledger.append_batch(new, store.ledger, batch_id, "fetched_at")
+    row = (batch_id, facts.started_at, facts.completed_at, facts.raw, passed.get["rows"], added)
     ledger.append_batch(spark.createDataFrame([row], schema.SCAN_LOG), store.scan_log, batch_id, "completed_at")
 
 

@@ -96,23 +96,6 @@ def test_scan_of_landed_responses(spark, tmp_path):
     assert sorted((r.source, r.request_seq, r.reason) for r in rejects) == [("himalayas", 0, "malformed"), ("remotive", 1, "rate_limited")]
 
 
-def test_ledger_folders_retry_and_compact(spark, make, tmp_path):
-    path = str(tmp_path / "ledger")
-    rows = make(*[dict(url=f"u{i}", fetched_at=NOW - timedelta(days=i % 2)) for i in range(6)])
-    for batch in (1, 2, 3):
-        ledger.append_batch(rows.filter(F.col("ingest_seq") % 3 == batch % 3), path, batch, "fetched_at")
-    ledger.append_batch(rows.filter("ingest_seq = 1"), path, 1, "fetched_at")  # a retry with fewer rows and days
-    state = lambda: sorted(r.id for r in ledger.read_table(spark, path, schema.POSTING).collect())
-    before = state()
-    assert len(before) == 5
-    ledger.compact_day(spark, path, schema.POSTING, "2026-03-22", before_batch=3)
-    ledger.compact_day(spark, path, schema.POSTING, "2026-03-22", before_batch=3)
-    assert state() == before
-    assert ledger.folders(spark, f"{path}/day=2026-03-22") == ["batch=2", "batch=3"]
-    ledger.append_batch(rows.filter("ingest_seq IN (0, 3)"), path, 3, "fetched_at")  # a batch that was not merged can still be repeated
-    assert state() == before
-
-
 def test_windows_prune_days(spark, make, tmp_path):
     path = str(tmp_path / "ledger")
     ledger.append_batch(make(*[dict(url=f"u{i}", fetched_at=NOW - timedelta(days=i)) for i in range(4)]), path, 1, "fetched_at")
