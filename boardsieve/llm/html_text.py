@@ -1,14 +1,16 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements and a list of text blocks in page order.  Each block passes
-points for its length and its commas to its ancestors, fewer the further away, and an
+points for its length and its commas to its ancestors, fewer the further away and none beyond ``REACH`` of them, and an
 element's points are discounted by its link density.  The best element, or the article or main
 element it lies in, which stays whole, and those siblings that look like content are kept; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out wherever they stand.
+scripts, styles and reader comments are left out wherever they stand.  The header of an article is part of it.  A list that is mostly
+links is a menu, unless a heading introduces it.
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed elements end with
 their parent; an unclosed script, style or comment hides the rest of the page; a page without
-any candidate gives all its remaining blocks; ties go to the element that starts first.
+any candidate gives all its remaining blocks; ties go to the element that starts first; a column that is called as the
+result is replaced by it.  Reading takes time in proportion to the page, however deep or broken it is.
 Pages are independent of each other, so the work is one scan without a shuffle.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from boardsieve.llm.common import small_batches, table
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +47,10 @@ _WANTED = frozenset("article body content main post entry story text".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _BONUS = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "form": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 _LEAST_CHARS = 25
+#: Ancestors a block passes points to.
+REACH = 16
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SENTENCE = re.compile(r"[.!?\u2026\u3002](\s|$)")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -74,65 +80,80 @@ class _Page:
         self.parent, self.tag, self.out = [-1], ["#"], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._open = [0]
+        # Where in ``_open`` the elements of a tag, the blocks and the scopes stand, innermost last.
+        self._at: dict[str, list[int]] = {}
+        self._blocks_at, self._scopes_at = [0], [0]
+        self._articles = 0
         self._text: list[str] = []
         self._links: list[str] = []
-        self._in_link = 0
         self._read(source)
 
     def _flush(self) -> None:
         if self._text:
+            block = self._open[self._blocks_at[-1]]
             text = " ".join("".join(self._text).split())
-            if text and not self.out[self._block]:
-                self.blocks.append((self._block, text, len(" ".join("".join(self._links).split()))))
+            if text and not self.out[block]:
+                self.blocks.append((block, text, len(" ".join("".join(self._links).split()))))
             self._text, self._links = [], []
 
-    @property
-    def _block(self) -> int:
-        """The innermost open block."""
-        return next((e for e in reversed(self._open) if self.tag[e] in _BLOCKS), 0)
-
     def _add(self, text: str) -> None:
         if text and not self.out[self._open[-1]]:
             self._text.append(text)
-            if self._in_link:
+            if self._at.get("a"):
                 self._links.append(text)
 
     def _close(self, depth: int) -> None:
         """Ends the open elements from ``depth`` on."""
-        if any(self.tag[e] in _BLOCKS for e in self._open[depth:]):
+        if self._blocks_at[-1] >= max(depth, 1):
             self._flush()
-        self._in_link -= sum(self.tag[e] == "a" for e in self._open[depth:])
+        for at in range(len(self._open) - 1, depth - 1, -1):
+            tag = self.tag[self._open[at]]
+            self._at[tag].pop()
+            for stack in (self._blocks_at, self._scopes_at):
+                if stack[-1] == at:
+                    stack.pop()
+            self._articles -= tag in ("article", "main")
         del self._open[depth:]
 
+    def _innermost(self, tags: frozenset[str] | set[str]) -> int:
+        """The place of the innermost open element of the tags, 0 for none."""
+        return max((self._at[tag][-1] for tag in tags if self._at.get(tag)), default=0)
+
     def _start(self, tag: str, raw: str) -> None:
         if tag in _BLOCKS:
             self._flush()
-            if tag != "hr" and any(self.tag[e] == "p" for e in self._open):
-                at = max(k for k, e in enumerate(self._open) if self.tag[e] == "p")
-                if not any(self.tag[e] in _SCOPES for e in self._open[at + 1:]):
-                    self._close(at)
+            at = self._innermost({"p"})
+            if tag != "hr" and at and self._scopes_at[-1] <= at:
+                self._close(at)
         if tag in _ENDS:
-            for at in range(len(self._open) - 1, 0, -1):
-                if self.tag[self._open[at]] in _ENDS[tag]:
-                    self._close(at)
-                    break
-                if self.tag[self._open[at]] in _SCOPES:
-                    break
+            at = self._innermost(_ENDS[tag])
+            if at and self._scopes_at[-1] <= at:
+                self._close(at)
         if tag in _SPACES:
             self._add(" ")
         if tag in _VOID or raw.endswith("/") and tag in _RAW:
             return
+        at = len(self._open)
+        own_header = tag == "header" and self._articles > 0
         self.parent.append(self._open[-1])
         self.tag.append(tag)
-        self.out.append(self.out[self._open[-1]] or _unwanted(tag, raw))
+        self.out.append(self.out[self._open[-1]] or _unwanted("div" if own_header else tag, "" if own_header else raw))
         self._open.append(len(self.tag) - 1)
-        self._in_link += tag == "a"
+        self._at.setdefault(tag, []).append(at)
+        if tag in _BLOCKS:
+            self._blocks_at.append(at)
+        if tag in _SCOPES:
+            self._scopes_at.append(at)
+        self._articles += tag in ("article", "main")
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, last = 0, source.rfind(">") + 1
         while True:
-            found = _MARKUP.search(source, at)
-            self._add(html.unescape(source[at:found.start() if found else len(source)]))
+            found = _MARKUP.search(source, at, last) if at < last else None
+            if found and found[0].startswith("<!--") and not found[0].endswith("-->"):
+                found = _MARKUP.search(source, found.start())
+            until = found.start() if found else source.find("<!--", at)  # only an unclosed comment can follow the last tag
+            self._add(html.unescape(source[at:until if until >= 0 else len(source)]))
             if not found:
                 break
             at = found.end()
@@ -141,8 +162,8 @@ class _Page:
                 continue
             tag = tag.lower()
             if closing:
-                depth = next((k for k in range(len(self._open) - 1, 0, -1) if self.tag[self._open[k]] == tag), None)
-                if depth is not None and (tag in _BLOCKS or not any(self.tag[e] in _SCOPES for e in self._open[depth + 1:])):
+                depth = self._at[tag][-1] if self._at.get(tag) else None
+                if depth is not None and (tag in _BLOCKS or self._scopes_at[-1] <= depth):
                     self._close(depth)
                 continue
             self._start(tag, raw)
@@ -154,38 +175,62 @@ class _Page:
         self._flush()
 
 
-def _inside(page: _Page, element: int, roots: set[int]) -> bool:
-    while element >= 0:
-        if element in roots:
-            return True
-        element = page.parent[element]
-    return False
-
-
-def main_text(source: str | None) -> str:
-    """The article of a page: its blocks in page order, an empty line between them."""
-    page = _Page(source or "")
+def _scored(page: _Page) -> tuple[list[float], list[int], list[int], list[float]]:
+    """Per element its score, characters, blocks with links, and link density."""
     count = len(page.tag)
     points, chars, linked, links = [0.0] * count, [0] * count, [0] * count, [0] * count
     holds_blocks = {page.parent[e] for e in range(1, count) if page.tag[e] in _BLOCKS}
     for element, text, in_links in page.blocks:
         # Text of a paragraph, or of another element without blocks in it, counts for what is around.
         paragraph = page.tag[element] in _PARAGRAPHS or element not in holds_blocks and page.tag[element] not in _NEVER_BY_NAME
-        above = page.parent[element] if paragraph and page.parent[element] >= 0 else element
+        up = page.parent[element] if paragraph and page.parent[element] >= 0 else element
         worth = 1 + text.count(",") + text.count("、") + min(len(text) / 100, 3.0) if len(text) >= _LEAST_CHARS else 0.0
         worth *= 1 - in_links / max(len(text), 1)
-        level, up = 0, above
-        while up >= 0:
+        for level in range(REACH if worth else 0):
             points[up] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            level, up = level + 1, page.parent[up]
-        up = element
-        while up >= 0:
-            chars[up] += len(text)
-            linked[up] += in_links
-            links[up] += in_links > 0
             up = page.parent[up]
+            if up < 0:
+                break
+        chars[element] += len(text)
+        linked[element] += in_links
+        links[element] += in_links > 0
+    for e in range(count - 1, 0, -1):  # an element comes after its parent
+        up = page.parent[e]
+        chars[up] += chars[e]
+        linked[up] += linked[e]
+        links[up] += links[e]
     density = [linked[e] / chars[e] if chars[e] else 0.0 for e in range(count)]
     scores = [(points[e] + _BONUS.get(page.tag[e], 0.0)) * (1 - density[e]) if points[e] > 0 or page.tag[e] in _NEVER_BY_NAME and chars[e] else 0.0 for e in range(count)]
+    return scores, chars, links, density
+
+
+def _within(page: _Page, roots: set[int]) -> list[bool]:
+    """Whether an element is one of the roots or lies in one."""
+    inside = [e in roots for e in range(len(page.tag))]
+    for e in range(1, len(inside)):
+        inside[e] = inside[e] or inside[page.parent[e]]
+    return inside
+
+
+def _introduced(page: _Page, chars: list[int]) -> set[int]:
+    """Elements that a heading directly before them, beside them or around its end, introduces."""
+    before: dict[int, int] = {}  # the last child with text, per parent
+    found = set()
+    for e in range(1, len(page.tag)):
+        if page.out[e] or not chars[e]:
+            continue
+        previous = before.get(page.parent[e])
+        if previous is not None and page.tag[previous] in _HEADINGS:
+            found.add(e)
+        before[page.parent[e]] = e
+    return found
+
+
+def main_text(source: str | None) -> str:
+    """The article of a page: its blocks in page order, an empty line between them."""
+    page = _Page(source or "")
+    count = len(page.tag)
+    scores, chars, links, density = _scored(page)
     best = max(range(count), key=lambda e: (scores[e], -e))
     article = best if scores[best] > 0 else -1
     while article >= 0 and page.tag[article] not in ("article", "main"):
@@ -193,17 +238,21 @@ def main_text(source: str | None) -> str:
     best = article if article >= 0 else best
     roots = {best} if scores[best] > 0 or article >= 0 else {0}
     if scores[best] > 0:
-        ends = {e: (t, k) for e, t, k in page.blocks}
+        said = [False] * count  # whether it holds a block with a whole sentence
+        for e, text, in_links in page.blocks:
+            said[e] = said[e] or len(text) > 80 or bool(_SENTENCE.search(text)) and not in_links
+        for e in range(count - 1, 0, -1):
+            said[page.parent[e]] = said[page.parent[e]] or said[e]
         for e in range(count):
             if page.parent[e] == page.parent[best] and e != best and not page.out[e] and chars[e]:
-                text, _ = ends.get(e, ("", 0))
-                plain = page.tag[e] == "p" and density[e] < 0.25 and (len(text) > 80 or density[e] == 0 and re.search(r"[.!?](\s|$)", text))
+                plain = density[e] < 0.25 and said[e]
                 plain = plain or page.tag[e] in ("h1", "h2", "h3") and density[e] == 0
                 if plain or scores[e] >= max(10.0, scores[best] * 0.2):
                     roots.add(e)
-    menus = {e for e in range(count) if page.tag[e] in ("ul", "ol", "div", "table", "section") and links[e] >= 3 and density[e] > 0.6}
-    whole = {article} if article >= 0 else set()
-    return "\n\n".join(text for e, text, _ in page.blocks if _inside(page, e, whole) or _inside(page, e, roots) and not _inside(page, e, menus))
+    introduced = _introduced(page, chars)
+    menus = {e for e in range(count) if page.tag[e] in ("ul", "ol", "div", "table", "section") and links[e] >= 3 and density[e] > 0.6 and e not in introduced}
+    kept, whole, menu = _within(page, roots), _within(page, {article} if article >= 0 else set()), _within(page, menus)
+    return "\n\n".join(text for e, text, _ in page.blocks if whole[e] or kept[e] and not menu[e])
 
 
 def extract(pages: DataFrame, to: str = "text") -> DataFrame:

@@ -286,6 +286,13 @@ def test_embeddings_equal_brute_force(spark, part_rows):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vectors_of_one_id_link_on_their_own(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [1.0, 0.01], 1), (9, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (3, [0.01, 1.0], 2)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == sorted(
+        tuple(map(str, r)) for r in [(5, 2, 5), (5, 1, 5), (7, 2, 5), (9, 2, 5), (None, 1, 5), (3, 0, 3)])
+
+
 def test_collision_count_is_calibrated():
     count = embedding_dedup.least_count()
     assert 20 <= count <= 26

@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import time
 import struct
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -186,7 +188,8 @@ def test_language_of_odd_rows(spark):
 
 def test_language_temperature_and_penalty():
     rows = [("a" if k % 2 else "b", *language_id.sparse_features("alpha beta" if k % 2 else "gamma delta")) for k in range(60)]
-    model = language_id.train(rows, rows[:10])
+    seen = np.bincount(np.concatenate([where for _, where, _ in rows]), minlength=language_id.BUCKETS)
+    model = language_id.train(rows, rows[:10], seen, len(rows))
     assert 0.05 <= model.temperature <= 20
     assert (model.table == 0).mean() > 0.99  # the penalty leaves unseen and useless columns at zero
 
@@ -231,6 +234,70 @@ def test_html_blocks():
     assert text == "Title\n\nHello, this is a long text, with commas, and so on and so forth. More\n\nSecond <par> & more, long enough to count."
 
 
+LONG = "A long text, with commas, and so on, and so forth, that is enough to count for something here."
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    # A list of links that a heading introduces, and a short section beside a long one.
+    (f'<div id=content><p>{LONG}</p><h3>Sources</h3><ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul></div>',
+     [LONG, "Sources", "First source", "Second source", "Third source"]),
+    (f"<body><div><div><p>{LONG}</p><p>{LONG}</p></div><div><p>Short one.</p></div><div><a href=1>a</a> <a href=2>b</a></div></div></body>", [LONG, LONG, "Short one."]),
+    (f"<header><h1>Site</h1></header><article><header><h1>Its title</h1><p>By somebody</p></header><p>{LONG}</p><footer>Shared</footer></article>",
+     ["Its title", "By somebody", LONG]),
+    (f"<main><p>{LONG}</p></main><!-- open > <p>hidden</p>", [LONG]), (f'<p title="1 > 0">{LONG}</p>', [LONG])])
+def test_html_keeps_what_belongs_to_the_article(page, expected):
+    assert html_text.main_text(page).split("\n\n") == expected
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + LONG, "<b><p>x</p>" * 100_000, "<a " * 300_000, '<a ">' * 100_000 + '"', "<ul><li>x" * 50_000, "<!--" * 200_000,
+                                  "<div>" * 50_000 + "</b>" * 100_000, "<i>" * 100_000 + "<p>para</p>" * 2000, "<" * 500_000])
+def test_html_reading_time_is_linear(page):
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 5
+
+
+def _plain_scores(source):
+    """Scores by walking up from every block, as the definition says it."""
+    page = html_text._Page(source)
+    count = len(page.tag)
+    up = lambda e: [] if e < 0 else [e, *up(page.parent[e])]
+    points, chars, linked = [0.0] * count, [0] * count, [0] * count
+    for element, text, in_links in page.blocks:
+        for e in up(element):
+            chars[e] += len(text)
+            linked[e] += in_links
+        inner = any(page.parent[e] == element and page.tag[e] in html_text._BLOCKS for e in range(count))
+        own = page.tag[element] in html_text._PARAGRAPHS or not inner and page.tag[element] not in ("html", "body", "main", "article")
+        begin = page.parent[element] if own and page.parent[element] >= 0 else element
+        if len(text) >= 25:
+            worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - in_links / len(text))
+            for level, e in enumerate(up(begin)[:16]):
+                points[e] += worth / (1, 2)[level] if level < 2 else worth / (3 * level)
+    return points, chars, linked
+
+
+def test_html_scores_equal_plain_walks():
+    rng = random.Random(5)
+    for _ in range(60):
+        parts, tags = [], ["div", "section", "p", "ul", "li", "span", "a", "article", "h2", "td", "b"]
+        for _ in range(rng.randint(1, 80)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>", "word, " * rng.randint(0, 12), "Some text. "]))
+        source = "".join(parts)
+        points, chars, linked = _plain_scores(source)
+        scores, found, _, density = html_text._scored(html_text._Page(source))
+        assert found == chars
+        assert density == [a / c if c else 0.0 for a, c in zip(linked, chars, strict=True)]
+        page = html_text._Page(source)
+        for e, score in enumerate(scores):
+            wanted = (points[e] + html_text._BONUS.get(page.tag[e], 0.0)) * (1 - density[e])
+            if points[e] > 0 or page.tag[e] in ("html", "body", "main", "article") and chars[e]:
+                assert abs(score - wanted) < 1e-9
+            else:
+                assert score == 0
+
+
 def test_html_article_of_uneven_sections():
     line = "Words, and more words, of a paragraph, long enough to count, here."
     sources = "<ul>" + "".join(f"<li><a href={k}>Source number {k}</a>" for k in range(5)) + "</ul>"
@@ -254,6 +321,34 @@ def test_html_of_long_page_and_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_language_evidence_and_frequencies(spark):
+    learned = {"en": "the weather and the people that live with the dogs in this city", "de": "das wetter und die leute die mit den hunden in dieser stadt leben"}
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(text.split()) for _ in range(30)), lang, "x") for lang, text in learned.items() for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, language string")
+    counts, texts = language_id.document_frequencies(docs.repartition(3))
+    expected = np.zeros(language_id.BUCKETS, np.int64)
+    for _, text, _, _ in rows:
+        expected[language_id.sparse_features(text)[0]] += 1
+    assert (counts == expected).all() and texts == len(rows)
+    model = language_id.fit(docs, sample_rows=60)
+    odd = [(0, "the dogs and the people"), (1, "Привет как дела это обычный русский текст о погоде и людях"), (2, "xqzv kjwpq zzqx vvkw qqzx jjxv"), (3, "ja"), (4, ""), (5, None)]
+    judged = language_id.predict(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()
+    assert [r["language"]["known"] >= model.least_known for r in judged] == [True, False, False, True, False, False]
+
+
+def test_helper_columns_never_clash(spark):
+    rows = [(1, "password=hunter2hunter", "a", 1, 2, 3, 4, 5), (2, None, None, 1, 2, 3, 4, 5)]
+    names = ["secret_key", "SECRET_ID", "mix_source", "copy", "mix_size"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    found = secret_scan.with_findings(docs, secret_scan.scan(docs, docs["doc_id"], docs["source"]))
+    assert found.columns == [*docs.columns, *secret_scan.ADDED]
+    assert sorted((r["doc_id"], r["secret_key"], r["SECRET_ID"], len(r["secret_base"] or [])) for r in found.collect()) == [(1, 1, 2, 1), (2, 1, 2, 0)]
+    mixed = mixing.mix(docs)
+    assert sorted(mixed.columns) == sorted([*[c for c in docs.columns if c != "mix_size"], *mixing.ADDED])
+    assert [r["mix_source"] for r in mixed.collect()] == [3, 3] and mixing.emitted(mixed).where("copy > 3").count() == 0
+
+
 # --- pipeline
 
 
@@ -266,7 +361,8 @@ def test_pipeline_stages(spark, tmp_path):
     near = texts[3].split()
     near[60] = "changed"
     rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)]
-    rows += [(100, texts[0], "en", "s0", 1), (101, " ".join(near), "en", "s1", 1), (102, body(60) + " " + item + " " + body(60), "en", "s0", 1), (103, "12345 !?", "en", "s0", 8),
+    foreign = "Привет как дела это обычный русский текст о погоде и людях которые живут в большом городе на берегу реки"
+    rows += [(106, foreign, None, "s0", len(foreign)), (100, texts[0], "en", "s0", 1), (101, " ".join(near), "en", "s1", 1), (102, body(60) + " " + item + " " + body(60), "en", "s0", 1), (103, "12345 !?", "en", "s0", 8),
              (104, None, "en", "s0", None), (105, texts[5] + " " + body(90) + " password=hunter2hunter", "en", "s1", 1), (5, texts[5], "en", "s1", len(texts[5]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
