@@ -16,7 +16,8 @@ A task returns counts of links and a spanning forest of them, never all pairs.
 
 Defined cases: a null label, a null or zero vector, or one with null or non-finite components
 links with nothing; vectors of different lengths are not compared; an empty table is an empty
-result; rows that repeat a vec_id count as vectors of their own.
+result; rows that repeat a vec_id count as vectors of their own, and a row with a null one links but names no component;
+equal vectors link with each other.  Columns besides the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def linked(base: np.ndarray, queries: np.ndarray, cosine: float) -> Iterator[tup
 def _compare_tile(cosine: float):
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         part = tile["part"].to_numpy()
-        ids, copies = tile["rep"].to_numpy(), tile["copies"].to_numpy()
+        ids, copies = tile["node"].to_numpy(), tile["copies"].to_numpy()
         vectors = np.array(tile["embedding"].tolist(), np.float64)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         lower, upper = tile["low"].iloc[0], tile["high"].iloc[0]
@@ -105,7 +106,7 @@ def _compare_tile(cosine: float):
                 np.add.at(partners, b, copies[q])
             label = forest(len(tile), np.r_[np.arange(len(tile)), q], np.r_[label, b])
         some = partners > 0
-        return pd.DataFrame({"rep": ids[some], "partners": partners[some], "other": ids[label[some]]})
+        return pd.DataFrame({"node": ids[some], "partners": partners[some], "other": ids[label[some]]})
 
     return compare
 
@@ -119,19 +120,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, part_rows: int = PART
         "class_key", F.when(F.col("embedding").isNotNull(), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("array<string>")), 256)))
     classes = rows.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = stored(classes.withColumn("size", F.size("embedding")), "vectors")
+    classes = stored(classes.select("*", F.size("embedding").alias("size"), F.monotonically_increasing_id().alias("node")), "vectors")
     counts = classes.groupBy("label", "size").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")).select(
         F.col("label").alias("of_label"), F.col("size").alias("of_size"), "parts")
     placed = classes.join(counts, (F.col("label") == F.col("of_label")) & (F.col("size") == F.col("of_size"))).withColumn(
         "part", F.pmod(F.xxhash64("class_key"), F.col("parts")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("low"), F.greatest("part", p).alias("high")))
-    dealt = placed.select("label", "size", "rep", "copies", "embedding", "part", F.explode(every).alias("pair")).select(
-        "label", "size", "pair.low", "pair.high", "rep", "copies", "embedding", "part")
-    found = stored(dealt.groupBy("label", "size", "low", "high").applyInPandas(_compare_tile(cosine), "rep long, partners long, other long"), "vector-links")
-    partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
-    components = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    per_class = (classes.select("class_key", "rep", "copies").join(partners, "rep", "left").join(components, F.col("rep") == F.col("node"), "left").select(
-        F.col("class_key").alias("of_class"), (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    dealt = placed.select("label", "size", "node", "copies", "embedding", "part", F.explode(every).alias("pair")).select(
+        "label", "size", "pair.low", "pair.high", "node", "copies", "embedding", "part")
+    found = stored(dealt.groupBy("label", "size", "low", "high").applyInPandas(_compare_tile(cosine), "node long, partners long, other long"), "vector-links")
+    partners = found.groupBy("node").agg(F.sum("partners").alias("partners"))
+    components = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    named = classes.select("class_key", "node", "rep", "copies").join(partners, "node", "left").join(components, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    smallest = named.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("smallest"))
+    per_class = named.join(smallest, F.col("component") == F.col("of")).select(
+        F.col("class_key").alias("of_class"), (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.col("smallest").alias("component"))
     return rows.join(per_class, F.col("class_key") == F.col("of_class"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"))
 
