@@ -6,7 +6,8 @@ hash of its id grants with a probability equal to the fraction of the rate.
 
 Defined cases: a null text has size 0; null is a source of its own and comes last; a source
 of size 0 has target 0; rows that repeat a doc_id make the same draw; an empty table gives an
-empty result.  Columns besides the named ones are not looked at.
+empty result.  Columns besides the named ones are not looked at, whatever they are called; only those of ``ADDED`` and,
+when rows are emitted, ``copy`` are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardsieve.llm.common import WORD, stored
+from boardsieve.llm.common import WORD, spare, stored
 
 #: A source table is broadcast up to this many rows and bytes of names, and joined by shuffle beyond.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
@@ -71,10 +72,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: float
     Rows and the other columns stay as they are; ``mix_copies`` says how often a row is emitted.
     """
     sized = docs.select(F.col("source"), word_count(F.col("text")).alias("size"))
+    docs = docs.drop(*ADDED)
+    name = spare(docs.columns, "mix_source")
     targets = _bounded(source_targets(sized, weights, max_repeat)).select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    joined = docs.withColumn("mix_size", word_count(F.col("text"))).join(
-        targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+        F.col("source").alias(name), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    joined = docs.withColumn("mix_size", word_count(F.col("text"))).join(targets, F.col("source").eqNullSafe(F.col(name)), "left").drop(name)
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     extra = (hash_fraction(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("mix_copies", F.floor(rate) + extra)

@@ -11,7 +11,8 @@ Counts are combined before each shuffle (value and owner first, then value), so
 a third of all rows hold is a few rows per task.  Findings return to their document by key.
 
 Defined cases: a null text is empty and has no findings; null owners count as one owner; rows
-that repeat a doc_id are told apart by their text, and equal rows share their findings.
+that repeat a doc_id are told apart by their text, and equal rows share their findings; columns besides the
+named ones are not looked at, whatever they are called, and only those of ``ADDED`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardsieve.llm.common import stored, table, text_or_empty
+from boardsieve.llm.common import spare, stored, table, text_or_empty
 
 # Fixed values of the contract: patterns of the base findings by kind, in their order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -105,12 +106,17 @@ def scan(docs: DataFrame, repository: Column, owner: Column, max_owners: int = M
     return plain.join(by_row, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).drop("of_id", "of_key")
 
 
+ADDED = ("secret_base", "secret_live", "secret_examples")
+
+
 def with_findings(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``secret_base``, ``secret_live`` and ``secret_examples``, null where there are none."""
-    renamed = findings.select(F.col("doc_id").alias("secret_id"), F.col("text_key").alias("secret_key"), F.col("base").alias("secret_base"),
+    """``docs`` with the columns ``ADDED``, null where there are none; columns of these names are replaced."""
+    docs = docs.drop(*ADDED)
+    id_name, key_name = spare(docs.columns, "secret_id"), spare(docs.columns, "secret_key")
+    renamed = findings.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name), F.col("base").alias("secret_base"),
                               F.col("live").alias("secret_live"), F.col("examples").alias("secret_examples"))
-    same = F.col("doc_id").eqNullSafe(F.col("secret_id")) & (F.md5(text_or_empty(F.col("text"))) == F.col("secret_key"))
-    return docs.join(renamed, same, "left").drop("secret_id", "secret_key")
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.md5(text_or_empty(F.col("text"))) == F.col(key_name))
+    return docs.join(renamed, same, "left").drop(id_name, key_name)
 
 
 def masked(text: Column, spans: Column) -> Column:
