@@ -6,13 +6,18 @@ relative frequency times the inverse document frequency.  The weights are learne
 follow-the-regularised-leader (proximal, per coordinate) under an elastic-net penalty, and the
 softmax temperature is fitted afterwards on labelled rows that the weights have not seen.
 
-The classifier, its document frequencies included, is fitted on a bounded sample of labelled
-rows (``SAMPLE_ROWS``, shared evenly by the languages, chosen by a hash of the id); every row
-is predicted from its whole text.
+Document frequencies are counted over all rows that may be learned from.  Weights and temperature are
+fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, shared evenly by the languages, chosen by a hash
+of the id); every row is predicted from its whole text.
 
-Defined cases: a null text or one without letters is ``und`` with score 0; ties go to the
+A softmax can't say that a text is in none of the languages.  ``known`` can, whatever their number: the share of the text's
+n-grams that ``COMMON`` of the rows to learn from have, drawn towards 1 by ``PRIOR`` n-grams, so that texts too short to
+tell are not held unknown.
+``least_known`` of the model is ``KNOWN_SHARE`` of the least share among sampled rows the weights have not seen.
+
+Defined cases: a null text or one without letters is ``und`` with score and share 0; ties go to the
 first language in code-point order; without any labelled row everything is ``und``.  A row
-with a null doc_id is predicted and can be learned from.
+with a null doc_id is predicted and can be learned from; a column that is called as the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ MAX_GRAM, BUCKETS, SCALE = 4, 1 << 16, 40.0
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 3
 #: One labelled row in so many is kept from the weights, for the temperature.
 CALIBRATE_EVERY = 5
+PRIOR, KNOWN_SHARE, COMMON = 30, 0.8, 0.01
 
 
 @dataclass(frozen=True)
@@ -45,6 +51,9 @@ class LanguageModel:
     table: np.ndarray
     bias: np.ndarray
     temperature: float
+    #: buckets that are common, and the share of such n-grams a text of a learned language has at least
+    known: np.ndarray
+    least_known: float
 
 
 @lru_cache(maxsize=1)
@@ -98,19 +107,41 @@ def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": batch["label"], "draw": batch["draw"], "buckets": [b.tobytes() for b, _ in found], "values": [v.tobytes() for _, v in found]})
 
 
+def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per bucket the number of a partition's texts that have it; bucket -1 counts texts with letters."""
+    counts, texts = np.zeros(BUCKETS, np.int64), 0
+    for batch in batches:
+        for text in batch["text"]:
+            where, _ = sparse_features(text)
+            counts[where] += 1
+            texts += len(where) > 0
+    found = np.flatnonzero(counts)
+    yield pd.DataFrame({"bucket": np.append(found, -1), "docs": np.append(counts[found], texts)})
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Texts per bucket, and texts with letters, over all rows of ``texts``; the driver gets a number per bucket."""
+    summed = texts.select("text").mapInPandas(_bucket_counts, "bucket int, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
+    counts = np.zeros(BUCKETS + 1, np.int64)
+    counts[summed["bucket"].to_numpy()] = summed["docs"].to_numpy()  # -1 is the last place
+    return counts[:-1], int(counts[-1])
+
+
+def known_share(known: int, total: int) -> float:
+    return (known + PRIOR) / (total + PRIOR) if total else 0.0
+
+
 def _softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
-    """Weights from ``rows`` of (label, buckets, frequencies) in their order, temperature from ``held``."""
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[str, np.ndarray, np.ndarray]], seen: np.ndarray, texts: int) -> LanguageModel:
+    """Weights from ``rows`` of (label, buckets, frequencies) in their order, temperature and least share from ``held``;
+    ``seen`` of all ``texts`` have a bucket."""
     labels = tuple(sorted({r[0] for r in [*rows, *held]}))
     number = {label: k for k, label in enumerate(labels)}
-    seen = np.zeros(BUCKETS)
-    for _, where, _ in rows:
-        seen[where] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    idf = np.log((1 + texts) / (1 + seen)) + 1
     gain = idf * SCALE
     k = len(labels)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))  # the last row is the bias
@@ -134,13 +165,15 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[str,
     final = weights(np.arange(BUCKETS + 1))
     final_table, bias = (final[:-1] * gain[:, None]).astype(np.float32), final[-1]
     temperature = 1.0
+    known = seen >= max(1, COMMON * texts)
+    least = min((float(values[known[where]].sum()) for _, where, values in held), default=0.0) * KNOWN_SHARE
     if held:
         scores = np.stack([values @ final_table[where] + bias for _, where, values in held])
         truth = np.array([number[label] for label, _, _ in held])
         grid = np.geomspace(0.05, 20, 121)
         loss = [-np.log(np.maximum(_softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
-    return LanguageModel(labels, final_table, bias, temperature)
+    return LanguageModel(labels, final_table, bias, temperature, known, least)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,7 +185,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None
     """A model from the labelled rows of ``docs`` (``doc_id``, ``text``, ``lang``); None without any.
 
     The sample takes each language's rows whose hash draw is below its share of ``sample_rows``,
-    so its expected size is the bound whatever the table's size.  Only features reach the driver.
+    so its expected size is the bound whatever the table's size.  Only its features and a count per bucket reach the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -170,35 +203,38 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None
     if not rows:
         return None
     held = [r[1:] for r in rows if r[0] % CALIBRATE_EVERY == 0]
-    return train([r[1:] for r in rows if r[0] % CALIBRATE_EVERY] or held, held)
+    return train([r[1:] for r in rows if r[0] % CALIBRATE_EVERY] or held, held, *document_frequencies(labelled))
 
 
 def _predict_batch(texts: pd.Series, model: LanguageModel) -> pd.DataFrame:
-    labels, scores = [], []
+    labels, scores, shares = [], [], []
     for text in texts:
         points = _letters_of(text) if isinstance(text, str) else ()
         if not len(points):
             labels.append(UNKNOWN)
             scores.append(0.0)
+            shares.append(0.0)
             continue
-        total, count = np.zeros(len(model.labels)), 0
+        total, count, known = np.zeros(len(model.labels)), 0, 0
         for grams in _buckets(points):
             total += np.bincount(grams, minlength=BUCKETS) @ model.table if len(grams) > BUCKETS else model.table[grams].sum(axis=0, dtype=np.float64)
             count += len(grams)
+            known += int(model.known[grams].sum())
         p = _softmax((total / count + model.bias) / model.temperature)
         best = int(np.argmax(p))
         labels.append(model.labels[best])
         scores.append(float(p[best]))
-    return pd.DataFrame({"lang_pred": labels, "score": scores})
+        shares.append(known_share(known, count))
+    return pd.DataFrame({"lang_pred": labels, "score": scores, "known": shares})
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, to: str = "language") -> DataFrame:
-    """``docs`` with one more column ``to``, a struct of ``lang_pred`` and ``score``."""
+    """``docs`` with one more column ``to``, a struct of ``lang_pred``, ``score`` and ``known``."""
     if model is None:
-        return docs.withColumn(to, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))
+        return docs.withColumn(to, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known")))
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield _predict_batch(texts, model)
