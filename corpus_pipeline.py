@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsieve.llm import decontaminate, language_id, mixing, secret_scan, simhash
-from boardsieve.llm.common import fresh_path, table
+from boardsieve.llm.common import fresh_path, spare, table
 
-#: A document is rejected if its language can't be told at all or is this uncertain.
-LEAST_SCORE = 0.3
 #: Near duplicates: texts of 5-word similarity 0.8, found by fingerprints of 256 bits of their distinct shingles and verified.
 #: At that similarity long texts differ in 39 bits on average with a deviation of 5.7, texts of 4 against 5 shingles
 #: in 48 with one of 6.2, so the radius is 3.9 deviations or more beyond.
@@ -17,11 +15,13 @@ NEAR = dict(words=5, bits=256, radius=72, bands=10, similarity=0.8)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Language ID: documents without letters or with a score below ``LEAST_SCORE`` go."""
+    """Language ID: documents without letters, and those with too few n-grams of the learned languages, go."""
     model = language_id.fit(table(spark, folder, "documents").where(~language_id.held_out(F.col("doc_id"))))
-    judged = language_id.predict(docs, model, to="pipeline_language")
-    kept = judged.where((F.col("pipeline_language.lang_pred") != language_id.UNKNOWN) & (F.col("pipeline_language.score") >= LEAST_SCORE))
-    return kept.drop("pipeline_language")
+    name = spare(docs.columns, "pipeline_language")
+    judged = language_id.predict(docs, model, to=name)
+    least = model.least_known if model else 0.0
+    kept = judged.where((F.col(f"{name}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{name}.known") >= least))
+    return kept.drop(name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -31,8 +31,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a passage close to a benchmark item go."""
-    found = decontaminate.find_leaks(docs, table(spark, folder, "benchmark"), to="pipeline_leaks")
-    return found.where(F.size("pipeline_leaks.items") == 0).drop("pipeline_leaks")
+    name = spare(docs.columns, "pipeline_leaks")
+    found = decontaminate.find_leaks(docs, table(spark, folder, "benchmark"), to=name)
+    return found.where(F.size(f"{name}.items") == 0).drop(name)
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
