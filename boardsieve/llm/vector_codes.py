@@ -33,7 +33,7 @@ from boardsieve.llm.whole_vectors import Extent, extent, floored, matrix, usable
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Rows searched together, and coefficients summed for all entries before the first are eliminated.
-_SEARCH_ROWS, _FIRST = 1024, 4
+_SEARCH_ROWS, _FIRST = 256, 8
 
 
 def sequency(size: int) -> np.ndarray:
