@@ -4,6 +4,7 @@ A term occurs in a text only if each of its trigrams does, so every term is anch
 one of its trigrams that the fewest terms have, every text is cut into its distinct trigrams,
 and both meet on the anchor; what met is verified in full.  The join is an equi join of keys:
 texts stay behind and are met again by key, with all candidates of a text in one row.
+A dictionary that has few terms is one array, searched where the text lies, without any join.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from boardsieve.operators.dedup import bounded_broadcast
 
 ANCHOR = 3
 MAX_BROADCAST_TERMS = 200_000
+#: Up to so many terms, searching a text for each costs less than cutting it into trigrams.
+FEW_TERMS = 200
 # ASCII rules, the same in every engine that runs them.
 _OUTSIDE_WORD = r"[^A-Za-z0-9_]"
 
@@ -44,6 +47,14 @@ def occurrences(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
 
     ``whole_word`` names a column of the terms that asks for a match of whole words.
     """
+    def is_hit(row) -> Column:
+        hit = F.contains(F.col(text), row(term))
+        return hit if whole_word is None else hit & (~row(whole_word) | has_whole_word(F.col(text), row(term)))
+
+    few = terms.filter(F.col(term) != "").limit(FEW_TERMS + 1).collect()
+    if few and len(few) <= FEW_TERMS:
+        listed = F.array(*[F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in terms.schema.fields]) for row in few])
+        return texts.select(key, F.inline(F.filter(listed, lambda t: is_hit(lambda name: t[name]))))
     anchored = bounded_broadcast(_anchored(terms, term), MAX_BROADCAST_TERMS)
     shortest = terms.agg(F.min(F.length(term))).first()[0] or ANCHOR
     sizes = range(min(max(shortest, 1), ANCHOR), ANCHOR + 1)
@@ -51,10 +62,7 @@ def occurrences(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
     cut = texts.select(key, F.explode(pieces).alias("_anchor"))
     found = cut.join(anchored, "_anchor").groupBy(key).agg(F.collect_list(F.struct(*terms.columns)).alias("_terms"))
     both = texts.select(key, text).join(found, key).select(key, text, F.inline("_terms"))
-    hit = F.contains(text, term)
-    if whole_word is not None:
-        hit = hit & (~F.col(whole_word) | has_whole_word(F.col(text), F.col(term)))
-    return both.filter(hit).drop(text)
+    return both.filter(is_hit(F.col)).drop(text)
 
 
 def weighted_score(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:

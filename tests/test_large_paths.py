@@ -8,9 +8,10 @@ TEXTS = [(0, "django and mongodb"), (1, "ngo work"), (2, "c# or go"), (3, ""), (
 TERMS = ["ngo", "postgres", "go", "c#", "mongodb", "the postgres way"]
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_occurrences_equal_brute_force(spark, monkeypatch, bound):
+@pytest.mark.parametrize(("bound", "few"), [(0, 0), (1000, 0), (1000, 200)])
+def test_occurrences_equal_brute_force(spark, monkeypatch, bound, few):
     monkeypatch.setattr(dictionary, "MAX_BROADCAST_TERMS", bound)
+    monkeypatch.setattr(dictionary, "FEW_TERMS", few)
     texts = spark.createDataFrame(TEXTS, "k INT, text STRING")
     terms = spark.createDataFrame([(t,) for t in TERMS], "keyword STRING")
     found = {(r.k, r.keyword) for r in dictionary.occurrences(texts, "k", "text", terms).collect()}
