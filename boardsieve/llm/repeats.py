@@ -42,6 +42,7 @@ SHARD_OCCURRENCES = 1_000
 _PLACE_BITS = 21
 _PIECE = 1 << 20
 _NO_ID = -(1 << 63)
+_ELSEWHERE = -1
 
 
 def _first_lowest(keys: np.ndarray, width: int) -> np.ndarray:
@@ -211,8 +212,9 @@ _FOUND = "id long, tid long, first long, last long, key_a long, key_b long"
 def _shard_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Repeated starts of a shard's texts; of split anchors also the keys of all strings, those found or not.
 
-    A row with keys and an id is a string that is single here; one without an id says that the
-    string occurs here.
+    A row with keys and a start is a string that is single here; one whose start is ``_ELSEWHERE`` says that the
+    string occurs here.  Ids are never null in it: Arrow hands a column with nulls to pandas as
+    floats, which cut 64-bit numbers.
     """
     for shard in grouped(batches, ["h", "part"], rows=8192):
         codes, stretches = pd.factorize(pd.MultiIndex.from_arrays([shard["h"], shard["part"], shard["stretch"]]))
@@ -260,11 +262,9 @@ def _shard_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             place[codes] = np.arange(len(codes))
             where = place[owner[chosen]]
             start = shard["low"].to_numpy()[where] + offset[chosen]
-            blank = lambda values: pd.array(np.where(single, values, 0), "Int64")
-            rows = pd.DataFrame({"id": blank(shard["id"].to_numpy()[where]), "tid": blank(shard["tid"].to_numpy()[where]),
-                                 "first": blank(start), "last": blank(start), "key_a": key_a, "key_b": key_b})
-            rows.loc[~single, ["id", "tid", "first", "last"]] = pd.NA
-            yield rows
+            start = np.where(single, start, _ELSEWHERE)
+            yield pd.DataFrame({"id": shard["id"].to_numpy()[where], "tid": shard["tid"].to_numpy()[where],
+                                "first": start, "last": start, "key_a": key_a, "key_b": key_b})
 
 
 def _merge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +273,7 @@ def _merge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = np.rec.fromarrays([part["key_a"].to_numpy(), part["key_b"].to_numpy()])
         sorted_keys = np.sort(keys)
         several = np.searchsorted(sorted_keys, keys, "right") - np.searchsorted(sorted_keys, keys, "left") > 1
-        yield part.loc[several & part["id"].notna().to_numpy(), ["id", "tid", "first", "last"]].astype("int64")
+        yield part.loc[several & (part["first"] != _ELSEWHERE).to_numpy(), ["id", "tid", "first", "last"]]
 
 
 def _kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

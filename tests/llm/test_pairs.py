@@ -210,6 +210,23 @@ def test_repeats_equal_brute_force(spark, split):
     assert sorted(map(tuple, found), key=str) == _cut(rows)
 
 
+def test_strings_repeated_in_one_shard_and_single_in_another(spark):
+    """Shards of one anchor in tasks of their own: ids beyond 2^53 come back whole."""
+    rng = random.Random(12)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (210, 300, 420)]
+    rows = [(i, "".join(rng.choice(passages)[rng.choice([0, 0, 7, 40]):] + f" {rng.random()} " for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted(map(tuple, found), key=str) == _cut(rows)
+
+
 def test_repeats_of_empty_table(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string, h long, part int")).count() == 0
 
