@@ -1,11 +1,9 @@
 """HTML extraction (X1): elements as rows, parsed where the page lies.
 
 HTML is not a regular language and Spark has no HTML reader, so this is the one
-Python operator.  It streams Arrow batches through ``mapInPandas``: no shuffle,
-a bounded number of elements in memory.  A board whose cards are told by selectors gets the elements
-of its cards with the card's number; for others every element carries the path of its ancestors,
-so that "inside a card" is an explode of the path and not a join of a page with
-itself.  All further logic is DataFrame expressions.
+Python operator.  It streams Arrow batches: no shuffle, a bounded number of elements in memory.  A board gets a row
+per card with the elements in it, so that a card's fields are expressions over one row and nothing is grouped again;
+``elements`` gives a row per element with the path of its ancestors.  All further logic is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ from html.parser import HTMLParser
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,14 +108,17 @@ def meets(selector: str, tag: str, classes: list[str]) -> bool:
     return tag == name and (not wanted or wanted in classes)
 
 
-def _in_cards(rows: list[dict], cards: Cards) -> list[tuple[int, dict]]:
-    """Elements once per card they are or lie in."""
+def _in_cards(rows: list[dict], cards: Cards) -> dict[int, list[dict]]:
+    """Elements per card, the card itself first; one in several cards stands in each."""
     chosen = cards.of(rows)
     inside: list[tuple[int, ...]] = []
+    found: dict[int, list[dict]] = {}
     for row in rows:
         above = inside[row["parent"]] if row["parent"] is not None else ()
         inside.append((*above, row["node"]) if row["node"] in chosen else above)
-    return [(card, row) for row in rows for card in inside[row["node"]]]
+        for card in inside[-1]:
+            found.setdefault(card, []).append(row)
+    return found
 
 
 def _extract(columns: tuple[str, ...], rows_of):
@@ -144,10 +146,6 @@ def _all_rows(rows: list[dict]) -> Iterator[tuple]:
     return ((*(row[name] for name in _PLAIN), path) for row, path in zip(rows, _paths(rows), strict=True))
 
 
-def _card_rows(cards: Cards):
-    return lambda rows: ((card, *(row[name] for name in _PLAIN)) for card, row in _in_cards(rows, cards))
-
-
 def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("request_seq").cast("long"), "fetched_at", "body").filter(F.col("body").isNotNull())
 
@@ -162,8 +160,100 @@ def elements(pages: DataFrame) -> DataFrame:
     return _joined(_pages(pages).mapInPandas(_extract(_COLUMNS, _all_rows), ELEMENTS_SCHEMA))
 
 
-def card_elements(pages: DataFrame, cards: Cards) -> DataFrame:
-    """One row per card (column ``card``, its node) and element in it, the card itself included; the rest of a page doesn't leave the parser."""
-    schema = ELEMENTS_SCHEMA[:ELEMENTS_SCHEMA.index(", path")].replace("node INT", "card INT, node INT")
-    columns = (*_COLUMNS[:2], "card", *_PLAIN)
-    return _joined(_pages(pages).mapInPandas(_extract(columns, _card_rows(cards)), schema))
+_ELEMENT = (("node", pa.int32()), ("tag", pa.string()), ("classes", pa.string()), ("href", pa.string()), ("alt", pa.string()),
+            ("datetime", pa.string()), ("box", pa.int32()), ("text", pa.string()))
+_ELEMENT_SCHEMA = "ARRAY<STRUCT<node: INT, tag: STRING, classes: STRING, href: STRING, alt: STRING, datetime: STRING, box: INT, text: STRING>>"
+CARDS_SCHEMA = f"request_seq BIGINT, fetched_at TIMESTAMP, card INT, spaced_text STRING, elements {_ELEMENT_SCHEMA}"
+LINKS_SCHEMA = f"{CARDS_SCHEMA}, around {_ELEMENT_SCHEMA}, outer {_ELEMENT_SCHEMA}, outer_text STRING"
+
+
+def _element_lists(lists: list[list[dict] | None], boxes: list[list[int | None]]) -> pa.Array:
+    """Elements as one Arrow list per entry, null for none; ``boxes`` has the box of each element by node, per entry."""
+    flat = [(row, box[row["node"]]) for rows, box in zip(lists, boxes, strict=True) for row in rows or ()]
+    columns = ([r["node"] for r, _ in flat], [r["tag"] for r, _ in flat], [" ".join(r["classes"]) for r, _ in flat], [r["href"] for r, _ in flat],
+               [r["alt"] for r, _ in flat], [r["datetime"] for r, _ in flat], [b for _, b in flat], ["".join(r["pieces"]) for r, _ in flat])
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _ELEMENT, strict=True)], names=[n for n, _ in _ELEMENT])
+    starts, at = [], 0
+    for rows in lists:
+        starts.append(None if rows is None else at)
+        at += len(rows or ())
+    return pa.ListArray.from_arrays(pa.array([*starts, at], pa.int32()), values)
+
+
+def _boxes(rows: list[dict], selector: str | None) -> list[int | None]:
+    """Per element the innermost one around it, or itself, that meets the selector."""
+    out: list[int | None] = []
+    for row in rows:
+        above = out[row["parent"]] if row["parent"] is not None else None
+        out.append(row["node"] if selector and meets(selector, row["tag"], row["classes"]) else above)
+    return out
+
+
+@dataclass(frozen=True)
+class Around:
+    """Elements beside a card: those with ``near`` tags in the innermost of ``blocks`` around it, and those with
+    ``far`` tags in the innermost of ``outer`` blocks around that one, or in that one if there is none."""
+
+    blocks: tuple[str, ...]
+    outer: tuple[str, ...]
+    near: tuple[str, ...]
+    far: tuple[str, ...]
+
+    def of(self, rows: list[dict], cards: list[int]) -> list[tuple]:
+        above: list[tuple[int, ...]] = []  # the blocks around each element, itself left out
+        for row in rows:
+            up = row["parent"]
+            above.append(() if up is None else (*above[up], up) if rows[up]["tag"] in self.blocks else above[up])
+        inner = {card: above[card][-1] if above[card] else None for card in cards}
+        wide = {card: next((n for n in reversed(above[b]) if rows[n]["tag"] in self.outer), b) if (b := inner[card]) is not None else None for card in cards}
+        near = {b: [] for b in inner.values() if b is not None}
+        far = {b: [] for b in wide.values() if b is not None}
+        for row in rows:
+            for block in above[row["node"]]:
+                if block in near and row["tag"] in self.near:
+                    near[block].append(row)
+                if block in far and row["tag"] in self.far:
+                    far[block].append(row)
+        return [(near.get(inner[c]), far.get(wide[c]), None if wide[c] is None else " ".join(rows[wide[c]]["pieces"])) for c in cards]
+
+
+def _cards(cards: Cards, box: str | None, around: Around | None):
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            held = 0
+            for at, body in enumerate(batch.column("body")):
+                parser = _Elements()
+                parser.feed(body.as_py())
+                parser.close()
+                inside, boxes = _in_cards(parser.rows, cards), _boxes(parser.rows, box)
+                beside = around.of(parser.rows, list(inside)) if around else [()] * len(inside)
+                found += [(at, card, rows, boxes, more) for (card, rows), more in zip(inside.items(), beside, strict=True)]
+                held += sum(map(len, inside.values()))
+                if held >= _ROWS_PER_FRAME:
+                    yield frame(batch, found)
+                    found, held = [], 0
+            if found:
+                yield frame(batch, found)
+
+    def frame(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        pages = pa.array([f[0] for f in found], pa.int32())
+        boxes = [f[3] for f in found]
+        columns = {"request_seq": batch.column("request_seq").take(pages), "fetched_at": batch.column("fetched_at").take(pages),
+                   "card": pa.array([f[1] for f in found], pa.int32()), "spaced_text": pa.array([" ".join(f[2][0]["pieces"]) for f in found], pa.string()),
+                   "elements": _element_lists([f[2] for f in found], boxes)}
+        if around:
+            columns |= {"around": _element_lists([f[4][0] for f in found], boxes), "outer": _element_lists([f[4][1] for f in found], boxes),
+                        "outer_text": pa.array([f[4][2] for f in found], pa.string())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return extract
+
+
+def card_elements(pages: DataFrame, cards: Cards, box: str | None = None, around: Around | None = None) -> DataFrame:
+    """One row per card (column ``card``, its node) with the elements in it in page order, the card itself first.
+
+    Classes are one text, single-spaced.  ``box`` is the innermost element around an element that meets the selector; with
+    ``around`` come the elements beside the card.  The rest of a page doesn't leave the parser.
+    """
+    return _pages(pages).mapInArrow(_cards(cards, box, around), LINKS_SCHEMA if around else CARDS_SCHEMA)

@@ -9,40 +9,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardsieve.functions import fixed_values as v
-from boardsieve.functions.pin import pinned
 from boardsieve.functions.text import capped, has_any, iso_timestamp, present
 from boardsieve.operators.normalise import finish, with_reason
 from boardsieve.sources import parsers as p
-from boardsieve.sources.html import Cards, card_elements, elements
+from boardsieve.sources.html import Around, Cards, card_elements
 from boardsieve.sources.landing import adapter, dedup_items, to_items, usable
 
 _BLOCKS = ("div", "li", "article", "section")
 _OUTER_BLOCKS = ("div", "article", "section")
 
 
-def _has_class(classes: Column, name: str) -> Column:
-    return F.array_contains(classes, name)
-
-
-def _class_like(classes: Column, part: str) -> Column:
-    return F.contains(F.array_join(classes, " "), F.lit(part))
-
-
 def _select(selector: str, tag: Column, classes: Column) -> Column:
     """'tag.class', 'tag' or '*part' (any class containing the part)."""
     if selector.startswith("*"):
-        return _class_like(classes, selector[1:])
+        return F.contains(classes, F.lit(selector[1:]))
     name, _, wanted = selector.partition(".")
-    return (tag == name) & _has_class(classes, wanted) if wanted else tag == name
+    return (tag == name) & F.contains(F.concat(F.lit(" "), classes, F.lit(" ")), F.lit(f" {wanted} ")) if wanted else tag == name
+
+
+def _is(selector: str):
+    return lambda x: _select(selector, x["tag"], x["classes"])
 
 
-def _is(selector: str) -> Column:
-    return _select(selector, F.col("tag"), F.col("classes"))
+def _first(value: str, condition, among: str = "elements") -> Column:
+    """Value of the first element in page order that meets the condition, the card left out."""
+    met = F.filter(among, lambda x: condition(x) & (x["node"] != F.col("card")) if among == "elements" else condition(x))
+    return F.get(met, F.lit(0))[value]
 
 
-def _first(value: str, condition: Column) -> Column:
-    """Value of the first element in document order that meets the condition."""
-    return F.min_by(value, F.when(condition & (F.col("node") != F.col("card")), F.col("node")))
+def _own(value: str) -> Column:
+    """A value of the card itself."""
+    return F.get("elements", F.lit(0))[value]
 
 
 def _first_text(selectors: tuple) -> Column:
@@ -54,12 +51,6 @@ def _url(href: Column, base: str) -> Column:
     return F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(base), href))
 
 
-def _by_card(df: DataFrame, is_card) -> DataFrame:
-    """Elements once per enclosing card, with the card's node."""
-    cards = F.filter("path", lambda x: is_card(x["tag"], x["classes"], x["href"]))
-    return df.withColumn("card_node", F.explode(cards)).withColumn("card", F.col("card_node.node"))
-
-
 def _done(df: DataFrame, source: str, url_key: bool) -> DataFrame:
     """A card without a title or a link is refused; the rest as for the other boards."""
     df = finish(with_reason(df.withColumn("source", F.lit(source))))
@@ -70,9 +61,9 @@ def _done(df: DataFrame, source: str, url_key: bool) -> DataFrame:
 def linkedin(landed: DataFrame) -> DataFrame:
     """Cards are ``div.base-card``; a page without any falls back to ``li``."""
     rows = card_elements(usable(landed, "linkedin"), Cards(("div.base-card", "li")))
-    href = F.coalesce(_first("href", _is("a.base-card__full-link")), _first("href", (F.col("tag") == "a") & F.col("href").isNotNull()))
-    found = rows.groupBy("request_seq", "card").agg(
-        F.first("fetched_at").alias("fetched_at"),
+    href = F.coalesce(_first("href", _is("a.base-card__full-link")), _first("href", lambda x: (x["tag"] == "a") & x["href"].isNotNull()))
+    found = rows.select(
+        "request_seq", "card", "fetched_at",
         F.coalesce(_first("text", _is("h3.base-search-card__title")), _first("text", _is("h3"))).alias("title"),
         F.coalesce(_first("text", _is("h4.base-search-card__subtitle")), _first("text", _is("h4")), F.lit("Unknown")).alias("company"),
         href.alias("href"),
@@ -96,23 +87,23 @@ def techjobsforgood(landed: DataFrame) -> DataFrame:
     """The first card selector that matches on a page decides; a page without cards
     uses the blocks around links to detail pages."""
     inside = card_elements(usable(landed, "techjobsforgood"), Cards(_TECH_CARDS, _JOB_HREF, _BLOCKS))
-    job_link = (F.col("tag") == "a") & F.contains("href", F.lit("/jobs/"))
-    any_link = (F.col("tag") == "a") & F.col("href").isNotNull()
-    tag_text = reduce(or_, [_is(s) for s in _TECH_TAGS]) & (F.col("text") != "") & (F.length("text") < 50)
-    found = inside.groupBy("request_seq", "card").agg(
-        F.first("fetched_at").alias("fetched_at"),
+    job_link = lambda x: (x["tag"] == "a") & F.contains(x["href"], F.lit("/jobs/"))
+    any_link = lambda x: (x["tag"] == "a") & x["href"].isNotNull()
+    tag_text = lambda x: reduce(or_, [_is(s)(x) for s in _TECH_TAGS]) & (x["text"] != "") & (F.length(x["text"]) < 50)
+    found = inside.select(
+        "request_seq", "card", "fetched_at",
         F.coalesce(_first("text", job_link), _first("text", any_link)).alias("title"),
         F.coalesce(_first("href", job_link), _first("href", any_link)).alias("href"),
         _first_text(("span.company", "div.company", "span.org", "div.org", "span.company-name", "div.company-name",
                      "*company", "*org")).alias("company"),
         _first_text(("span.location", "div.location", "span.loc", "*location", "*remote")).alias("location"),
         _first_text(("p.description", "div.description", "p.summary", "*description", "*summary")).alias("description"),
-        F.sort_array(F.collect_list(F.when(tag_text, F.struct("node", "text")))).alias("tags"))
+        F.transform(F.filter("elements", tag_text), lambda x: x["text"]).alias("tags"))
     return _done(found.select(
         "request_seq", F.col("card").alias("pos"), "fetched_at", present(F.col("title")).alias("title"), F.coalesce("company", F.lit("Unknown")).alias("company"),
         F.coalesce("location", F.lit("Remote")).alias("location"), F.lit(True).alias("is_remote"),
         _url(present(F.col("href")), v.TECHJOBS_URL).alias("url"), capped(F.col("description"), 5000).alias("description"),
-        F.slice(F.transform("tags", lambda t: t["text"]), 1, 10).alias("tags"), F.lit(True).alias("is_ngo_source")),
+        F.slice("tags", 1, 10).alias("tags"), F.lit(True).alias("is_ngo_source")),
         "techjobsforgood", url_key=False)
 
 
@@ -122,14 +113,11 @@ _GOOD_HREF = r"^(?:/jobs/[a-z0-9-]+|https://goodjobs\.eu/jobs/[a-z0-9-]+)"
 @adapter
 def goodjobs(landed: DataFrame) -> DataFrame:
     """A job card is the anchor that leads to the posting."""
-    rows = _by_card(elements(usable(landed, "goodjobs")), lambda t, c, h: (t == "a") & h.rlike(_GOOD_HREF))
-    boxes = F.filter("path", lambda x: (x["tag"] == "div") & F.array_contains(x["classes"], "mb-1") & (x["node"] > F.col("card")))
-    paragraph = F.when((F.col("tag") == "p") & (F.size(boxes) > 0), F.struct(
-        F.try_element_at(boxes, F.lit(-1))["node"].alias("box"), F.col("node").alias("node"), F.col("text").alias("text")))
-    found = rows.groupBy("request_seq", "card").agg(
-        F.first("fetched_at").alias("fetched_at"), F.first("card_node.href").alias("href"),
-        F.max(F.when(F.col("node") == F.col("card"), F.col("spaced_text"))).alias("full"),
-        _first("text", _is("h3")).alias("title"), F.sort_array(F.collect_list(paragraph)).alias("boxes"))
+    rows = card_elements(usable(landed, "goodjobs"), Cards((), _GOOD_HREF), box="div.mb-1")
+    paragraphs = F.filter("elements", lambda x: (x["tag"] == "p") & (x["box"] > F.col("card")))
+    found = rows.select(
+        "request_seq", "card", "fetched_at", _own("href").alias("href"), F.col("spaced_text").alias("full"), _first("text", _is("h3")).alias("title"),
+        F.sort_array(F.transform(paragraphs, lambda x: F.struct(x["box"].alias("box"), x["node"].alias("node"), x["text"].alias("text")))).alias("boxes"))
     found = found.withColumn("url", _url(F.col("href"), v.GOODJOBS_URL)).filter(
         ~has_any(F.col("url"), ("?category=", "?page=", "previous-page")) & (F.regexp_replace("url", "/+$", "") != v.GOODJOBS_URL + "/jobs"))
     found = dedup_items(found.withColumn("pos", F.col("card")), "url")
@@ -155,43 +143,27 @@ def goodjobs(landed: DataFrame) -> DataFrame:
 @adapter
 def eurobrussels(landed: DataFrame) -> DataFrame:
     """Links to postings; company, place, tags and text come from the blocks around them."""
-    rows = pinned(elements(usable(landed, "eurobrussels")))  # links and both kinds of blocks read one parse
-    blocks = F.filter("path", lambda x: x["tag"].isin(*_BLOCKS) & (x["node"] < F.col("node")))
-    around = F.try_element_at(blocks, F.lit(-1))["node"]
-    outer = F.filter(F.col("path"), lambda x: x["tag"].isin(*_OUTER_BLOCKS) & (x["node"] < around))
-    alt = F.when(F.col("tag") == "img", F.col("alt"))
+    links = card_elements(usable(landed, "eurobrussels"), Cards((), r"/job_display/[0-9]+/"),
+                          around=Around(_BLOCKS, _OUTER_BLOCKS, ("div",), ("p", "span")))
     # Title candidates per anchor: its own text and the alternative text of an image in it.
-    inside = _by_card(rows.withColumns({"parent": around, "box": F.coalesce(F.try_element_at(outer, F.lit(-1))["node"], around)}),
-                      lambda t, c, h: (t == "a") & h.rlike(r"/job_display/\d+/"))
-    links = inside.withColumn("_alt", alt).groupBy("request_seq", "card").agg(
-        F.first("fetched_at").alias("fetched_at"), F.first("card_node.href").alias("href"),
-        F.max(F.when(F.col("node") == F.col("card"), F.col("text"))).alias("text"),
-        F.max(F.when(F.col("node") == F.col("card"), F.col("parent"))).alias("parent"),
-        F.max(F.when(F.col("node") == F.col("card"), F.col("box"))).alias("box"),
-        F.min_by("_alt", F.when(F.col("_alt").isNotNull(), F.col("node"))).alias("alt"))
-    links = links.withColumn("url", _url(F.col("href"), v.EUROBRUSSELS_URL))
-    # Within a page the last link with text stands for the url; across pages the first page does.
-    has_text = F.length("text") >= 5
-    order = Window.partitionBy("request_seq", "url").orderBy(has_text.desc(), F.when(has_text, -F.col("card")).otherwise(F.col("card")))
-    links = links.withColumn("_n", F.row_number().over(order)).filter("_n = 1").withColumn("pos", F.col("card"))
-    blocks_text = rows.withColumn("block", F.explode(F.filter("path", lambda x: x["tag"].isin(*_BLOCKS)))).select(
-        "*", F.col("block.node").alias("card"))
-    long_text = (F.col("tag").isin("p", "span")) & (F.length("text") > 30)
-    texts = blocks_text.groupBy("request_seq", "card").agg(
-        _first("text", _is("div.companyName")).alias("company"), _first("text", _is("div.location")).alias("place"),
-        F.lower(F.max(F.when(F.col("node") == F.col("card"), F.col("spaced_text")))).alias("card_text"),
-        F.sort_array(F.collect_list(F.when(long_text & (F.col("node") != F.col("card")), F.struct("node", "text")))).alias("snippets"))
-    near = texts.select("request_seq", F.col("card").alias("parent"), "company", "place")
-    wide = texts.select("request_seq", F.col("card").alias("box"), "card_text", "snippets")
-    found = links.join(near, ["request_seq", "parent"], "left").join(wide, ["request_seq", "box"], "left")
+    found = links.select(
+        "request_seq", "fetched_at", "card", F.col("card").alias("pos"), _own("text").alias("text"), _url(_own("href"), v.EUROBRUSSELS_URL).alias("url"),
+        _first("alt", lambda x: (x["tag"] == "img") & x["alt"].isNotNull()).alias("alt"),
+        _first("text", _is("div.companyName"), "around").alias("company"), _first("text", _is("div.location"), "around").alias("place"),
+        F.lower("outer_text").alias("card_text"),
+        F.transform(F.filter("outer", lambda x: F.length(x["text"]) > 30), lambda x: x["text"]).alias("snippets"))
     enough = lambda text: F.when(F.length(text) >= 5, text)
     found = found.withColumn("title", F.coalesce(enough(F.col("text")), enough(F.trim("alt")),
                                                  enough(F.replace(p.slug_text(F.col("url")), F.lit("_"), F.lit(" ")))))
-    found = found.filter(F.col("title").isNull() | ~F.lower("title").isin(*v.EUROBRUSSELS_NAV))
-    lines = F.filter(F.transform("snippets", lambda x: x["text"]), lambda t: ~t.eqNullSafe(F.col("title")))
-    return _done(found.select(
-        "request_seq", "pos", "fetched_at", "title", "url", F.coalesce(present(F.col("company")), F.lit("Unknown")).alias("company"),
+    lines = F.filter("snippets", lambda t: ~t.eqNullSafe(F.col("title")))
+    found = found.select(
+        "request_seq", "card", "pos", "fetched_at", "title", "url", (F.length("text") >= 5).alias("has_text"), F.coalesce(present(F.col("company")), F.lit("Unknown")).alias("company"),
         F.coalesce(present(F.col("place")), present(p.slug_location(F.col("url"))), F.lit(v.EUROBRUSSELS_DEFAULT_LOCATION)).alias("location"),
         F.lit(False).alias("is_remote"), present(capped(F.array_join(F.slice(lines, 1, 3), " "), 5000)).alias("description"),
         F.slice(p.phrase_tags(F.coalesce("card_text", F.lit(""))), 1, 10).alias("tags"),
-        p.phrase_ngo(F.coalesce("card_text", F.lit(""))).alias("is_ngo_source")), "eurobrussels", url_key=True)
+        p.phrase_ngo(F.coalesce("card_text", F.lit(""))).alias("is_ngo_source"))
+    # Within a page the last link with text stands for the url; across pages the first page does.  Rows lie by url for both.
+    order = Window.partitionBy("request_seq", "url").orderBy(F.col("has_text").desc(), F.when(F.col("has_text"), -F.col("card")).otherwise(F.col("card")))
+    found = found.repartition("url").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    found = found.filter(F.col("title").isNull() | ~F.lower("title").isin(*v.EUROBRUSSELS_NAV))
+    return _done(found.drop("card", "has_text", "_n"), "eurobrussels", url_key=True)
