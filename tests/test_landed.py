@@ -192,3 +192,49 @@ def test_feeds_are_read_as_xml(spark):
         (0, 0): ("A", "B", "u1", "has </item> inside & <b>x</b>", None), (0, 1): ("Unknown", "C & D – é", "g2", None, None),
         (3, 0): ("Unknown", "whole", "u", None, None), (7, 0): ("Unknown", "rdf", "r1", None, None), (8, 0): ("Unknown", "No link", None, None, "url"),
         (8, 1): ("Unknown", None, None, None, "title"), **{(i, None): ("Unknown", None, None, None, "malformed") for i in (4, 5, 6)}}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_items_stay_where_they_are(spark):
+    rows = [(1, 0, "a", None, "one"), (1, 1, "a", None, "two"), (0, 4, "a", None, "first"), (2, 0, "b", None, "b"), (2, 1, None, None, "n"), (3, 0, None, None, "n"),
+            (4, None, None, "malformed", None), (5, None, None, "malformed", None), (6, 2, "a", "missing", "refused")]
+    form = "request_seq long, pos long, url string, reason string, description string"
+    items = spark.createDataFrame(rows, form)
+    expected = sorted(map(tuple, landing.dedup_items(items, "url").collect()), key=str)
+    found = landing.dedup_wide_items(items, "url")
+    assert sorted(map(tuple, found.collect()), key=str) == expected and len(expected) == 6
+    assert "hashpartitioning" not in _plan(found)
+    assert sorted(map(tuple, landing.dedup_wide_items(items, "url", 0).collect()), key=str) == expected
+    # A response that came twice: its items can't be told apart.
+    again = spark.createDataFrame(rows + rows, form)
+    assert sorted(map(tuple, landing.dedup_wide_items(again, "url").collect()), key=str) == sorted(map(tuple, landing.dedup_items(again, "url").collect()), key=str)
+
+
+def test_pages_are_made_without_moving_their_texts(spark, tmp_path):
+    from boardsieve.plans import payloads, source_queries
+
+    days = "date'2001-01-01' as o_orderdate"
+    spark.sql(f"select id as o_orderkey, id % 7 as o_custkey, {days} from range(130) union all select 5, 1, {days} union all select null, 2, {days}").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select id as c_custkey, 'Firm ' || id as c_name, id % 2 as c_nationkey from range(7)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select id as n_nationkey, 'LAND' as n_name from range(2)").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("select id as doc_id, 'text ' || id as text from range(61) where id <> 9 union all select 8, 'other' union all select null, 'none' union all select 900, 'far'").write.parquet(f"{tmp_path}/documents.parquet")
+    made = [source_queries.landed_board(payloads.fields(spark, str(tmp_path), page), "remotive") for page in (None, payloads.PAGE)]
+    plain, by_page = [sorted(map(tuple, df.collect()), key=str) for df in made]
+    assert by_page == plain and len(plain) == 4
+    # Pages of an unlaid frame are grouped by an exchange of whole items.
+    moved = ["groupingexpression" in _plan(df).split("Exchange", 1)[1].splitlines()[0] for df in made]
+    assert moved == [True, False]
+
+
+def test_cards_are_not_grouped_again(spark):
+    from boardsieve.sources import html_boards
+
+    landed = _landed(spark, ("goodjobs", 0, 200, "<a href='/jobs/x'><h3>Engineer</h3><div class='mb-1'><p>Acme</p></div></a>" + " " * 600))
+    for board in (html_boards.goodjobs, html_boards.linkedin, html_boards.techjobsforgood, html_boards.eurobrussels):
+        plan = _plan(board.items(landed))
+        assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    row = html_boards.goodjobs(landed).first()
+    assert (row.title, row.company) == ("Engineer", "Acme")
