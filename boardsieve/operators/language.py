@@ -7,6 +7,8 @@ depend on the order in which tasks add them.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from boardsieve.session import ensure_checkpoint_dir
 ENGLISH = "en"
 MIN_CHARS = 20
 MAX_BROADCAST_GRAMS = 2_000_000
+#: Up to so many gains, grams times languages, are held as an array by every Python worker.
+MAX_HELD_GAINS = 8_000_000
+#: Characters whose grams are looked up at once: their arrays stay small whatever a batch holds.
+_STRETCH = 1 << 18
 _SCALE = 1_000_000
 _EVERY_GRAM = ""  # stands for one occurrence of any gram: carries the absent-gram probability
 
@@ -66,29 +72,76 @@ def _log_probability(n: Column, total: Column, size: Column) -> Column:
     return F.round(F.ln((n + 1) / (total + size)) * _SCALE).cast("long")
 
 
+def _gain_sums(wide: DataFrame, names: list[str], stretch: int):
+    """A function from ``_letters`` texts to their number of grams and their gains per language.
+
+    The grams of a batch are cut, looked up and added as arrays; no row per gram is made.  A letter is one
+    16-bit unit, so a gram is a number of 48 bits.
+    """
+    table = wide.toArrow()
+    gain = np.column_stack([table[name].to_numpy() for name in names])
+    grams = table["gram"].to_pylist()
+    cut = [i for i, g in enumerate(grams) if g is not None and len(g) == 3 and max(map(ord, g)) < 1 << 16]
+    numbers = np.array([ord(grams[i][0]) << 32 | ord(grams[i][1]) << 16 | ord(grams[i][2]) for i in cut], np.int64)
+    order = np.argsort(numbers)
+    # The last row stands for all grams that the profile lacks; the first column counts.
+    known = np.append(numbers[order], np.int64(1 << 62))
+    found = np.column_stack([np.ones(len(known), np.int64), np.vstack([gain[cut][order], np.zeros((1, len(names)), np.int64)])])
+    absent = gain[[i for i, g in enumerate(grams) if g == _EVERY_GRAM]].sum(axis=0)
+    shared = wide.sparkSession.sparkContext.broadcast((known, found, absent))
+
+    @F.pandas_udf(", ".join(f"{name} BIGINT" for name in ("length", *names)))
+    def sums(texts: pd.Series) -> pd.DataFrame:
+        known, found, absent = shared.value
+        units = np.frombuffer("".join(texts).encode("utf-16-le"), "<u2")
+        ends = np.cumsum([len(text) for text in texts])
+        total = np.zeros((len(texts), found.shape[1]), np.int64)
+        for start in range(0, max(len(units) - 2, 0), stretch):
+            part = units[start:start + stretch + 2].astype(np.int64)
+            # Texts begin and end with a blank, so a gram across two texts has one in its middle, too.
+            at = np.flatnonzero(part[1:-1] != 32)
+            if not len(at):
+                continue
+            number = part[at] << 32 | part[at + 1] << 16 | part[at + 2]
+            place = np.searchsorted(known, number)
+            place[known[place] != number] = len(known) - 1
+            row = np.searchsorted(ends, at + start, side="right")
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            total[row[first]] += np.add.reduceat(found[place], first)
+        total[:, 1:] += total[:, :1] * absent
+        return pd.DataFrame(total, columns=["length", *names])
+
+    return sums
+
+
 def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame) -> DataFrame:
     """(key, detected_lang); keys whose text has no trigram are absent.
 
-    With a profile proven small the grams of a text meet it inside the task that
-    read the text, and only one sum per (key, language) is shuffled.  A larger
-    profile is joined by a shuffle, with the grams counted per key first and a
-    frequent gram split by the skew join.
+    With a profile proven small a text is scored whole inside the task that read it, and only
+    one row of sums per text is shuffled.  A larger profile is joined, by a shuffle if it cannot be
+    broadcast, with the grams counted per key first and a frequent gram split by the skew join.
     """
-    texts = df.select(key, _trigrams(_letters(F.col(text))).alias("grams"))
-    texts = texts.select(key, "grams", F.size("grams").cast("long").alias("length")).filter("length > 0")
-    grams = texts.select(key, "length", F.explode(F.concat("grams", F.array(F.lit(_EVERY_GRAM)))).alias("gram"))
-    weight = F.when(F.col("gram") == _EVERY_GRAM, F.col("length")).otherwise(F.lit(1).cast("long"))
-    grams = grams.select(key, "gram", weight.alias("n"))
     langs = sorted(r["lang"] for r in profile.filter(F.col("gram") == _EVERY_GRAM).select("lang").distinct().collect())
     if not langs:
         return df.select(key, F.lit(None).cast("string").alias("detected_lang")).limit(0)
     # One row per gram with a gain for each language: a text's grams meet one row each and one sum per key is left.
     names = [f"gain_{i}" for i in range(len(langs))]
     wide = profile.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("gain")).otherwise(0)).alias(n) for n, x in zip(names, langs)])
-    hinted = bounded_broadcast(wide, MAX_BROADCAST_GRAMS)
-    if hinted is wide:
-        grams = grams.groupBy(key, "gram").agg(F.sum("n").alias("n"))
-    scores = grams.join(hinted, "gram").groupBy(key).agg(*[F.sum(F.col("n") * F.col(n)).alias(n) for n in names])
+    held = min(MAX_BROADCAST_GRAMS, MAX_HELD_GAINS // len(langs))
+    if held and wide.limit(held + 1).count() <= held:
+        letters = df.select(key, _letters(F.col(text)).alias("letters")).filter(F.col("letters").isNotNull())
+        sums = letters.select(key, _gain_sums(wide, names, _STRETCH)("letters").alias("sums")).select(key, "sums.*").filter("length > 0")
+        scores = sums.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+    else:
+        texts = df.select(key, _trigrams(_letters(F.col(text))).alias("grams"))
+        texts = texts.select(key, "grams", F.size("grams").cast("long").alias("length")).filter("length > 0")
+        grams = texts.select(key, "length", F.explode(F.concat("grams", F.array(F.lit(_EVERY_GRAM)))).alias("gram"))
+        weight = F.when(F.col("gram") == _EVERY_GRAM, F.col("length")).otherwise(F.lit(1).cast("long"))
+        grams = grams.select(key, "gram", weight.alias("n"))
+        hinted = bounded_broadcast(wide, MAX_BROADCAST_GRAMS)
+        if hinted is wide:
+            grams = grams.groupBy(key, "gram").agg(F.sum("n").alias("n"))
+        scores = grams.join(hinted, "gram").groupBy(key).agg(*[F.sum(F.col("n") * F.col(n)).alias(n) for n in names])
     best = F.array_max(F.array(*[F.struct(F.col(n).alias("score"), F.lit(x).alias("lang")) for n, x in zip(names, langs)]))
     return scores.select(key, best["lang"].alias("detected_lang"))
 
