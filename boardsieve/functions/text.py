@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 from operator import or_
-from typing import Iterable
+from typing import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +72,26 @@ def has_any_in_long(text: Column, terms: Iterable[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(term)) for term in minimal_terms(terms)], F.lit(False))
 
 
+def found_terms(text: Column, terms: Sequence[str]) -> Column:
+    """Places in ``terms`` of all that the text contains as substrings, ascending; null for a null text.
+
+    For many terms in every row: Python's substring search skips ahead, and takes a fraction of the
+    time of ``contains``, which compares at every byte.
+    """
+    terms = list(terms)
+
+    @F.pandas_udf("array<int>")
+    def search(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [i for i, term in enumerate(terms) if term in t] if isinstance(t, str) else None)
+
+    return search(text)
+
+
+def has_found(found: Column, places: Iterable[int]) -> Column:
+    """Whether one of the places is among those that :func:`found_terms` gave."""
+    return F.arrays_overlap(found, F.array(*[F.lit(i) for i in places]).cast("array<int>"))
+
+
 def has_word(text: Column, terms: Iterable[str]) -> Column:
     """True when the text contains any of the terms as a whole word."""
     terms = list(terms)

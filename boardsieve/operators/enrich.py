@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add, or_
+from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from boardsieve.functions import fixed_values as v
 from boardsieve.functions.pin import evaluate_once
 from boardsieve.functions.text import (
-    capped, has_any, has_any_in_long, has_any_mixed, has_word)
+    capped, found_terms, has_any, has_any_in_long, has_any_mixed, has_found, has_word)
 from boardsieve.settings import RuleSet
 
 
@@ -106,7 +107,8 @@ def with_ngo_score(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``ngo_score`` >= 0 and ``is_ngo``.
 
     Only a named or known organisation can score above 0, so the whole
-    description is lower-cased and searched for those rows alone.
+    description is lower-cased and searched for those rows alone, once for all lists.
+    The other two lists are searched in the company, too, and across its end.
     """
     company = F.col("_company")
     df = df.withColumn("_company", F.lower("company")).withColumns({
@@ -115,12 +117,21 @@ def with_ngo_score(df: DataFrame, rules: RuleSet) -> DataFrame:
     })
     likely = F.col("_named") | F.col("_known")
     df = df.withColumn("_org_text", F.when(likely, F.lower(F.coalesce("description", F.lit("")))))
-    df = df.withColumn("_org_both", F.concat(F.col("_company"), F.lit(" "), F.col("_org_text")))
-    mentions = reduce(add, [F.contains("_org_text", F.lit(t)).cast("int") for t in rules.ngo_description])
+    terms = list(dict.fromkeys([*rules.ngo_description, *rules.not_ngo, *rules.not_ngo_strong]))
+    longest = max(map(len, terms), default=0)
+    df = df.withColumns({
+        "_org_found": found_terms(F.col("_org_text"), terms),
+        "_org_head": F.concat(F.col("_company"), F.lit(" "), capped(F.col("_org_text"), longest)),
+    })
+
+    def mentioned(listed: Iterable[str]) -> Column:
+        places = [i for i, term in enumerate(terms) if term in set(listed)]
+        return has_found(F.col("_org_found"), places) | has_any_in_long(F.col("_org_head"), listed)
+
+    mentions = reduce(add, [F.array_contains("_org_found", terms.index(t)).cast("int") for t in rules.ngo_description], F.lit(0))
     points = F.col("_named").cast("int") * 2 + F.col("_known").cast("int") + (mentions >= 2).cast("int")
-    df = df.withColumn("_points", F.when(likely, points - F.when(
-        has_any_in_long(F.col("_org_both"), rules.not_ngo), 2).otherwise(0)).otherwise(0))
-    strong = F.when(has_any_in_long(F.col("_org_both"), rules.not_ngo_strong), 3).otherwise(0)
+    df = df.withColumn("_points", F.when(likely, points - F.when(mentioned(rules.not_ngo), 2).otherwise(0)).otherwise(0))
+    strong = F.when(mentioned(rules.not_ngo_strong), 3).otherwise(0)
     df = df.withColumn("ngo_score", F.when(F.col("_points") > 0, F.greatest(F.col("_points") - strong, F.lit(0)))
                        .otherwise(0))
     df = df.withColumn("is_ngo", F.col("ngo_score") >= rules.min_ngo_score)
@@ -128,10 +139,15 @@ def with_ngo_score(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 # -- match score -------------------------------------------------------------
-def _keyword_hit(text: Column, keyword: str, rules: RuleSet) -> Column:
-    if keyword in rules.stack_whole_word:
-        return has_word(text, [keyword])
-    return F.contains(text, F.lit(keyword))
+def _keyword_hits(text: Column, rules: RuleSet) -> dict[str, Column]:
+    """Per keyword whether the text holds it; only those found as substrings are looked at as whole words."""
+    found = found_terms(text, list(rules.stack_weights))
+
+    def hit(place: int, keyword: str) -> Column:
+        inside = F.array_contains(found, place)
+        return inside & has_word(text, [keyword]) if keyword in rules.stack_whole_word else inside
+
+    return {keyword: hit(place, keyword) for place, keyword in enumerate(rules.stack_weights)}
 
 
 def _keyword_groups(rules: RuleSet) -> dict[str, list[str]]:
@@ -147,15 +163,15 @@ def match_text() -> Column:
 
 def match_score_raw(text: Column, is_ngo: Column, rules: RuleSet) -> Column:
     """Sum of keyword weights, each synonym group once (first keyword in list order)."""
-    total = []
+    total, hits = [], _keyword_hits(text, rules)
     for name, keywords in _keyword_groups(rules).items():
         weights = {rules.stack_weights[k] for k in keywords}
         if len(weights) == 1:
-            hit = reduce(or_, [_keyword_hit(text, k, rules) for k in keywords])
+            hit = reduce(or_, [hits[k] for k in keywords])
             points = F.when(hit, weights.pop())
         else:
             points = reduce(
-                lambda branch, k: branch.when(_keyword_hit(text, k, rules), rules.stack_weights[k]),
+                lambda branch, k: branch.when(hits[k], rules.stack_weights[k]),
                 keywords, F)
         if name == "ngo":
             points = points.when(is_ngo, rules.ngo_flag_bonus)
@@ -176,15 +192,14 @@ def normalise_score(raw: Column) -> Column:
 
 def matched_keywords(text: Column, is_ngo: Column, rules: RuleSet, limit: int = 8) -> Column:
     """The keywords that scored, in list order: the audit column of the score."""
-    hits, first_of = [], {}
+    hits, held, first_of = [], _keyword_hits(text, rules), {}
     for keyword in rules.stack_weights:
         name = rules.stack_synonyms.get(keyword, keyword)
         earlier = first_of.setdefault(name, [])
-        hit = _keyword_hit(text, keyword, rules)
-        blocked = reduce(or_, [_keyword_hit(text, k, rules) for k in earlier]) if earlier else F.lit(False)
-        hits.append(F.when(hit & ~blocked, keyword))
+        blocked = reduce(or_, [held[k] for k in earlier]) if earlier else F.lit(False)
+        hits.append(F.when(held[keyword] & ~blocked, keyword))
         earlier.append(keyword)
-    ngo_hit = reduce(or_, [_keyword_hit(text, k, rules) for k in first_of.get("ngo", [])] or [F.lit(False)])
+    ngo_hit = reduce(or_, [held[k] for k in first_of.get("ngo", [])] or [F.lit(False)])
     hits.append(F.when(is_ngo & ~ngo_hit, "ngo (flag)"))
     return F.slice(F.array_compact(F.array(*hits)), 1, limit)
 
