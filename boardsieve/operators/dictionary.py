@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardsieve.functions.text import found_terms
 from boardsieve.operators.dedup import bounded_broadcast
 
 ANCHOR = 3
@@ -47,14 +48,20 @@ def occurrences(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
 
     ``whole_word`` names a column of the terms that asks for a match of whole words.
     """
+    def is_word(row) -> Column:
+        return ~row(whole_word) | has_whole_word(F.col(text), row(term))
+
     def is_hit(row) -> Column:
         hit = F.contains(F.col(text), row(term))
-        return hit if whole_word is None else hit & (~row(whole_word) | has_whole_word(F.col(text), row(term)))
+        return hit if whole_word is None else hit & is_word(row)
 
     few = terms.filter(F.col(term) != "").limit(FEW_TERMS + 1).collect()
     if few and len(few) <= FEW_TERMS:
         listed = F.array(*[F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in terms.schema.fields]) for row in few])
-        return texts.select(key, F.inline(F.filter(listed, lambda t: is_hit(lambda name: t[name]))))
+        held = F.transform(found_terms(F.col(text), [row[term] for row in few]), lambda place: F.get(listed, place))
+        if whole_word is not None:
+            held = F.filter(held, lambda t: is_word(lambda name: t[name]))
+        return texts.select(key, F.inline(held))
     anchored = bounded_broadcast(_anchored(terms, term), MAX_BROADCAST_TERMS)
     shortest = terms.agg(F.min(F.length(term))).first()[0] or ANCHOR
     sizes = range(min(max(shortest, 1), ANCHOR), ANCHOR + 1)
