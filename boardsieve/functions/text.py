@@ -75,8 +75,7 @@ def has_any_in_long(text: Column, terms: Iterable[str]) -> Column:
 def found_terms(text: Column, terms: Sequence[str]) -> Column:
     """Places in ``terms`` of all that the text contains as substrings, ascending; null for a null text.
 
-    For many terms in every row: Python's substring search skips ahead, and takes a fraction of the
-    time of ``contains``, which compares at every byte.
+    For many terms in every row: Python's substring search skips ahead, while ``contains`` compares at every byte.
     """
     terms = list(terms)
 
