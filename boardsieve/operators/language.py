@@ -31,9 +31,10 @@ def _letters(text: Column) -> Column:
     """Lower case, runs of anything but letters to one blank, one blank around.
 
     Characters beyond the basic plane count as no letters, so a text in such a script alone is
-    undetectable and passes the language rule.
+    undetectable and passes the language rule.  One class, no alternatives: a repeated group takes a stack
+    frame per character, and a long run of digits or dashes would overflow it.
     """
-    words = F.regexp_replace(F.lower(text), r"(?:[^\p{L}]|[\x{10000}-\x{10FFFF}])+", " ")
+    words = F.regexp_replace(F.lower(text), r"[[^\p{L}]\x{10000}-\x{10FFFF}]+", " ")
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 

@@ -14,6 +14,8 @@ _SQL_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A list of up to this many keys reaches Parquet as a list, not as a range, so that Bloom filters can test it.
     "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
+    # Long texts go to Python in small batches; 10,000 of them at once take hundreds of MB on either side.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # A generated method over 8000 bytes is never JIT-compiled; above that the
     # per-operator code, which Spark splits into small methods, is faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
