@@ -1,10 +1,19 @@
 """What larger tables met: long runs and batches of texts, wide rows that moved, sequences of many responses."""
 
+import json
+from datetime import datetime
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from boardsieve.operators import language
+from boardsieve import RuleSet, schema
+from boardsieve.operators import language, ledger
+from boardsieve.sources import boards, landing
+from boardsieve.streaming import scan
+
+PLAIN = RuleSet(english_only=False)
+NOW = datetime(2026, 3, 23, 12)
 
 
 def test_long_runs_of_other_characters_are_one_blank(spark):
@@ -24,3 +33,35 @@ def test_long_texts_go_to_python_in_small_batches(spark):
     texts = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
     found = [r.n for r in texts.mapInArrow(sizes, "n LONG").collect()]
     assert sum(found) == 64 and max(found) <= 8
+
+
+def _landed(spark, *responses):
+    return spark.createDataFrame([(source, None, 1, seq, NOW, 200, json.dumps({"jobs": [dict(
+        title=title, company_name=f"Acme {title}", candidate_required_location="Remote", url=f"https://x.org/{title}", publication_date="2026-03-22T00:00:00")
+        for title in titles]})) for source, seq, titles in responses], schema.LANDED)
+
+
+def test_a_batch_of_many_responses_is_sequenced(spark, tmp_path):
+    """Beyond 2^20 responses of a board its places get fewer bits; order and other boards' sequences stay."""
+    low, high = 5, (1 << 21) + 3
+    landed = _landed(spark, ("remotive", high, ["Backend Developer B", "Backend Developer C"]), ("remotive", low, ["Backend Developer A"]))
+    store = scan.Store(str(tmp_path / "store"))
+    scan.scan_landed(landed, 3, store, PLAIN, F.lit(NOW))
+    rows = ledger.read_table(spark, store.ledger, schema.POSTING).orderBy("ingest_seq").collect()
+    assert [r.title[-1] for r in rows] == ["A", "B", "C"]
+    rank = boards.v.BOARDS.index("remotive")
+    assert [r.ingest_seq for r in rows] == [(3 << 45) + (rank << 40) + (request << 18) + pos for request, pos in ((low, 0), (high, 0), (high, 1))]
+    few = scan.Store(str(tmp_path / "few"))
+    scan.scan_landed(landed.filter(F.col("request_seq") == low), 3, few, PLAIN, F.lit(NOW))
+    assert [r.ingest_seq for r in ledger.read_table(spark, few.ledger, schema.POSTING).collect()] == [(3 << 45) + (rank << 40) + (low << 20)]
+
+
+def test_a_sequence_is_never_cut(spark):
+    assert [landing.place_bits(n) for n in (None, 0, (1 << 20) - 1, 1 << 20, (1 << 40) - 1, 1 << 50)] == [20, 20, 20, 19, 0, 0]
+    items = spark.createDataFrame([("devex", 1 << 22, 1 << 17, None)], "source STRING, request_seq LONG, pos LONG, reason STRING")
+    with pytest.raises(Exception, match="pos does not fit 17 bits"):
+        landing.resequenced(items).collect()
+    assert landing.resequenced(items.withColumn("reason", F.lit("missing"))).first().ingest_seq is None
+    landed = _landed(spark, ("remotive", 1 << 21, ["A", "B"]))
+    wide = boards.board_postings({"remotive": landed}, "remotive", {"remotive": 1 << 21})
+    assert sorted(r.ingest_seq & 0xFFFFFFFFFF for r in wide.collect()) == [1 << 39, (1 << 39) + 1]
