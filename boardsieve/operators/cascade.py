@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from boardsieve.functions.pin import evaluate_once, pinned
+from boardsieve.functions.pin import evaluate_once, pinned, pinned_wide
 from boardsieve.functions.text import capped
 from boardsieve.operators import dedup, enrich, filters
-from boardsieve.operators.language import ENGLISH, detect_language, long_enough, only_english
+from boardsieve.operators.language import ENGLISH, only_english, with_language
 from boardsieve.operators.normalise import default_scope
 from boardsieve.settings import RuleSet
 
@@ -139,9 +141,9 @@ def run_cascade(df: DataFrame, rules: RuleSet, as_of: Column, max_age_days: int
         passed = enrich.with_scores(passed, rules).filter(filters.enough_match(rules))
     narrow = passed.select(*SURVIVOR_COLUMNS, language_text().alias("_lang_text"))
     if rules.english_only:
-        narrow = only_english(pinned(narrow), "ingest_seq", F.col("_lang_text"), profile)
+        narrow = only_english(narrow, "ingest_seq", F.col("_lang_text"), profile, pinned)
     kept = pinned(_keep_survivors(narrow.select(*SURVIVOR_COLUMNS), rules).select("ingest_seq"))
-    wide = df.join(dedup.bounded_broadcast(kept, MAX_BROADCAST_SURVIVORS), "ingest_seq", "left_semi")
+    wide = dedup.with_keys(df, kept, "ingest_seq", MAX_BROADCAST_SURVIVORS)
     texts = evaluate_once(with_scope(enrich.with_rule_texts(wide), rules), "scope", *enrich.RULE_TEXTS)
     return _drop_helpers(enrich.with_scores(texts, rules))
 
@@ -151,12 +153,13 @@ REPORT_COLUMNS = ("ingest_seq", "id", "content_hash", "source", "title", "compan
 
 
 def with_reject_reason(df: DataFrame, rules: RuleSet, as_of: Column, max_age_days: int | None = None,
-                       profile: DataFrame | None = None) -> DataFrame:
-    """Every row (report columns only) with ``reject_reason``, null for accepted rows.
+                       profile: DataFrame | None = None, columns: Sequence[str] = REPORT_COLUMNS) -> DataFrame:
+    """Every row (``columns`` only) with ``reject_reason``, null for accepted rows.
 
     A row that repeats an accepted earlier row is a duplicate whatever else is
     wrong with it.  Accepted rows are unique per content hash, so the join side
-    is narrow and a hot hash is split by the skew join.
+    is narrow and a hot hash is split by the skew join; beside many accepted rows only those move
+    whose hash a key filter lets pass.
     """
     _check_language(rules, profile)
     labelled = label_rows(sequenced(df), rules, as_of, max_age_days)
@@ -166,19 +169,17 @@ def with_reject_reason(df: DataFrame, rules: RuleSet, as_of: Column, max_age_day
         labelled = enrich.with_scores(labelled, rules)
         labelled = labelled.withColumn("_late", F.coalesce("_late", F.when(~filters.enough_match(rules), too_low)))
     labelled = labelled.withColumn("_lang_text", F.when(F.col("_early").isNull(), language_text()))
-    rows = pinned(labelled.select(*REPORT_COLUMNS, "_early", "_late", "_lang_text"))
+    read = dict.fromkeys([*columns, *SURVIVOR_COLUMNS])
+    rows = labelled.select(*read, "_early", "_late", "_lang_text")
     language = F.lit(None).cast("string")
     if rules.english_only:
-        texts = rows.filter(long_enough(F.col("_lang_text"))).select("ingest_seq", "_lang_text")
-        rows = rows.join(detect_language(texts, "ingest_seq", "_lang_text", profile), "ingest_seq", "left")
+        rows = with_language(rows, "ingest_seq", "_lang_text", profile, pinned_wide)
         language = F.when(F.col("detected_lang") != ENGLISH, LANGUAGE_REASON)
-    rows = rows.withColumns({
-        "_local": F.coalesce("_early", language, "_late"),
-        "_sort_ts": F.coalesce("posted_at", "fetched_at"),
-    })
-    winners = _keep_survivors(rows.filter(F.col("_local").isNull()), rules).select(
-        "content_hash", F.col("_sort_ts").alias("_kept_ts"), F.col("ingest_seq").alias("_kept_seq"))
-    joined = rows.join(winners, "content_hash", "left")
+    rows = pinned_wide(rows.select(*read, F.coalesce("_early", language, "_late").alias("_local")))
+    rows = rows.withColumn("_sort_ts", F.coalesce("posted_at", "fetched_at"))
+    winners = pinned(_keep_survivors(rows.filter(F.col("_local").isNull()), rules).select(
+        "content_hash", F.col("_sort_ts").alias("_kept_ts"), F.col("ingest_seq").alias("_kept_seq")))
+    joined = _with_winners(rows, winners)
     earlier = (F.col("_kept_ts") > F.col("_sort_ts")) | (
         (F.col("_kept_ts") == F.col("_sort_ts")) & (F.col("_kept_seq") < F.col("ingest_seq")))
     over_cap = F.concat(F.lit(f"company cap: already {rules.max_per_company} from '"), "company", F.lit("'"))
@@ -187,7 +188,21 @@ def with_reject_reason(df: DataFrame, rules: RuleSet, as_of: Column, max_age_day
         .when(earlier, DEDUP_REASON)
         .otherwise(F.coalesce("_local", over_cap))
     )
-    return joined.withColumn("reject_reason", reason).select(*REPORT_COLUMNS, "reject_reason")
+    return joined.withColumn("reject_reason", reason).select(*columns, "reject_reason")
+
+
+#: Accepted rows beyond which rows without one of their hashes are kept out of the join.
+MANY_WINNERS = 100_000
+
+
+def _with_winners(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """Rows with the accepted row of their content hash, if there is one."""
+    count = winners.count()
+    if count <= MANY_WINNERS:
+        return rows.join(winners, "content_hash", "left")
+    met = F.coalesce(dedup.key_filter(winners, "content_hash", count)(F.col("content_hash")), F.lit(False))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in winners.dtypes if name != "content_hash"]
+    return rows.filter(met).join(winners, "content_hash", "left").unionByName(rows.filter(~met).select("*", *none))
 
 
 def in_final_order(accepted: DataFrame) -> DataFrame:
@@ -208,12 +223,16 @@ def reject_report(reasoned: DataFrame) -> DataFrame:
 
 
 def funnel(reasoned: DataFrame, ledger_keys: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
-    """Raw, accepted and new rows per source, in one pass over the labelled rows."""
-    accepted = reasoned.filter(F.col("reject_reason").isNull()).select("id", "content_hash", "ingest_seq")
-    new = dedup.filter_unseen(accepted, ledger_keys, max_broadcast_rows).select("ingest_seq", F.lit(True).alias("_new"))
-    joined = reasoned.select("source", "ingest_seq", "reject_reason").join(new, "ingest_seq", "left")
+    """Raw, accepted and new rows per source, in one pass over the labelled rows, of which the keys of accepted ones are kept."""
+    passed = F.col("reject_reason").isNull()
+    keys = [F.when(passed, F.col(c)).alias(c) for c in ("id", "content_hash")]
+    rows = pinned_wide(reasoned.select("source", "ingest_seq", passed.alias("_accepted"), *keys))
+    accepted = rows.filter("_accepted").select("id", "content_hash", "ingest_seq")
+    stored = dedup.askable(ledger_keys, accepted)
+    new = dedup.filter_unseen(accepted, stored, max_broadcast_rows).select("ingest_seq", F.lit(True).alias("_new"))
+    joined = rows.select("source", "ingest_seq", "_accepted").join(new, "ingest_seq", "left")
     return joined.groupBy("source").agg(
         F.count(F.lit(1)).alias("raw"),
-        F.count_if(F.col("reject_reason").isNull()).alias("accepted"),
+        F.count_if("_accepted").alias("accepted"),
         F.count_if("_new").alias("new"),
     )

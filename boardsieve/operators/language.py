@@ -115,6 +115,22 @@ def _gain_sums(wide: DataFrame, names: list[str], stretch: int):
     return sums
 
 
+def _wide(profile: DataFrame) -> tuple[DataFrame, list[str], list[str], bool]:
+    """One row per gram with a gain for each language, the gains' names and languages, and whether it is proven small."""
+    langs = sorted(r["lang"] for r in profile.filter(F.col("gram") == _EVERY_GRAM).select("lang").distinct().collect())
+    names = [f"gain_{i}" for i in range(len(langs))]
+    if not langs:
+        return profile, names, langs, False
+    wide = profile.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("gain")).otherwise(0)).alias(n) for n, x in zip(names, langs)])
+    held = min(MAX_BROADCAST_GRAMS, MAX_HELD_GAINS // len(langs))
+    return wide, names, langs, bool(held) and wide.limit(held + 1).count() <= held
+
+
+def _best(sums, names: list[str], langs: list[str]) -> Column:
+    """The language with the largest sum."""
+    return F.array_max(F.array(*[F.struct(sums(n).alias("score"), F.lit(x).alias("lang")) for n, x in zip(names, langs)]))["lang"]
+
+
 def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame) -> DataFrame:
     """(key, detected_lang); keys whose text has no trigram are absent.
 
@@ -122,14 +138,11 @@ def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame) -> D
     one row of sums per text is shuffled.  A larger profile is joined, by a shuffle if it cannot be
     broadcast, with the grams counted per key first and a frequent gram split by the skew join.
     """
-    langs = sorted(r["lang"] for r in profile.filter(F.col("gram") == _EVERY_GRAM).select("lang").distinct().collect())
+    # A text's grams meet one row each and one sum per key is left.
+    wide, names, langs, held = _wide(profile)
     if not langs:
         return df.select(key, F.lit(None).cast("string").alias("detected_lang")).limit(0)
-    # One row per gram with a gain for each language: a text's grams meet one row each and one sum per key is left.
-    names = [f"gain_{i}" for i in range(len(langs))]
-    wide = profile.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("gain")).otherwise(0)).alias(n) for n, x in zip(names, langs)])
-    held = min(MAX_BROADCAST_GRAMS, MAX_HELD_GAINS // len(langs))
-    if held and wide.limit(held + 1).count() <= held:
+    if held:
         letters = df.select(key, _letters(F.col(text)).alias("letters")).filter(F.col("letters").isNotNull())
         sums = letters.select(key, _gain_sums(wide, names, _STRETCH)("letters").alias("sums")).select(key, "sums.*").filter("length > 0")
         scores = sums.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
@@ -143,16 +156,31 @@ def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame) -> D
         if hinted is wide:
             grams = grams.groupBy(key, "gram").agg(F.sum("n").alias("n"))
         scores = grams.join(hinted, "gram").groupBy(key).agg(*[F.sum(F.col("n") * F.col(n)).alias(n) for n in names])
-    best = F.array_max(F.array(*[F.struct(F.col(n).alias("score"), F.lit(x).alias("lang")) for n, x in zip(names, langs)]))
-    return scores.select(key, best["lang"].alias("detected_lang"))
+    return scores.select(key, _best(F.col, names, langs).alias("detected_lang"))
 
 
 def long_enough(text: Column) -> Column:
     return F.length(strip(text)) >= MIN_CHARS
 
 
-def only_english(df: DataFrame, key: str, text: Column, profile: DataFrame) -> DataFrame:
+def with_language(df: DataFrame, key: str, text: str, profile: DataFrame, pin=None) -> DataFrame:
+    """Add ``detected_lang``, null for short or undetectable texts and null keys.
+
+    With a profile proven small a row is judged where it lies: nothing is joined and no text is written.  Else rows meet
+    their language by key; ``pin`` then writes them first, as they are read twice.
+    """
+    judged = F.col(key).isNotNull() & long_enough(F.col(text))
+    wide, names, langs, held = _wide(profile)
+    if not held:
+        rows = pin(df) if pin else df
+        return rows.join(detect_language(rows.filter(judged).select(key, text), key, text, profile), key, "left")
+    letters = F.when(judged, F.coalesce(_letters(F.col(text)), F.lit(""))).otherwise(F.lit(""))
+    sums = df.withColumn("_sums", _gain_sums(wide, names, _STRETCH)(letters))
+    found = F.when(F.col("_sums.length") > 0, _best(lambda n: F.col(f"_sums.{n}"), names, langs))
+    return sums.withColumn("detected_lang", found).drop("_sums")
+
+
+def only_english(df: DataFrame, key: str, text: Column, profile: DataFrame, pin=None) -> DataFrame:
     """Drop rows detected as another language; short or undetectable texts stay."""
-    texts = df.select(key, text.alias("text")).filter(long_enough(F.col("text")))
-    foreign = detect_language(texts, key, "text", profile).filter(F.col("detected_lang") != ENGLISH)
-    return df.join(foreign.select(key), key, "left_anti")
+    rows = with_language(df.withColumn("_text", text), key, "_text", profile, pin)
+    return rows.filter(F.col("detected_lang").isNull() | (F.col("detected_lang") == ENGLISH)).select(*df.columns)

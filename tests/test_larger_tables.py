@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardsieve import RuleSet, schema
-from boardsieve.operators import language, ledger
+from boardsieve.operators import cascade, dedup, language, ledger
 from boardsieve.sources import boards, landing
 from boardsieve.streaming import scan
 
@@ -65,3 +65,65 @@ def test_a_sequence_is_never_cut(spark):
     landed = _landed(spark, ("remotive", 1 << 21, ["A", "B"]))
     wide = boards.board_postings({"remotive": landed}, "remotive", {"remotive": 1 << 21})
     assert sorted(r.ingest_seq & 0xFFFFFFFFFF for r in wide.collect()) == [1 << 39, (1 << 39) + 1]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_key_filter_passes_its_keys_and_few_others(spark):
+    for keys in (spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")), spark.range(3000).select((F.col("id") * 7).alias("key")),
+                 spark.createDataFrame([], "key STRING")):
+        passes = dedup.key_filter(keys, "key", keys.count())
+        assert keys.filter(~passes(F.col("key"))).count() == 0
+    others = spark.range(10_000).select((F.col("id") * 7 + 1).alias("key"))
+    assert others.filter(dedup.key_filter(spark.range(3000).select((F.col("id") * 7).alias("key")), "key", 3000)(F.col("key"))).count() < 400
+
+
+def _postings(make):
+    return make(*[dict(title=("Backend Developer", "Sales Manager", "Frontend Developer")[i % 3], company=f"Acme {i % 13}", location=("Berlin", "Remote")[i % 2],
+                       is_remote=True, source="remotive", fetched_at=NOW, description="the team and the data " * (i % 5), url=f"https://x.org/{i % 50}") for i in range(60)])
+
+
+def test_many_survivors_are_fetched_without_moving_the_others(spark, make, monkeypatch):
+    rows, sorted_rows = _postings(make), lambda df: sorted(map(str, df.collect()))
+    few = cascade.run_cascade(rows, PLAIN, F.lit(NOW))
+    expected = sorted_rows(few)
+    monkeypatch.setattr(cascade, "MAX_BROADCAST_SURVIVORS", 0)
+    many = cascade.run_cascade(rows, PLAIN, F.lit(NOW))
+    assert expected and sorted_rows(many) == expected
+    below_the_join = _plan(many)[_plan(many).index("LeftSemi"):]
+    assert "getbit" in below_the_join or "bit_get" in below_the_join
+
+
+def test_reasons_are_the_same_beside_many_accepted_rows(spark, make, monkeypatch):
+    rows = _postings(make).withColumn("content_hash", F.when(F.col("ingest_seq") % 11 != 5, F.col("content_hash")))
+    expected = sorted(map(str, cascade.with_reject_reason(rows, PLAIN, F.lit(NOW)).collect()))
+    monkeypatch.setattr(cascade, "MANY_WINNERS", 0)
+    assert sorted(map(str, cascade.with_reject_reason(rows, PLAIN, F.lit(NOW)).collect())) == expected
+    narrow = cascade.with_reject_reason(rows, PLAIN, F.lit(NOW), columns=("ingest_seq", "source"))
+    assert narrow.columns == ["ingest_seq", "source", "reject_reason"] and narrow.count() == len(expected) == 60
+
+
+def test_the_funnel_reads_labelled_rows_once(spark):
+    k = F.col("id")
+    labelled = spark.range(100).select((k % 3).cast("string").alias("source"), F.when(k != 90, k).alias("ingest_seq"), F.concat(F.lit("i"), k).alias("id"),
+                                       F.concat(F.lit("h"), k % 40).alias("content_hash"), F.when(k % 2 == 0, "no").alias("reject_reason"))
+    labelled = labelled.unionByName(labelled.filter("ingest_seq = 7"))
+    stored = spark.createDataFrame([("i1", "x"), ("y", "h3"), (None, "h5"), ("i9", None), ("i2", "h2")], "id STRING, content_hash STRING")
+    found = cascade.funnel(labelled, stored)
+    assert "Range (" not in _plan(found)
+    # 3, 43, 83 and 5, 45, 85 are known by hash, 1 and 9 by id; 7 stands for two rows that meet each other.
+    assert sorted(map(tuple, found.collect())) == [("0", 34, 17, 14), ("1", 36, 20, 17), ("2", 33, 16, 14)]
+
+
+def test_rows_are_judged_where_they_lie(spark, monkeypatch):
+    labelled = spark.createDataFrame([("en", "the team and the data working with them"), ("de", "das team und die daten arbeiten mit uns")], "lang STRING, text STRING")
+    profile = language.train_profile(labelled)
+    rows = spark.createDataFrame([(1, "das team und die daten arbeiten"), (1, "das team und die daten arbeiten"), (2, "the data working with them"), (3, None),
+                                  (4, "die daten"), (5, "1234567890123456789012345"), (None, "das team und die daten arbeiten")], "k INT, text STRING")
+    held = language.only_english(rows, "k", F.col("text"), profile)
+    assert "Join" not in _plan(held) and held.columns == rows.columns
+    assert sorted(r.k or 0 for r in held.collect()) == [0, 2, 3, 4, 5]
+    monkeypatch.setattr(language, "MAX_HELD_GAINS", 0)
+    assert sorted(map(str, language.only_english(rows, "k", F.col("text"), profile).collect())) == sorted(map(str, held.collect()))
