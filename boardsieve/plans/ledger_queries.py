@@ -115,7 +115,7 @@ def _snapshots(s, d):
 
 
 def _funnel(s, d):
-    return cascade.funnel(reasoned(s, d), _stored_keys(s, d), ledger.MAX_BROADCAST_KEYS)
+    return cascade.funnel(reasoned(s, d, ("ingest_seq", "id", "content_hash", "source")), _stored_keys(s, d), ledger.MAX_BROADCAST_KEYS)
 
 
 def _with_address(s, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,9 +141,9 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ingest_seq", "id", "title", "company", "location", "source", "scope", "is_ngo", "match_score")
 
 
-def reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reasoned(spark: SparkSession, sf_dir: str, columns: Sequence[str] = cascade.REPORT_COLUMNS) -> DataFrame:
     profile = corpus.language_profile(spark, sf_dir)
-    return cascade.with_reject_reason(corpus.postings(spark, sf_dir), RULES, corpus.as_of(), corpus.PIPE_MAX_AGE, profile)
+    return cascade.with_reject_reason(corpus.postings(spark, sf_dir), RULES, corpus.as_of(), corpus.PIPE_MAX_AGE, profile, columns)
 
 
 QUERIES = {
