@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boardsieve import RuleSet, schema
 from boardsieve.operators import cascade, dedup, language, ledger
-from boardsieve.sources import boards, landing
+from boardsieve.sources import boards, html, landing
 from boardsieve.streaming import scan
 
 PLAIN = RuleSet(english_only=False)
@@ -127,3 +127,23 @@ def test_rows_are_judged_where_they_lie(spark, monkeypatch):
     assert sorted(r.k or 0 for r in held.collect()) == [0, 2, 3, 4, 5]
     monkeypatch.setattr(language, "MAX_HELD_GAINS", 0)
     assert sorted(map(str, language.only_english(rows, "k", F.col("text"), profile).collect())) == sorted(map(str, held.collect()))
+
+
+_PIECES = ("<p>", "</p>", "<P Class='a b'>", '<a href="/x?a=1&amp;b=2">', '<a HREF="/x" href="/y" class="c  d">', "</a>", "<br>", "<br/>", "<img alt=x>", "text &amp; more &euro",
+           "a < b", "a > b", "<title>", "</title>", "<script>", "</script>", "<!-- <p> -->", "<!DOCTYPE html>", "<!doctype html [x]>", "</ p>", "</p x>", "<p", "&#x41;", "\n ",
+           "<li data-x=\"1\" disabled>", "<textarea>", "<template>", "</template>", '<div id="a>b">', "\x0b", "<time datetime=\"2020\">", "</H1>", "<h1\n>", "<x:y>", "<?xml?>", "\0")
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    import random
+
+    draw, plain = random.Random(4), 0
+    for n in range(6000):
+        page = "".join(draw.choices(_PIECES, k=draw.randint(0, 9)))
+        parser = html._Elements()
+        parser.feed(page)
+        parser.close()
+        assert html._rows_of(page) == parser.rows, page
+        plain += html._Elements().read_plain(page)
+    card = '<!DOCTYPE html><html><head><title>jobs</title></head><body><div class="job card"><a href="/jobs/1">A &amp; B</a></div></body></html>  '
+    assert plain > 300 and html._Elements().read_plain(card) and len(html._rows_of(card)) == 6
