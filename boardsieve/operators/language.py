@@ -117,18 +117,20 @@ def _gain_sums(wide: DataFrame, names: list[str], stretch: int):
 
 def _wide(profile: DataFrame) -> tuple[DataFrame, list[str], list[str], bool]:
     """One row per gram with a gain for each language, the gains' names and languages, and whether it is proven small."""
-    langs = sorted(r["lang"] for r in profile.filter(F.col("gram") == _EVERY_GRAM).select("lang").distinct().collect())
+    found = [r["lang"] for r in profile.filter(F.col("gram") == _EVERY_GRAM).select("lang").distinct().collect()]
+    # Texts without a label are a language without a name that knows no gram, as their rows meet no total.
+    langs = sorted(found, key=lambda x: (x is not None, x or ""))
     names = [f"gain_{i}" for i in range(len(langs))]
     if not langs:
         return profile, names, langs, False
-    wide = profile.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("gain")).otherwise(0)).alias(n) for n, x in zip(names, langs)])
+    wide = profile.groupBy("gram").agg(*[F.sum(F.when(F.col("lang").eqNullSafe(F.lit(x)), F.col("gain")).otherwise(0)).alias(n) for n, x in zip(names, langs)])
     held = min(MAX_BROADCAST_GRAMS, MAX_HELD_GAINS // len(langs))
     return wide, names, langs, bool(held) and wide.limit(held + 1).count() <= held
 
 
 def _best(sums, names: list[str], langs: list[str]) -> Column:
     """The language with the largest sum."""
-    return F.array_max(F.array(*[F.struct(sums(n).alias("score"), F.lit(x).alias("lang")) for n, x in zip(names, langs)]))["lang"]
+    return F.array_max(F.array(*[F.struct(sums(n).alias("score"), F.lit(x).cast("string").alias("lang")) for n, x in zip(names, langs)]))["lang"]
 
 
 def detect_language(df: DataFrame, key: str, text: str, profile: DataFrame) -> DataFrame:

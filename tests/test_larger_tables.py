@@ -25,6 +25,16 @@ def test_long_runs_of_other_characters_are_one_blank(spark):
     assert {r.k: r.detected_lang for r in found.collect()} == dict.fromkeys(range(4), "en")
 
 
+def test_texts_without_a_label_are_no_error(spark, monkeypatch):
+    labelled = spark.createDataFrame([("en", "the team and the data"), (None, "das team"), ("de", "das team und die daten")], "lang STRING, text STRING")
+    profile = language.train_profile(labelled)
+    texts = spark.createDataFrame([(0, "the data"), (1, "die daten"), (2, "xyz qqq")], "k INT, text STRING")
+    held = {r.k: r.detected_lang for r in language.detect_language(texts, "k", "text", profile).collect()}
+    assert held[0] == "en" and held[1] == "de" and 2 in held
+    monkeypatch.setattr(language, "MAX_HELD_GAINS", 0)
+    assert {r.k: r.detected_lang for r in language.detect_language(texts, "k", "text", profile).collect()} == held
+
+
 def test_long_texts_go_to_python_in_small_batches(spark):
     def sizes(batches):
         for batch in batches:
